@@ -134,8 +134,9 @@ class Words:
                 s = np.sort(grams[a : b - n + 1])
                 out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
             elif b > a:
-                part = (self.code[a:b] * _ORDER[: b - a]).sum(dtype=np.uint64) + U64((b - a) * 0x9FB21C651E98DF25 % (1 << 64))
-                out.append(mix(np.array([part], dtype=np.uint64)))
+                # the number of words keeps it apart from longer shingles
+                part = self.code[a:b] * _ORDER[: b - a]
+                out.append(mix(part.sum(dtype=np.uint64, keepdims=True) + U64((b - a) * 0x9FB21C651E98DF25 % (1 << 64))))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
         return out
