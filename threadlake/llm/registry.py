@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from threadlake.llm import bpe, exact_dedup, html_text, license_scan, minhash, topk, url_filter
+from threadlake.llm import bpe, exact_dedup, html_text, license_scan, minhash, substring, topk, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_minhash": minhash.op6_minhash,
+    "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_top_k": topk.op9_top_k,
     "op10_license_scan": license_scan.op10_license_scan,
@@ -18,6 +19,7 @@ SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_minhash": minhash.OP6_SQL,
+    "op7_substring_dedup": substring.OP7_SQL,
     "op9_top_k": topk.OP9_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
 }

@@ -53,6 +53,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def rolling(codes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n codes from each place on, in a constant number of passes for any n."""
+    m = len(codes) - n + 1
+    if m <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out, step = np.empty(m, dtype=np.uint64), BLOCK // 8
+    for i in range(0, m, step):
+        k = min(step, m - i)
+        size = k + n - 1
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(codes[i : i + size] * _power_table(_BASE, size)[:size], out=total[1:])
+        out[i : i + k] = mix((total[n:] - total[:k]) * _power_table(_INVERSE, size)[:k])
+    return out
+
+
 class Words:
     """The words of the texts of one slice.
 
@@ -112,20 +127,6 @@ class Words:
             return mix(total)
         raise ValueError("too many words in a gram")
 
-    def rolling(self, n: int) -> np.ndarray:
-        """As grams, in a constant number of passes for any n."""
-        m = len(self.code) - n + 1
-        if m <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        out, step = np.empty(m, dtype=np.uint64), BLOCK // 8
-        for i in range(0, m, step):
-            k = min(step, m - i)
-            size = k + n - 1
-            total = np.zeros(size + 1, dtype=np.uint64)
-            np.cumsum(self.code[i : i + size] * _power_table(_BASE, size)[:size], out=total[1:])
-            out[i : i + k] = mix((total[n:] - total[:k]) * _power_table(_INVERSE, size)[:k])
-        return out
-
     def shingle_sets(self, n: int) -> list[np.ndarray]:
         """Per text the sorted distinct hashes of its n-word shingles; a shorter text is one shingle."""
         grams, out = self.grams(n), []
