@@ -35,6 +35,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a staged table, and items in its array column, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_ITEMS = 1_000_000, 8_000_000
+
+
+def beside(docs: DataFrame, few: DataFrame, how: str, on: str = "doc_id", array: str | None = None) -> DataFrame:
+    """docs joined to a staged table of ids, which is broadcast only if counting shows that it is small.
+
+    Beyond the bounds both sides are shuffled on the id.
+    """
+    size = few.limit(BROADCAST_ROWS + 1).select(F.count("*"), F.sum(F.size(array)) if array else F.lit(0)).first()
+    small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_ITEMS
+    return docs.join(F.broadcast(few) if small else few, on, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import staged, table
+from threadlake.llm.common import beside, staged, table
 from threadlake.llm.components import components
 from threadlake.llm.words import U64, Words, mix, slices
 
 COORDS, ROWS = 128, 4
-#: Ids that are broadcast to pick their texts; more of them go by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Counters of the histogram that orders shingles from rare to frequent.
 COUNTERS = 1 << 18
 
@@ -149,12 +147,6 @@ def _counter():
     return run
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some ids; ids are broadcast only while they are few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -174,7 +166,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     centres = staged(keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("key", F.col("centre.rep").alias("centre"), F.col("centre.n").alias("centre_n")), "centres")
     members = staged(keyed.join(centres, "key").select("key", "rep", "n", "centre", "centre_n"), "members")
     met = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = staged(_texts(docs.where("doc_id is not null"), staged(met, "met")).mapInArrow(_setter(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = staged(beside(docs.where("doc_id is not null"), staged(met, "met"), "left_semi").mapInArrow(_setter(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from threadlake.llm import bpe, exact_dedup, html_text, license_scan, minhash, substring, topk, url_filter
+from threadlake.llm import bpe, exact_dedup, html_text, license_scan, minhash, packing, substring, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_packing": packing.op4_packing,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_minhash": minhash.op6_minhash,
     "op7_substring_dedup": substring.op7_substring_dedup,

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import staged, table
+from threadlake.llm.common import beside, staged, table
 from threadlake.llm.words import Words, rolling, slices
 
 #: Words of a k-gram that can be an anchor.
 GRAM = 16
-#: Words in a shard, words in a block of shards that is broadcast, and ids or spans that are broadcast to find their texts.
-SHARD_WORDS, BLOCK_WORDS, BROADCAST_ROWS = 1 << 16, 1 << 22, 1_000_000
+#: Words in a shard, and in a block of shards that is broadcast.
+SHARD_WORDS, BLOCK_WORDS = 1 << 16, 1 << 22
 
 
 def anchors(codes: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -249,12 +249,6 @@ def _cut(length: int):
     return run
 
 
-def _beside(texts: DataFrame, few: DataFrame, how: str) -> DataFrame:
-    """texts joined to a staged table, which is broadcast only while it is small."""
-    small = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and (few.select(F.sum(F.size("what"))).first()[0] or 0) <= 8 * BROADCAST_ROWS
-    return texts.join(F.broadcast(few) if small else few, "doc_id", how)
-
-
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, what: array of (cls, first, past), for documents (doc_id, text) with words to remove."""
     gram = min(GRAM, length)
@@ -267,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     common = having.groupBy("anchor").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("anchor")
     picked = having.join(staged(common, "anchors"), "anchor").groupBy("rep", "cls").agg(F.collect_set("anchor").alias("shared"))
     picked = staged(picked.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("cls").alias("known"), F.collect_list("shared").alias("what")), "picked")
-    segments = _beside(docs, picked, "inner").select("doc_id", "text", "known", "what").mapInArrow(_segments(length, gram), "doc long, cls binary, start long, codes binary")
+    segments = beside(docs, picked, "inner", array="what").select("doc_id", "text", "known", "what").mapInArrow(_segments(length, gram), "doc long, cls binary, start long, codes binary")
     segments = staged(segments, "segments")
     windows = segments.mapInArrow(_windows(length), "window long, doc long, cls binary, pos long")
     homes = windows.groupBy("window").agg(F.min(F.struct("doc", "cls")).alias("home"), F.max("doc").alias("high")).where("home.doc < high")
@@ -302,7 +296,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Other columns are not read.  An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = _beside(docs, repeated_spans(docs, length), "left").select("doc_id", "text", "what")
+    marked = beside(docs, repeated_spans(docs, length), "left", array="what").select("doc_id", "text", "what")
     return marked.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -21,6 +21,8 @@ SLICE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_NO_LETTER = np.zeros(256, dtype=bool)
+_NO_LETTER[:128] = [not chr(c).isalpha() for c in range(128)]
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _LOWER = _BYTE.copy()
@@ -72,10 +74,11 @@ class Words:
     """The words of the texts of one slice.
 
     ``begin``/``end`` are byte positions in ``data``, ``code`` the 64-bit hash of
-    each word, and text i has the words ``ptr[i]:ptr[i + 1]``.
+    each word, and text i has the words ``ptr[i]:ptr[i + 1]``.  With ``letters`` words are
+    runs of ASCII letters and of non-ASCII characters instead.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, letters: bool = False):
         if texts.null_count:
             texts = texts.fill_null("")
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
@@ -85,7 +88,7 @@ class Words:
         raw = texts.buffers()[2]
         self.data = np.frombuffer(raw, dtype=np.uint8)[low:high] if raw is not None and high > low else np.zeros(0, np.uint8)
         self.offsets = offsets - low
-        text = ~_SPACE[self.data]
+        text = ~(_NO_LETTER if letters else _SPACE)[self.data]
         cuts = self.offsets[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(text))]
         first = text.copy()
@@ -96,17 +99,23 @@ class Words:
         last[cuts - 1] = text[cuts - 1]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.ptr = np.searchsorted(self.begin, self.offsets)
-        self.code = self._hash(_LOWER if lower else _BYTE)
+        self._table = _LOWER if lower else _BYTE
+        self.code = self._hash(self.end)
 
-    def _hash(self, table: np.ndarray) -> np.ndarray:
+    def with_prefixes(self, *sizes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each word and of its first bytes for each size, and where those of each text begin."""
+        parts = [self.code, *(self._hash(np.minimum(self.end, self.begin + n)) + U64(n) for n in sizes)]
+        return np.column_stack(parts).ravel(), self.ptr * len(parts)
+
+    def _hash(self, ends: np.ndarray) -> np.ndarray:
         out, i, n = np.empty(len(self.begin), dtype=np.uint64), 0, len(self.begin)
         while i < n:
             at = int(self.begin[i])
             j = max(i + 1, int(np.searchsorted(self.end, at + BLOCK, side="right")))
             size = int(self.end[j - 1]) - at
             total = np.zeros(size + 1, dtype=np.uint64)
-            np.cumsum(table[self.data[at : at + size]] * _power_table(_BASE, size)[:size], out=total[1:])
-            begin, end = self.begin[i:j] - at, self.end[i:j] - at
+            np.cumsum(self._table[self.data[at : at + size]] * _power_table(_BASE, size)[:size], out=total[1:])
+            begin, end = self.begin[i:j] - at, ends[i:j] - at
             h = (total[end] - total[begin]) * _power_table(_INVERSE, size)[begin]
             out[i:j] = mix(h + (end - begin).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
             i = j
