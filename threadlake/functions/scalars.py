@@ -25,7 +25,7 @@ def parse_frags(contents: Column) -> Column:
     empty = F.from_json(F.lit("[{}]"), FRAGMENTS)[0]
     plain = F.array(empty.withField("type", F.lit(1)).withField("text", contents))
     looks = F.left(F.ltrim(contents), F.lit(1)) == "["
-    valid = looks & F.try_parse_json(contents).isNotNull() if hasattr(F, "try_parse_json") else looks
+    valid = looks & F.try_parse_json(contents).isNotNull()
     return F.when(contents.isNull(), None).when(valid & array.isNotNull(), array).otherwise(plain)
 
 

@@ -12,6 +12,7 @@ from threadlake.operators import merge as M
 from threadlake.operators import planning as P
 from threadlake.operators import select as S
 from threadlake.operators import users as U
+from threadlake.plans import jobs
 from threadlake.plans.bindings import view, with_views
 from threadlake.streaming import streams
 
@@ -175,6 +176,23 @@ def _(get):
     return M.archive_summary(get("thread"), get("post"), get("member"))
 
 
+@query(
+    "m11_consolidate",
+    f"""t AS (SELECT archive, tid, scrape_status FROM thread WHERE tid % 2 = 1 UNION ALL SELECT archive, tid, 0 FROM thread WHERE tid % 2 = 0 AND tid % 3 = 0),
+st AS (SELECT p.archive, p.tid, CASE state WHEN 'deleted' THEN 1 ELSE 2 END AS scrape_status FROM progress p WHERE state <> 'done' AND NOT EXISTS (SELECT 1 FROM t WHERE t.archive = p.archive AND t.tid = p.tid)),
+al AS (SELECT * FROM t UNION ALL SELECT * FROM st),
+po AS (SELECT archive FROM post WHERE user_id % 2 = 0 UNION ALL SELECT archive FROM post s WHERE s.id > 0 AND user_id % 2 <> 0)
+SELECT archive, count(*) AS threads, count(*) FILTER (scrape_status = 0) AS complete, count(*) FILTER (scrape_status = 1) AS deleted, count(*) FILTER (scrape_status = 2) AS failed,
+ (SELECT count(*) FROM po WHERE po.archive = al.archive) AS posts, (SELECT count(DISTINCT (tid, portrait)) FROM member m WHERE m.archive = al.archive) AS users FROM al GROUP BY archive""",
+    "thread", "post", "member", "listing", "progress",
+)
+def _(get):
+    threads, columns = get("thread"), ["archive", "tid", "title", "forum_id", "forum_name", "reply_num", "scrape_status"]
+    source = {"folders": threads.where("tid % 3 = 0").select("archive", "tid", F.col("forum_name").alias("forum"), "title"), "thread": threads.where("tid % 3 = 0").select(*columns[:-1]), "post": get("raw_post"), "user": get("member"), "listing": get("listing"), "progress": get("progress")}
+    target = {"thread": threads.where("tid % 2 = 1").select(*columns), "post": get("post").where("user_id % 2 = 0"), "user": get("member").limit(0)}
+    return jobs.consolidate(source, target)["summary"]
+
+
 # --- users ------------------------------------------------------------------
 
 

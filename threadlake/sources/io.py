@@ -42,35 +42,33 @@ def read_content_dbs(spark: SparkSession, paths: DataFrame, name: str, per_task:
     fields = schema(name)
     if "is_share_origin" in paths.columns and not include_share_origin:
         paths = paths.where(~F.coalesce("is_share_origin", F.lit(False)))
-    kinds = {f.name: f.dataType.typeName() for f in fields}
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(frames):
+    shape = to_arrow_schema(fields)
+    convert = {"boolean": bool, "long": int, "integer": int, "double": float}
+    kinds = [(f.name, convert.get(f.dataType.typeName(), str)) for f in fields]
+
+    def run(batches):
         import sqlite3
 
-        import pandas as pd
+        import pyarrow as pa
 
-        for frame in frames:
-            for archive, tid, path in zip(frame.archive, frame.tid, frame.path, strict=True):
+        for batch in batches:
+            for archive, tid, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
                     if not db.execute("select 1 from sqlite_master where type = 'table' and name = ?", [name]).fetchone():
                         continue
                     cursor = db.execute(f'select * from "{name}"')
-                    rows = pd.DataFrame(cursor.fetchall(), columns=[c[0] for c in cursor.description], dtype=object)
-                # the site's own user number has a column named after the site
-                rows = rows.rename(columns={c: "site_uid" for c in rows.columns if c.endswith("_uid")})
-                rows["archive"], rows["tid"] = archive, tid
-                rows = rows.reindex(columns=list(kinds))
-                for c, kind in kinds.items():
-                    if kind == "boolean":
-                        rows[c] = rows[c].map(lambda x: None if pd.isna(x) else bool(x))
-                    elif kind in ("long", "integer"):
-                        rows[c] = pd.to_numeric(rows[c]).astype("Int64")
-                    elif kind == "double":
-                        rows[c] = pd.to_numeric(rows[c])
-                yield rows
+                    # the site's own user number has a column named after the site
+                    names = ["site_uid" if c[0].endswith("_uid") else c[0] for c in cursor.description]
+                    while rows := cursor.fetchmany(10_000):
+                        have = dict(zip(names, zip(*rows, strict=True), strict=True)) | {"archive": [archive] * len(rows), "tid": [tid] * len(rows)}
+                        empty = [None] * len(rows)
+                        columns = [[None if x is None else kind(x) for x in have.get(c, empty)] for c, kind in kinds]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, shape, strict=True)], schema=shape)
 
     n = max(1, -(-paths.count() // per_task))
-    return conform(paths.select("archive", "tid", "path").repartition(n, "path").mapInPandas(run, fields), name)
+    return conform(paths.select("archive", "tid", "path").repartition(n, "path").mapInArrow(run, fields), name)
 
 
 def read_tar_members(spark: SparkSession, paths: DataFrame) -> DataFrame:
@@ -79,19 +77,20 @@ def read_tar_members(spark: SparkSession, paths: DataFrame) -> DataFrame:
     Only headers are read.  offset is where a member's bytes begin.
     """
 
-    def run(frames):
+    def run(batches):
         import os
         import tarfile
 
-        import pandas as pd
+        import pyarrow as pa
 
-        for frame in frames:
-            for archive, path in zip(frame.archive, frame.path, strict=True):
+        for batch in batches:
+            for archive, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with tarfile.open(path) as tar:
-                    rows = [(archive, os.path.basename(path), m.name, m.offset_data, m.size) for m in tar if m.isreg()]
-                yield pd.DataFrame(rows, columns=["archive", "tar", "name", "offset", "size"])
+                    found = [{"archive": archive, "tar": os.path.basename(path), "name": m.name, "offset": m.offset_data, "size": m.size} for m in tar if m.isreg()]
+                if found:
+                    yield pa.RecordBatch.from_pylist(found)
 
-    return paths.select("archive", "path").repartition(max(1, paths.count()), "path").mapInPandas(run, "archive string, tar string, name string, offset bigint, size bigint")
+    return paths.select("archive", "path").repartition(max(1, paths.count()), "path").mapInArrow(run, "archive string, tar string, name string, offset bigint, size bigint")
 
 
 def parse_thread_json(df: DataFrame, col: str = "json") -> DataFrame:
