@@ -289,11 +289,14 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_chain_uses_earlier_categories(spark):
-    """The later category is the earlier one: its model can't do better than to use that."""
-    rows, labels = labelled(spark, 400, 2)
-    given = spark.createDataFrame([(i, t, t) for i, _, t in labels], "doc_id long, first int, second int")
+    """A later model weighs the earlier probability, and is fitted on out-of-fold ones."""
+    y = np.arange(200) % 3 == 0
+    model = toxicity.fit_linear(np.zeros(0, int), np.zeros(0, int), 200, 0, np.where(y, 0.9, 0.2)[:, None], y)
+    assert model.earlier[0] > 1 and model.predict(np.zeros(2), np.array([[0.9], [0.2]])).round().tolist() == [1, 0]
+    rows, labels = labelled(spark, 300, 2)
+    given = spark.createDataFrame([(i, 1 - q, t) for i, q, t in labels], "doc_id long, first int, second int")
     chain = toxicity.fit_chain(docs(spark, rows).select("doc_id", "text"), given, ("first", "second"))
-    assert chain.models[1].earlier[0] > 0 and len(chain.models[0].earlier) == 0
+    assert [len(m.earlier) for m in chain.models] == [0, 1]
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0, 0)], [(1, 1, 1), (2, 1, 1)]])

@@ -10,20 +10,26 @@ from counts of small hashed groups, so no task holds a whole bucket.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import SPACES, table
+from threadlake.llm.common import staged, table
 
 #: Buckets, tokens in a batch, lengths counted exactly, bins for each doubling after that, texts in a group.
 BUCKETS, BUDGET, EXACT, BINS, GROUP = 16, 65_536, 1024, 128, 4000
 
 
-def word_count(text: Column) -> Column:
-    """Words between ASCII white space; null as empty."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACES}|{SPACES}$", "")
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACES))).cast("long")
+def count_words(docs: DataFrame) -> DataFrame:
+    """doc_id (as it is) and n_tokens, the words between ASCII white space, of rows (doc_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = [len(x.split()) if x else 0 for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 
 def length_bin(n: Column) -> Column:
@@ -71,7 +77,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     length 0 and go to the first bucket.  Repeated and null ids are rows like others.  Other
     columns are not read.  An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), (word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")) if length is not None else count_words(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    rows = staged(rows, "lengths")
     # at most EXACT bins, and BINS for each power of two that a length can have
     histogram = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).orderBy("bin").toArrow()
     longest, n, tokens = (histogram[c].to_numpy() for c in ("longest", "n", "tokens"))
