@@ -4,7 +4,11 @@ A unit (a line, or a whole text of several lines) is normalised to lower-case wo
 of letters and digits.  With A and B the sets of distinct bigrams of a unit and a template, the
 coefficient 2 |A & B| / (|A| + |B|) can reach the threshold t only if |A| lies between
 t / (2 - t) |B| and (2 - t) / t |B|; these size bounds prune the templates of a unit
-before any intersection.  Templates are constants of the plan, so nothing is shuffled.
+before any intersection.  Before bigrams are built, two bounds that follow from them prune
+units by their words: d distinct words have d - 1 distinct bigrams at least, and, as at least
+t / (2 - t) of a matching unit's bigrams are the template's and each other bigram holds
+two words, only so many distinct words can be foreign to all templates.  Templates
+are constants of the plan, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ def _bounds(n: int, threshold: float) -> tuple[float, float]:
 
 def _words(text: Column) -> Column:
     # only ASCII letters and digits are words' characters, as in the templates
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
 
 
 def _pairs(words: Column) -> Column:
@@ -76,12 +80,16 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     rows = _table(templates)
     lowest = min(_bounds(len(b), threshold)[0] for *_, b in rows)
     highest = max(_bounds(len(b), threshold)[1] for *_, b in rows)
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.col(text_col).alias("unit")))).otherwise(F.array().cast("array<struct<line_no:int,unit:string>>"))
-    units = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("unit"))), whole)
-    # n distinct bigrams take n + 1 words of one character at least
-    long_enough = F.filter(units, lambda u: F.length(u["unit"]) >= int(2 * lowest + 1))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.explode(long_enough).alias("u")).select("doc_id", "u.line_no", _pairs(_words(F.col("u.unit"))).alias("grams"))
+    known = sorted({w for *_, b in rows for pair in b for w in pair.split()})
+    foreign = 2 * (2 - 2 * threshold) / (2 - threshold)
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _words)
+    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.flatten("lines").alias("words")))).otherwise(F.array().cast("array<struct<line_no:int,words:array<string>>>"))
+    units = F.concat(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("words"))), whole)
+    # n distinct bigrams take n + 1 words
+    long_enough = F.filter(units, lambda u: F.size(u["words"]) > int(lowest))
+    sized = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).select("doc_id", F.explode(long_enough).alias("u")).select("doc_id", "u.line_no", "u.words")
+    sized = sized.where(F.size(F.array_distinct("words")) - 1 <= int(highest) + 1).where(F.size(F.array_except("words", F.lit(known))) <= foreign * (F.size("words") - 1) + 1e-9)
+    sized = sized.select("doc_id", "line_no", _pairs(F.col("words")).alias("grams"))
     sized = sized.where(F.size("grams").between(int(lowest), int(highest) + 1))
     fits = []
     for name, i, grams in rows:
