@@ -99,7 +99,13 @@ def content_type(path: Column) -> Column:
 
 
 def human_count(n: Column) -> Column:
-    return F.when(n >= 10000, F.concat(F.format_string("%.1f", n / 10000.0), F.lit("万"))).when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k"))).otherwise(n.cast("string"))
+    """Ten thousands and thousands with one decimal, rounded half up; smaller numbers as they are."""
+
+    def tenths(unit: int, mark: str) -> Column:
+        t = F.floor((n + unit // 20) / (unit // 10))
+        return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(mark))
+
+    return F.when(n >= 10000, tenths(10000, "万")).when(n >= 1000, tenths(1000, "k")).otherwise(n.cast("string"))
 
 
 def relative_time(ts: Column, as_of: Column) -> Column:

@@ -94,14 +94,14 @@ for _name, _before, _after, _host, _path, _param in _PAIR:
     )
 
 
-@query("s7_percent_encode", "SELECT doc_id, url_encode(left(text, 200)) AS encoded FROM documents")
+@query("s7_percent_encode", "SELECT doc_id, url_encode(text) AS encoded FROM documents")
 def _(get):
-    return get("document").select("doc_id", C.percent_encode(F.left("text", F.lit(200))).alias("encoded"))
+    return get("document").select("doc_id", C.percent_encode(F.col("text")).alias("encoded"))
 
 
-@query("s8_sanitize_title", r"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(left(text, 120) || '?*. ', '[\x00-\x1f\x7f]', '', 'g'), '[<>:"/\\|?*]', '', 'g'), '[. ]+$', ''), 80), ''), 'untitled') AS title FROM documents""")
+@query("s8_sanitize_title", r"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(text || '?*. ', '[\x00-\x1f\x7f]', '', 'g'), '[<>:"/\\|?*]', '', 'g'), '[. ]+$', ''), 80), ''), 'untitled') AS title FROM documents""")
 def _(get):
-    return get("document").select("doc_id", C.sanitize_title(F.concat(F.left("text", F.lit(120)), F.lit("?*. "))).alias("title"))
+    return get("document").select("doc_id", C.sanitize_title(F.concat("text", F.lit("?*. "))).alias("title"))
 
 
 @query("s9_urls", "SELECT archive, tid, portrait, concat('http://avatar.example/', portrait) AS avatar, concat('http://voice.example/?md5=', portrait, '&play=1') AS voice FROM member", "member")
@@ -114,9 +114,9 @@ def _(get):
     return get("member_file").withColumn("p", C.asset_name_parts(F.col("name"))).select("name", "p.pid", "p.idx")
 
 
-@query("s11_human_count", "SELECT tid, CASE WHEN view_num >= 10000 THEN printf('%.1f', view_num / 10000.0::DOUBLE) || '万' WHEN view_num >= 1000 THEN printf('%.1f', view_num / 1000.0::DOUBLE) || 'k' ELSE view_num::VARCHAR END AS shown FROM thread WHERE view_num % 500 <> 0 AND view_num % 50 <> 0", "thread")
+@query("s11_human_count", "SELECT tid, CASE WHEN view_num >= 10000 THEN ((view_num + 500) // 1000 // 10) || '.' || ((view_num + 500) // 1000 % 10) || '万' WHEN view_num >= 1000 THEN ((view_num + 50) // 100 // 10) || '.' || ((view_num + 50) // 100 % 10) || 'k' ELSE view_num::VARCHAR END AS shown FROM thread", "thread")
 def _(get):
-    return get("thread").where("view_num % 500 <> 0 and view_num % 50 <> 0").select("tid", C.human_count(F.col("view_num")).alias("shown"))
+    return get("thread").select("tid", C.human_count(F.col("view_num")).alias("shown"))
 
 
 _AS_OF = 873024000
