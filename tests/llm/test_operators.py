@@ -169,11 +169,12 @@ def test_top_k(spark, spread):
     rng = np.random.default_rng(4)
     rows = [(i, [float(np.float32(x * spread)) for x in rng.normal(size=8)]) for i in range(350)]
     rows += [(400, rows[3][1]), (401, rows[3][1]), (500, None), (501, [1.0] * 7 + [None]), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, []), (None, rows[5][1]), (600, [0.5]), (300, rows[300][1])]
-    ok = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    fine = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
-    for q in (i for i in ok if i % 100 == 0):
-        best = sorted((-sum(a * b for a, b in zip(ok[q], ok[c], strict=True)), c) for c in ok if c != q and len(ok[c]) == len(ok[q]))[:10]
-        want |= {(q, k, c, -s) for k, (s, c) in enumerate(best, 1)}
+    for q, v in fine:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in fine if c != q and len(w) == len(v))[:10]
+            want |= {(q, k, c, -s) for k, (s, c) in enumerate(best, 1)}
     if spread > 1:  # sums over 64 bits are outside the operator's range
         want = {w for w in want if abs(w[3]) < 2**63}
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect()}

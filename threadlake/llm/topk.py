@@ -130,7 +130,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     A component x counts as floor(scale * x).  Ties go to the smaller id.  A query
     isn't its own candidate.  Vectors that are null or empty or hold a null, NaN or
     infinity, and rows without an id, take no part; vectors of different length never
-    meet.  Repeated rows of one id count once.  Fewer than k candidates: all of them.
+    meet.  Rows that repeat an id are candidates each, with a rank each, but never of
+    their own id; equal rows are one query.  Fewer than k candidates: all of them.
     An empty table gives an empty result.
     """
     v = F.col(vector_col)
@@ -147,7 +148,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         part = part.groupBy("dim").agg(F.collect_list(F.struct("q_ids", "q_comps")).alias("queries"))
         found.append(blocks.join(F.broadcast(part), "dim").select("ids", "comps", "queries").mapInArrow(_searcher(k), "query_id long, vec_id long, score long"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionByName, found).dropDuplicates().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_top_k(spark, sf_dir):
