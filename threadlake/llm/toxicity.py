@@ -21,11 +21,11 @@ from threadlake.llm.common import staged, table
 from threadlake.llm.words import Words, slices
 
 #: Most labelled rows that are fitted, words of the vocabulary for each category, rows that a word needs, folds.
-SAMPLE, VOCABULARY, LEAST, FOLDS = 20_000, 1_000, 3, 3
+SAMPLE, VOCABULARY, LEAST, FOLDS = 8_000, 500, 3, 3
 #: Bytes of the prefixes of words that are features.
 PREFIXES = (4, 5, 6)
 #: Strength of the L1 and L2 penalties, and steps of the fit.
-L1, L2, STEPS = 1e-3, 1e-4, 600
+L1, L2, STEPS = 1e-3, 1e-4, 250
 
 
 @dataclass
