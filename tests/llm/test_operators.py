@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, exact_dedup, html_text, license_scan, minhash, packing, registry, substring, topk, toxicity, url_filter
+from threadlake.llm import bpe, common, exact_dedup, html_text, license_scan, minhash, packing, registry, substring, topk, toxicity, url_filter
 from threadlake.llm.components import components
 
 DOCS = "doc_id long, text string, keep_id string, kept int"  # the last two clash with names of results
@@ -141,6 +141,14 @@ def test_remove_repeats_in_several_passes(spark, awkward, monkeypatch):
     assert got == brute_cut(awkward, 20)
 
 
+def test_without_broadcasts(spark, awkward, monkeypatch):
+    """Beyond the size bound of broadcasts the same comes from shuffles."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs(spark, awkward), 20).collect()}
+    assert got == brute_cut(awkward, 20)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, awkward)).collect()} == brute_components(awkward, 5, 80)
+
+
 def test_remove_repeats_keeps_rows_without_id(spark):
     text = " ".join(map(str, range(60)))
     got = sorted((str(r.doc_id), r.n_removed) for r in substring.remove_repeats(docs(spark, [(None, text), (1, text), (1, text), (2, text)])).collect())

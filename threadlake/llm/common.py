@@ -35,8 +35,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a staged table, and items in its array column, that may be broadcast.
-BROADCAST_ROWS, BROADCAST_ITEMS = 1_000_000, 8_000_000
+#: Rows of a staged table, and items in its array column, that may be broadcast: about 130 MB at most.
+BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 1_000_000
 
 
 def beside(docs: DataFrame, few: DataFrame, how: str, on: str = "doc_id", array: str | None = None) -> DataFrame:
