@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions.scalars import asset_pid
 
+# The form of folder names: fixed value.
 _FOLDER = r"^\[(.*?)吧\]\[(\d+)\](.*)$"
 ALL, AUTHOR, AUTHOR_ONLY, REPLIED, REPLIED_ONLY = range(1, 6)
 
