@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of text hashed at a time, and bytes of text in a slice of a batch.
 BLOCK = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
