@@ -228,6 +228,17 @@ def test_url_wildcards(spark):
     assert {r.template for r in rows} == {"/tag/*/x"} and {r.verdict for r in rows} == {"allow"}
 
 
+def test_url_trees_have_whole_paths(spark):
+    pages = lambda kind, n: [f"http://a.com/shop/en/items/{kind}/{x}{y}/z" for x in "abcdefgh" for y in "klmn"][:n]
+    urls = pages("spam", 30) + pages("good", 30) + ["http://a.com/shop/en/items/spam/new/z", "http://a.com/shop/en/items/good/new/z"] + ["http://b.com/" + "d/" * 40 + "e"]
+    rules = tuple((f"{k}.a.com", "/", v) for k, v in (("s", "block"), ("g", "allow")))
+    urls += [u.replace("a.com", "s.a.com") for u in pages("spam", 30) * 2] + [u.replace("a.com", "g.a.com") for u in pages("good", 30) * 2]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert len(got) == len(urls)
+    assert got[60].template == "/shop/en/items/spam/*/z" and got[61].template == "/shop/en/items/good/*/z" and got[62].template == "/" + "d/" * 40 + "e"
+    assert {got[i].verdict for i in [*range(30), 60]} == {"block"} and {got[i].verdict for i in [*range(30, 60), 61]} == {"allow"}
+
+
 def test_license_scan(spark):
     rows = [(1, "some words before it\nLicensed under the Apache License, Version 2.0.\nand more words after it"), (2, "RELEASED under the mit license"), (3, None), (4, ""), (5, "word"), (6, "the apache web server"), (7, "Licensed under CC BY-NC 4.0."), (7, "x " * 3000)]
     found = sorted((r.doc_id, r.line_no, r.license) for r in license_scan.scan_licenses(docs(spark, rows)).collect())
