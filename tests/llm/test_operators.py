@@ -245,6 +245,17 @@ def test_license_scan(spark):
     assert found == [(1, 1, "Apache-2.0"), (2, 0, "MIT"), (7, 0, "CC-BY-NC-4.0")]
 
 
+def test_license_scan_finds_wrapped_notices(spark):
+    rng = random.Random(4)
+    prose = lambda n: "\n".join(" ".join(f"q{rng.randrange(900)}" for _ in range(11)) for _ in range(n))
+    wrap = lambda t, n, glue="\n": glue.join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    mit, gpl, apache = license_scan.TEMPLATES["MIT"][2], license_scan.TEMPLATES["GPL-3.0"][1], license_scan.TEMPLATES["Apache-2.0"][1]
+    rows = [(1, f"{prose(40)}\n{wrap(mit, 9)}\n{prose(40)}"), (2, f"{prose(3)}\n\n# {wrap(gpl, 8, chr(10) + '# ')}\n{prose(5)}\n{wrap(apache, 7)}"), (None, wrap(gpl, 8) + "\n" + prose(30)), (3, prose(60)), (4, f"{prose(9)}\n{wrap(gpl, 6)}\n{prose(9)}\n{wrap(gpl, 9)}")]
+    found = {(r.doc_id, r.line_no, r.license, r.template_no, r.dice) for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
+    n = len(wrap(gpl, 6).split("\n"))
+    assert found == {(1, 40, "MIT", 2, 1.0), (2, 4, "GPL-3.0", 1, 1.0), (2, 9 + len(wrap(gpl, 8).split("\n")), "Apache-2.0", 1, 1.0), (2, 9 + len(wrap(gpl, 8).split("\n")), "Apache-2.0", 0, 1.0), (None, 0, "GPL-3.0", 1, 1.0), (4, 9, "GPL-3.0", 1, 1.0), (4, 18 + n, "GPL-3.0", 1, 1.0)}
+
+
 def test_license_scan_is_dice(spark):
     rng = random.Random(8)
     pool = [w for ts in license_scan.TEMPLATES.values() for t in ts for w in re.findall(r"[a-z0-9]+", t.lower())][:60]

@@ -1,13 +1,15 @@
 """Licence templates found by the Dice coefficient over word bigrams; DataFrame functions only.
 
-A unit (a line, or a whole text of several lines) is normalised to lower-case words
+A unit (a line, a whole text of several lines, or a run of lines) is normalised to lower-case words
 of letters and digits.  With A and B the sets of distinct bigrams of a unit and a template, the
 coefficient 2 |A & B| / (|A| + |B|) can reach the threshold t only if |A| lies between
 t / (2 - t) |B| and (2 - t) / t |B|; these size bounds prune the templates of a unit
 before any intersection.  Before bigrams are built, two bounds that follow from them prune
 units by their words: d distinct words have d - 1 distinct bigrams at least, and, as at least
 t / (2 - t) of a matching unit's bigrams are the template's and each other bigram holds
-two words, only so many distinct words can be foreign to all templates.  Templates
+two words, only so many distinct words can be foreign to all templates.  Runs begin and
+end at lines that hold or touch a template's bigram, as without other lines at its ends
+a run only comes closer, and have no more words than the largest template allows.  Templates
 are constants of the plan, so nothing is shuffled.
 """
 
@@ -69,11 +71,54 @@ def _pairs(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def _marks(lines: Column, known: list[str], grams: list[str]) -> Column:
+    """Places of the lines in which, or at whose ends, a template's bigram stands."""
+    edge = lambda x, i: F.coalesce(F.slice(x, i, 1), F.array().cast("array<string>"))
+
+    def marked(i):
+        words = F.concat(edge(F.get(lines, i - 1)["words"], -1), F.get(lines, i)["words"], edge(F.get(lines, i + 1)["words"], 1))
+        return F.exists(F.array(words), lambda w: F.arrays_overlap(w, F.lit(known)) & F.arrays_overlap(_pairs(w), F.lit(grams)))
+
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), marked)
+
+
+def _runs(lines: Column, marks: Column, most: int) -> Column:
+    """(first, last, grams) of each run of lines between two marks, or of one, with at most so many words."""
+
+    def ends(p):
+        sizes = F.transform(F.slice(lines, p + 1, most), lambda x: F.size(x["words"]))
+        fit = F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")), lambda a, n: F.struct((a["n"] + (a["words"] + n <= most).cast("int")).alias("n"), (a["words"] + n).alias("words")))["n"]
+        return F.exists(F.array(fit), lambda n: n > 0), fit
+
+    def runs(p):
+        some, fit = ends(p)
+        last = F.transform(F.filter(F.array(p + fit - 1), lambda q: some), lambda z: F.filter(marks, lambda q: (q >= p) & (q <= z)))
+        return F.transform(F.flatten(last), lambda q: F.struct(p.alias("first"), q.alias("last"), _pairs(F.flatten(F.transform(F.slice(lines, p + 1, q - p + 1), lambda x: x["words"]))).alias("grams")))
+
+    return F.flatten(F.transform(marks, runs))
+
+
+def _best(lines: Column, found: Column) -> Column:
+    """The found runs of several lines that are not the whole text, hold no found line, and overlap no better run of the same template."""
+
+    def better(o, m):
+        dice = lambda x: 2 * x["shared"] / (x["unit_bigrams"] + x["size"])
+        rank = lambda x: F.struct(-dice(x), x["last"] - x["first"], x["first"])
+        same = (o["license"] == m["license"]) & (o["template_no"] == m["template_no"]) & (o["first"] <= m["last"]) & (m["first"] <= o["last"])
+        return same & ((o["first"] == o["last"]) | (rank(o) < rank(m)))
+
+    several = lambda m: (m["first"] < m["last"]) & ((m["first"] > 0) | (m["last"] < F.size(lines) - 1))
+    return F.filter(found, lambda m: several(m) & ~F.exists(found, lambda o: better(o, m)))
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit and template at or over the threshold: doc_id, line_no, license, template_no, shared, unit_bigrams, dice.
 
     line_no counts from 0; -1 is the whole text, a unit of its own if it has more than
-    one line.  Null, empty and one-word units match nothing.  All templates that reach
+    one line.  A notice wrapped over several lines of a longer text is found as a run of
+    lines, empty ones left out, with the number of its first line: the best one of those that
+    overlap, unless a line of it reaches the threshold itself.  Lines are not divided: a notice
+    within a line of other prose is found only if that line reaches the threshold.  Null, empty and one-word units match nothing.  All templates that reach
     the threshold are reported, ties included; rows that repeat an id are scanned each.
     An empty table gives an empty result.
     """
@@ -87,16 +132,37 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     units = F.concat(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("words"))), whole)
     # n distinct bigrams take n + 1 words
     long_enough = F.filter(units, lambda u: F.size(u["words"]) > int(lowest))
-    sized = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).select("doc_id", F.explode(long_enough).alias("u")).select("doc_id", "u.line_no", "u.words")
-    sized = sized.where(F.size(F.array_distinct("words")) - 1 <= int(highest) + 1).where(F.size(F.array_except("words", F.lit(known))) <= foreign * (F.size("words") - 1) + 1e-9)
-    sized = sized.select("doc_id", "line_no", _pairs(F.col("words")).alias("grams"))
-    sized = sized.where(F.size("grams").between(int(lowest), int(highest) + 1))
-    fits = []
-    for name, i, grams in rows:
-        low, high = _bounds(len(grams), threshold)
-        shared = F.size(F.array_intersect("grams", F.lit(grams)))
-        fits.append(F.when(F.size("grams").between(int(low) + (low > int(low)), int(high)), F.struct(F.lit(name).alias("license"), F.lit(i).alias("template_no"), shared.cast("long").alias("shared"), F.lit(len(grams)).alias("size"))))
-    found = sized.select("doc_id", "line_no", F.size("grams").cast("long").alias("unit_bigrams"), F.explode(F.filter(F.array(*fits), lambda m: m.isNotNull() & (m["shared"] > 0))).alias("m"))
+    unit = lambda line_no, words, lines: F.struct(line_no.cast("int").alias("line_no"), words.alias("words"), lines.alias("lines"))
+    nothing = F.array().cast("array<struct<line_no:int,words:array<string>>>")
+    filled = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("words"))), lambda x: F.size(x["words"]) > 0)
+    wrapped = F.when((F.size("lines") > 1) & F.arrays_overlap(F.flatten("lines"), F.lit(known)), F.array(unit(F.lit(-2), F.array().cast("array<string>"), filled)))
+    wrapped = F.coalesce(wrapped, F.array().cast("array<struct<line_no:int,words:array<string>,lines:array<struct<line_no:int,words:array<string>>>>>"))
+    units = F.concat(F.transform(long_enough, lambda u: unit(u["line_no"], u["words"], nothing)), wrapped)
+    sized = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.line_no", "u.words", "u.lines")
+    several = F.size("lines") > 1
+    small = (F.size(F.array_distinct("words")) - 1 <= int(highest) + 1) & (F.size(F.array_except("words", F.lit(known))) <= foreign * (F.size("words") - 1) + 1e-9)
+    sized = sized.where(F.when(F.col("line_no") == -2, several).otherwise(small))
+    all_grams = sorted({g for *_, b in rows for g in b})
+    marks = F.when(F.col("line_no") == -2, _marks(F.col("lines"), known, all_grams))
+    sized = sized.select("doc_id", "line_no", "lines", F.explode(F.array(F.struct(_pairs(F.col("words")).alias("grams"), marks.alias("marks")))).alias("u")).select("doc_id", "line_no", "lines", "u.grams", "u.marks")
+    sized = sized.where(F.when(F.col("line_no") == -2, F.size("marks") > 1).otherwise(F.size("grams").between(int(lowest), int(highest) + 1)))
+    one = F.array(F.struct(F.col("line_no").alias("first"), F.col("line_no").alias("last"), F.col("grams").alias("grams")))
+    runs = F.when(F.col("line_no") == -2, _runs(F.col("lines"), F.col("marks"), int(highest) + 2)).otherwise(one)
+    sized = sized.select("doc_id", "line_no", "lines", F.explode(F.array(runs)).alias("runs"))
+
+    def match(unit):
+        n, fits = F.size(unit["grams"]), []
+        for name, i, grams in rows:
+            low, high = _bounds(len(grams), threshold)
+            shared = F.size(F.array_intersect(unit["grams"], F.lit(grams)))
+            made = F.struct(unit["first"].alias("first"), unit["last"].alias("last"), n.cast("long").alias("unit_bigrams"), F.lit(name).alias("license"), F.lit(i).alias("template_no"), shared.cast("long").alias("shared"), F.lit(len(grams)).alias("size"))
+            fits.append(F.when(n.between(int(low) + (low > int(low)), int(high)), made))
+        return F.filter(F.array(*fits), lambda m: m.isNotNull() & (m["shared"] > 0) & (2 * m["shared"] / (m["unit_bigrams"] + m["size"]) >= threshold))
+
+    sized = sized.select("doc_id", "line_no", "lines", F.explode(F.array(F.flatten(F.transform("runs", match)))).alias("found"))
+    best = F.when(F.col("line_no") == -2, _best(F.col("lines"), F.col("found"))).otherwise(F.col("found"))
+    found = sized.select("doc_id", "line_no", "lines", F.explode(best).alias("m"))
+    found = found.select("doc_id", F.when(F.col("line_no") == -2, F.get("lines", F.col("m.first"))["line_no"]).otherwise(F.col("line_no")).alias("line_no"), "m", F.col("m.unit_bigrams").alias("unit_bigrams"))
     dice = 2 * F.col("m.shared") / (F.col("unit_bigrams") + F.col("m.size"))
     return found.select("doc_id", "line_no", "m.license", "m.template_no", "m.shared", "unit_bigrams", dice.alias("dice")).where(F.col("dice") >= threshold)
 
