@@ -49,5 +49,25 @@ def test_stages(spark, folder):
     assert sorted(map(tuple, pipeline.run(spark, path).collect())) == sorted(map(tuple, packed.collect()))
 
 
+def test_stages_decide_on_rows(spark, folder):
+    path, rows, passage = folder
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"u{rng.randrange(3000)}" for _ in range(n))
+    nasty, clean, a, b, c, near = text(30) + " nasty rotten vile", text(40), text(40), text(20), text(20), text(60)
+    texts = [(None, nasty), (300, nasty + " rotten"), (300, clean), (None, a), (None, a), (2, a), (301, f"{passage} {b}"), (301, f"{passage} {c}"), (302, near), (302, text(60)), (None, near + " changed"), (303, near + " other")]
+    docs = spark.createDataFrame([*rows, *((i, x, "en", "s", 1) for i, x in texts)], spark.read.parquet(f"{path}/documents.parquet").schema)
+    got = []
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        kept = [tuple(r) for r in docs.collect()]
+        got.append([(r[0], r[1]) for r in kept])
+        docs = spark.createDataFrame(kept, docs.schema)
+    toxic, exact, close, cut = got
+    assert not any("nasty" in (x or "") for _, x in toxic) and (300, clean) in toxic and len(toxic) == len(rows) - 40 + len(texts) - 2
+    assert [i for i, x in exact if x == a] == [2] and len(toxic) - len(exact) == 5 + 2
+    assert (302, near) in close and not {(None, near + " changed"), (303, near + " other")} & {*close} and sum(i == 302 for i, _ in close) == 2
+    assert sorted(x for i, x in cut if i == 301) == sorted([b, c]) and len({*cut}) == len(cut)
+
+
 def test_stage_names():
     assert len(pipeline.STAGES) == 5 and all(re.fullmatch(r"[a-z ]+", n) for n, _ in pipeline.STAGES)
