@@ -206,6 +206,16 @@ def test_html_text():
     assert [html_text.main_text(x) for x in (None, "", "<p>", "<!-- open", "just text", "<a href='x")] == ["", "", "", "", "just text", ""]
 
 
+def test_html_text_drops_nothing_else():
+    for kind in ("class='post category-social'", "class='tag-search'", "id=comments class='category-ads has-comments'"):
+        page = f"<body><div class='cookie-banner'>Ok?</div><article {kind}><p>One.</p><section id='related-work'><p>Two.</p></section><div class='comments'>Hm</div></article><p>Out</p></body>"
+        assert html_text.main_text(page) == "One.\n\nTwo."
+    assert html_text.main_text("<div role=main class='search'><p>One.</p></div><div>Out</div>") == "One."
+    long = ("word " * 60).strip()
+    page = f"<ul class='site-nav'><li><a href=/>Home</a></ul><div><p>{long}</p><div class=ad><p>Buy</p><p>this</p><p>now</p></div><p>Short end.</p><p><a href=x>A link</a></p></div><div class='site-footer'>F</div>"
+    assert html_text.main_text(page) == f"{long}\n\nShort end.\n\nA link"
+
+
 def test_extract_text(spark):
     rows = spark.createDataFrame([(1, "u", "<article><p>é</article>", "clash"), (1, None, None, "c"), (None, "v", "", "c")], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_text.extract_text(rows).collect())) == sorted(["Row(page_id=1, url='u', text='é', n_chars=1)", "Row(page_id=1, url=None, text='', n_chars=0)", "Row(page_id=None, url='v', text='', n_chars=0)"])

@@ -7,7 +7,7 @@ length 0.  Lengths are summed over sliding windows of lines.  Text starts at a s
 (a window over the surge level) and ends at a dive (a window of nothing); lines
 between a surge and its dive are kept.  In a page that declares its article (``article``
 or ``main``), lines outside have length 0 too and any text is a surge, so short
-articles stay whole.
+articles stay whole.  In other pages all blocks of a container stay if one does.
 """
 
 from __future__ import annotations
@@ -42,17 +42,28 @@ _CONTAINERS = _BLOCKS - frozenset("p hr h1 h2 h3 h4 h5 h6 dt dd li option tr td
 )
 _APART = frozenset("nav footer aside menu dialog select button object svg canvas audio video map head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id names of containers that are not the article.
+#: Words of class and id names of containers that are not the article, and words that may stand beside them in a name.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|aside|footer|foot|masthead|banner|topbar|ads?|advert\w*|adsbygoogle|adbox"
+    r"(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|aside|footer|foot|masthead|banner|topbar|ads?|advert\w*|adsbygoogle|adbox"
     r"|sponsor(?:ed)?|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
     r"|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|pagination|pager|toolbar"
-    r"|widgets?|search|form)(?=$|[\s_-])",
+    r"|widgets?|search|form)",
     re.I,
 )
+_BESIDE = frozenset("site page main global primary secondary top bottom left right header head bar box area list wrap wrapper container section block inner outer content links posts buttons".split())
 _HEADS = re.compile(r"(?:^|[\s_-])(?:header|page-?head|site-?head)(?=$|[\s_-])", re.I)
 
 
+def _names_apart(value: str) -> bool:
+    """Whether a class or id is one of the names, by itself or only with words beside it; category-social and related-work aren't."""
+    for name in value.split():
+        parts = [x for x in re.split("[_-]", name) if x]
+        named = [bool(_NAMES.fullmatch(x)) for x in parts]
+        if any(named) and all(n or x.lower() in _BESIDE for n, x in zip(named, parts, strict=True)):
+            return True
+    return False
+
+
 class _Box:
     """An open or closed container."""
 
@@ -63,6 +74,7 @@ class _Box:
         self.declared = name in ("article", "main")
         self.apart, self.head, self.form = name in _APART, name == "header", name in ("form", "search")
         if attributes and name not in ("html", "body"):
+            named = False
             for kind, value in _NAMED.findall(attributes):
                 value = value.strip("\"'")
                 if kind.lower() == "role":
@@ -72,7 +84,8 @@ class _Box:
                     self.apart |= not {*roles}.isdisjoint(_ROLES - {"search", "form"})
                 elif name != "main":
                     self.head |= name != "article" and bool(_HEADS.search(value))
-                    self.apart |= bool(_NAMES.search(value))
+                    named |= _names_apart(value)
+            self.apart |= named and not self.declared
             self.apart |= name != "main" and bool(_HIDDEN.search(attributes))
 
 
@@ -187,6 +200,9 @@ def main_text(page: str | None) -> str:
         if max(windows[i:end]) >= level:
             kept += [j for j in range(i, min(end, len(sizes))) if sizes[j]]
         i = end
+    if not declared_text:  # short blocks and links beside kept ones, in the same container
+        beside = {id(lines[j][2]) for j in kept}
+        kept = [j for j, (_, _, box, _) in enumerate(lines) if id(box) in beside and not state[id(box)][0] and not state[id(box)][2]]
     return "\n\n".join(lines[j][0] for j in kept)
 
 
