@@ -141,6 +141,45 @@ def test_remove_repeats_in_several_passes(spark, awkward, monkeypatch):
     assert got == brute_cut(awkward, 20)
 
 
+def test_remove_repeats_of_ids_with_several_texts(spark):
+    """Rows of one id don't count against each other, whatever their texts."""
+    rng = random.Random(12)
+    t = words_of(rng, 60, 4000)
+    rows = [(1, t + " extra one"), (1, t + " other two three"), (2, t), (3, "x " + t.rsplit(" ", 5)[0] + " y"), (3, "z " + t)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(docs(spark, rows)).collect())
+    assert got == [(1, 62, 0), (1, 63, 0), (2, 60, 60), (3, 57, 55), (3, 61, 60)]
+
+
+@pytest.mark.parametrize("parts", [4, 1 << 10])
+def test_remove_repeats_where_a_gram_has_many_contexts(spark, monkeypatch, parts):
+    """A phrase shorter than a window in many documents: windows that their home lacks meet in later rounds."""
+    monkeypatch.setattr(substring, "PART_ANCHORS", parts)
+    rng = random.Random(13)
+    phrase, tails = words_of(rng, 30, 4000), [words_of(rng, 80, 4000) for _ in range(9)]
+    rows = [(i, f"{words_of(rng, 20, 4000)} {phrase} {tails[rng.randrange(9)]} {words_of(rng, 9, 4000)}") for i in range(60)]
+    rows += [(60 + i, " ".join(" ".join(rng.sample(tails, 3)).split()[rng.randrange(60) :])) for i in range(20)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs(spark, rows)).collect()}
+    assert got == brute_cut(rows, 50)
+
+
+def test_remove_repeats_of_very_long_texts(spark):
+    """A million words, and a word repeated 300,000 times; the shards stay small."""
+    rng = np.random.default_rng(14)
+    long = [f"w{x}" for x in rng.integers(0, 10**6, 1_000_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["a", *long[500_000:500_200], "b"])), (3, "same " * 300_000), (4, "same " * 70 + "end"), (5, " ".join(long[:100_000] + ["c"] + long[100_000:200_000]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(docs(spark, rows)).collect()}
+    assert got == {1: (1_000_000, 0), 2: (202, 200), 3: (300_000, 0), 4: (71, 70), 5: (200_001, 200_000)}
+
+
+def test_automata_decide(spark, awkward, monkeypatch):
+    """Anchors only route: without the matching statistics the result is another one."""
+    want = brute_cut(awkward, 20)
+    for answer in (lambda self, codes: [0] * len(codes), lambda self, codes: list(range(1, len(codes) + 1))):
+        monkeypatch.setattr(substring, "SuffixAutomaton", type("Other", (), {"__init__": lambda self, sequences: None, "matching": answer}))
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs(spark, awkward), 20).collect()}
+        assert got != want
+
+
 def test_without_broadcasts(spark, awkward, monkeypatch):
     """Beyond the size bound of broadcasts the same comes from shuffles."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)

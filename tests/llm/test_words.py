@@ -26,6 +26,16 @@ def test_hashes_depend_on_words_only():
     assert rolling(a.code[1:4], 3).tolist() == rolling(b.code, 3).tolist()
 
 
+def test_long_words_do_not_collide():
+    """Thue-Morse words, on which polynomial hashes modulo 2^64 are equal."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    assert len({*Words(pa.array([a, b, a.upper()])).code.tolist()}) == 3
+    low = Words(pa.array([f"x {a}", a.upper(), b, f"{a}\u00c9", f"{a}\u00e9"]), lower=True).code
+    assert low[1] == low[2] and len({*low.tolist()}) == 5
+
+
 def test_shingle_sets():
     sets = Words(pa.array(["a b c d a b c d", "a b", "", "a b c d"]), lower=True).shingle_sets(4)
     assert [len(s) for s in sets] == [4, 1, 0, 1] and sets[3][0] in sets[0]

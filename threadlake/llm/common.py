@@ -13,39 +13,56 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset in local mode (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder; lost executors can't take it away.
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    The table goes when the session's JVM ends.
+
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder, with a folder for each value of ``by``; lost executors can't take it away.
+
+    The table goes with release(), or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/threadlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    system, where = _folder(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables of which nothing is read any more."""
+    for t in tables:
+        system, where = _folder(t.sparkSession, t._staged_path)
+        system.delete(where, True)
 
 
 #: Rows of a staged table, and items in its array column, that may be broadcast: about 130 MB at most.
 BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 1_000_000
 
 
-def beside(docs: DataFrame, few: DataFrame, how: str, on: str = "doc_id", array: str | None = None) -> DataFrame:
+def beside(docs: DataFrame, few: DataFrame, how: str, on: str = "doc_id", items: str | None = None) -> DataFrame:
     """docs joined to a staged table of ids, which is broadcast only if counting shows that it is small.
 
+    ``items`` is a column of few with the number of array items of the row; it is not part of the result.
     Beyond the bounds both sides are shuffled on the id.
     """
-    size = few.limit(BROADCAST_ROWS + 1).select(F.count("*"), F.sum(F.size(array)) if array else F.lit(0)).first()
+    size = few.limit(BROADCAST_ROWS + 1).select(F.count("*"), F.sum(items) if items else F.lit(0)).first()
     small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_ITEMS
+    few = few.drop(items) if items else few
     return docs.join(F.broadcast(few) if small else few, on, how)
 
 

@@ -1,39 +1,46 @@
 """Removal of word passages that an earlier document has, by suffix automata.
 
-A window is ``length`` consecutive words.  The work narrows in steps, and each step is
-grouped by something that a hot passage can't make unbounded:
-
-1. documents with one word sequence are one class, its smallest id speaks for it; all
-   words of the others are in the first one;
-2. each window has an anchor, its smallest k-gram hash; anchors of one document only are
-   dropped, and windows of other anchors form candidate segments (as word codes);
-3. windows of the segments that occur in two documents or more stay, each routed to the
-   place where it comes first; runs of windows with one such home are pieces.  Pieces at
-   home are the reference, all others are streamed;
-4. the reference is cut into shards of bounded size, and bounded blocks of shards are
-   broadcast, one pass for each.  A worker builds a shard's suffix automaton when
-   it first needs it and streams the pieces routed to the shard through it;
+A window is ``length`` consecutive words.  Documents with one word sequence are one class: its
+smallest id speaks for it, and all words of the others are in the first one.  The rest goes in
+rounds over the windows that are not decided yet:
+
+1. each window has an anchor, its smallest k-gram hash.  Windows whose anchor is in one
+   document only are unique and drop out;
+2. the windows of an anchor meet at its home, the document with the smallest id that has it.
+   Windows of that document are the reference; runs of windows of other documents with one home
+   are streamed.  A home with many anchors is divided by anchors, so a long text is too;
+3. the reference is cut into shards.  A bounded block of shards is broadcast, the pieces routed to
+   it are streamed, what they give is written, and the broadcast is destroyed before the next.
+   A worker builds a shard's suffix automaton when it first needs it;
    where the matching statistic reaches ``length``, the window is removed.
 
-Each piece meets one shard only, so the passes together read every piece once.
+Other windows share a k-gram with their home but aren't there; they go to the next round, whose k-grams are
+longer.  In the last one the gram is the window, so every repeated window has met the first
+document that has it.  Anchors only say where to look: equality is decided by the automata, on 64-bit codes
+of words.  Every round is grouped by keys whose rows aggregate map-side or are streamed, and each
+streamed piece meets one shard.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import beside, staged, table
+from threadlake.llm.common import beside, release, staged, table
 from threadlake.llm.words import Words, rolling, slices
 
-#: Words of a k-gram that can be an anchor.
-GRAM = 16
-#: Words in a shard, and in a block of shards that is broadcast.
-SHARD_WORDS, BLOCK_WORDS = 1 << 16, 1 << 22
+#: Words of the k-grams that are anchors, for each round but the last, whose grams are whole windows.
+GRAMS = (16, 32)
+#: Anchors of a part of a home, words in a shard, and words in a block of shards that is broadcast.
+PART_ANCHORS, SHARD_WORDS, BLOCK_WORDS = 1 << 10, 1 << 16, 1 << 22
+#: Words that a window of the reference takes on average, for sizing shards and blocks; a block that turns out larger takes several passes.
+WORDS_OF_ANCHOR = 40
 
 
 def anchors(codes: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -111,7 +118,19 @@ def _class_of(codes: np.ndarray) -> bytes:
     return hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
 
 
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+
+
+def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    """(first, one past the last) of the runs of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
 def _profile(length: int, gram: int):
+    """Of rows (doc_id, text): the number of words, the class and the distinct anchors."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("cls", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -123,83 +142,85 @@ def _profile(length: int, gram: int):
                 for a, b in zip(words.ptr[:-1].tolist(), words.ptr[1:].tolist(), strict=True):
                     cls.append(_class_of(words.code[a:b]))
                     found.append(np.unique(low[a : b - length + 1]) if b - a >= length else np.zeros(0, np.int64))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.counts(), pa.int64()), pa.array(cls, pa.binary()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.counts(), pa.int64()), pa.array(cls, pa.binary()), _lists(found)], schema=schema)
 
     return run
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    """(first, one past the last) of the runs of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-
-
-def _segments(length: int, gram: int):
-    """Candidate segments: doc, cls, start, codes of the runs of windows with a shared anchor."""
-    schema = pa.schema([("doc", pa.int64()), ("cls", pa.binary()), ("start", pa.int64()), ("codes", pa.binary())])
+def _anchored(length: int, gram: int):
+    """Of undecided runs (doc, cls, start, codes): the distinct anchors."""
+    schema = pa.schema([("doc", pa.int64()), ("cls", pa.binary()), ("start", pa.int64()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column(1))
-                low = anchors(words.code, length, gram).view(np.int64)
-                out = [[], [], [], []]
-                for i, (a, b) in enumerate(zip(words.ptr[:-1].tolist(), words.ptr[1:].tolist(), strict=True)):
-                    codes, cls = words.code[a:b], _class_of(words.code[a:b])
-                    for known, shared in zip(part.column(2)[i].as_py(), part.column(3)[i].values, strict=True):
-                        if known != cls:  # another row with this id
-                            continue
-                        for s, e in _runs(np.isin(low[a : b - length + 1], shared.values.to_numpy())):
-                            for column, x in zip(out, (part.column(0)[i].as_py(), cls, s, codes[s : e + length - 1].tobytes()), strict=True):
-                                column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+            found = [np.unique(anchors(np.frombuffer(x.as_buffer(), np.uint64), length, gram).view(np.int64)) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(found)], schema=schema)
 
     return run
 
 
-def _windows(length: int):
-    schema = pa.schema([("window", pa.int64()), ("doc", pa.int64()), ("cls", pa.binary()), ("pos", pa.int64())])
+def _of_texts(batches) -> Iterator[tuple]:
+    """(doc, cls, start, codes, routes) of rows (doc_id, text, known: array of (cls, routes))."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            words = Words(part.column(1))
+            for i, (a, b) in enumerate(zip(words.ptr[:-1].tolist(), words.ptr[1:].tolist(), strict=True)):
+                cls = _class_of(words.code[a:b])
+                known = part.column(2)[i].values
+                for k, other in enumerate(known.field("cls").to_pylist()):
+                    if other == cls:  # else another row with this id
+                        yield part.column(0)[i].as_py(), cls, 0, words.code[a:b], known.field("routes")[k].values
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                hashes = rolling(np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64), length).view(np.int64)
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.repeat(batch.column(0)[i], n), pa.repeat(batch.column(1)[i], n), pa.array(np.arange(n) + batch.column(2)[i].as_py())], schema=schema)
 
-    return run
+def _of_runs(batches) -> Iterator[tuple]:
+    """The same of undecided runs (doc, cls, start, codes, routes)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield *(batch.column(k)[i].as_py() for k in range(3)), np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64), batch.column(4)[i].values
+
 
+PIECES = "home long, doc long, cls binary, start long, codes binary, at_home boolean"
 
-def _pieces(length: int):
-    """Runs of windows of one home: home, doc, cls, start, codes, at_home."""
+
+def _pieces(length: int, gram: int, read):
+    """Runs of windows of one home; of windows at home, the first of equal ones."""
     schema = pa.schema([("home", pa.int64()), ("doc", pa.int64()), ("cls", pa.binary()), ("start", pa.int64()), ("codes", pa.binary()), ("at_home", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
-            out = [[] for _ in schema]
-            for i in range(batch.num_rows):
-                doc, cls, start = (batch.column(k)[i].as_py() for k in range(3))
-                codes = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                routes = batch.column(4)[i].values
-                pos, home, own = (routes.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "home", "at_home"))
-                mine = np.flatnonzero((pos >= start) & (pos <= start + len(codes) - length))
-                mine = mine[np.argsort(pos[mine])]
-                pos, home, own = pos[mine] - start, home[mine], own[mine]
-                cuts = np.flatnonzero((np.diff(pos) != 1) | (np.diff(home) != 0) | (own[1:] != own[:-1])) + 1
-                for part in np.split(np.arange(len(pos)), cuts) if len(pos) else []:
-                    a, b = int(pos[part[0]]), int(pos[part[-1]]) + length
-                    for column, x in zip(out, (int(home[part[0]]), doc, cls, start + a, codes[a:b].tobytes(), bool(own[part[0]])), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+        out, size = [[] for _ in schema], 0
+        for doc, cls, start, codes, routes in read(batches):
+            low = anchors(codes, length, gram).view(np.int64)
+            anchor, homes, owns = (routes.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "home", "at_home"))
+            order = np.argsort(anchor)
+            at = order[np.minimum(np.searchsorted(anchor, low, sorter=order), len(order) - 1)]
+            take, home, own = anchor[at] == low, homes[at], owns[at]
+            mine = np.flatnonzero(take & own)
+            if len(mine):
+                once = np.unique(rolling(codes, length)[mine], return_index=True)[1]
+                take[mine] = False
+                take[mine[once]] = True
+            pos = np.flatnonzero(take)
+            home, own = home[pos], own[pos]
+            cuts = np.flatnonzero((np.diff(pos) != 1) | (np.diff(home) != 0) | (own[1:] != own[:-1])) + 1
+            for part in np.split(np.arange(len(pos)), cuts) if len(pos) else []:
+                a, b = int(pos[part[0]]), int(pos[part[-1]]) + length
+                for column, x in zip(out, (int(home[part[0]]), doc, cls, start + a, codes[a:b].tobytes(), bool(own[part[0]])), strict=True):
+                    column.append(x)
+                size += b - a
+            if size > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+                out, size = [[] for _ in schema], 0
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
+RUNS = "doc long, cls binary, first long, past long, codes binary"
+
+
 def _stream(length: int, shards):
-    """Spans (doc, cls, first word, one past the last) whose windows are in the shard of their piece."""
-    schema = pa.schema([("doc", pa.int64()), ("cls", pa.binary()), ("first", pa.int64()), ("past", pa.int64())])
+    """Spans (doc, cls, first word, one past the last) of windows in the shard of their piece; those of other windows with their codes."""
+    schema = pa.schema([("doc", pa.int64()), ("cls", pa.binary()), ("first", pa.int64()), ("past", pa.int64()), ("codes", pa.binary())])
 
     def run(batches):
         at, automaton, known = None, None, {}
@@ -208,17 +229,17 @@ def _stream(length: int, shards):
             for i in range(batch.num_rows):
                 shard = batch.column(0)[i].as_py()
                 if shard != at:
-                    at, automaton, known = shard, SuffixAutomaton(np.frombuffer(x, np.uint64).tolist() for x in shards.value[shard]), {}
+                    at, automaton, known = shard, SuffixAutomaton(np.frombuffer(x, np.uint64).tolist() for x in shards.value.get(shard, ())), {}
                 raw = batch.column(4)[i].as_py()
                 spans = known.get(raw)
                 if spans is None:
-                    ends = np.array(automaton.matching(np.frombuffer(raw, np.uint64).tolist())) >= length
-                    spans = [(a - length + 1, b) for a, b in _runs(ends)]
+                    there = np.array(automaton.matching(np.frombuffer(raw, np.uint64).tolist()))[length - 1 :] >= length
+                    spans = [(a, b + length - 1, None) for a, b in _runs(there)] + [(a, b + length - 1, raw[8 * a : 8 * (b + length - 1)]) for a, b in _runs(~there)]
                     if len(known) < 10_000:
                         known[raw] = spans
                 start = batch.column(3)[i].as_py()
-                for a, b in spans:
-                    for column, x in zip(out, (batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), start + a, start + b), strict=True):
+                for a, b, codes in spans:
+                    for column, x in zip(out, (batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), start + a, start + b, codes), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
@@ -249,40 +270,77 @@ def _cut(length: int):
     return run
 
 
+def _routes(having: DataFrame, *key: str) -> tuple[DataFrame, int]:
+    """(anchor, home, at_home) of the anchors that two documents have, for each key; and the number of such anchors.
+
+    having: the key, whose first column is the document, and an anchor.
+    """
+    doc = key[0]
+    common = having.groupBy("anchor").agg(F.min(doc).alias("low"), F.max(doc).alias("high")).where("low < high").select("anchor", "low")
+    common = staged(common, "anchors")
+    long = common.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > PART_ANCHORS).select("low", F.ceil(F.col("n") / PART_ANCHORS).alias("parts"))
+    part = F.pmod("anchor", F.coalesce("parts", F.lit(1)))
+    common = common.join(long, "low", "left").select("anchor", "low", F.xxhash64("low", part).alias("home"))
+    routed = having.join(common, "anchor").groupBy(*key).agg(F.collect_list(F.struct("anchor", "home", (F.col("low") == F.col(doc)).alias("at_home"))).alias("routes"))
+    return staged(routed, "routes"), common.count()
+
+
+def _passes(pieces: DataFrame, n_anchors: int, length: int) -> list[DataFrame]:
+    """What the pieces give, a staged table (of RUNS) for each block of shards."""
+    words = n_anchors * WORDS_OF_ANCHOR
+    blocks, shards = max(1, -(-words // BLOCK_WORDS)), max(1, -(-words // SHARD_WORDS))
+    shard = F.pmod(F.col("home"), F.lit(shards))
+    # a block's pieces lie together, so each pass reads its own only
+    pieces = pieces.select("*", shard.alias("shard"), F.pmod(shard, F.lit(blocks)).cast("int").alias("block")).drop("home")
+    pieces = staged(pieces.hint("rebalance", "shard").sortWithinPartitions("block", "shard"), "pieces", by="block")
+    sizes = pieces.where("at_home").groupBy("block").agg(F.sum(F.length("codes") / 8).alias("words"))
+    found = []
+    for block, total in sorted(sizes.toArrow().to_pandas().itertuples(index=False)):  # a row for each block
+        turns = max(1, int(-(-total // BLOCK_WORDS)))
+        for turn in range(turns):
+            mine = pieces.where((F.col("block") == block) & (F.pmod(F.floor(F.col("shard") / blocks), F.lit(turns)) == turn))
+            codes = mine.where("at_home").groupBy("shard").agg(F.collect_list("codes").alias("codes")).toArrow()
+            reference = pieces.sparkSession.sparkContext.broadcast(dict(zip(codes["shard"].to_pylist(), codes["codes"].to_pylist(), strict=True)))
+            streamed = mine.where("not at_home").select("shard", "doc", "cls", "start", "codes").sortWithinPartitions("shard")
+            found.append(staged(streamed.mapInArrow(_stream(length, reference), RUNS), "runs"))
+            reference.destroy()
+    release(pieces)
+    return found
+
+
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, what: array of (cls, first, past), for documents (doc_id, text) with words to remove."""
-    gram = min(GRAM, length)
+    """doc_id, what: array of (cls, first, past), n_spans, for documents (doc_id, text) with words to remove."""
+    grams = sorted({min(g, length) for g in (*GRAMS, length)})
     docs = docs.where("doc_id is not null")
-    rows = staged(docs.mapInArrow(_profile(length, gram), "doc_id long, n_words long, cls binary, anchors array<long>").where(F.col("n_words") >= length), "profiles")
-    classes = staged(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("anchors").alias("anchors")), "classes")
-    copies = rows.join(staged(classes.where("size > 1").select("cls", "rep"), "copied"), "cls").where("doc_id > rep")
-    whole = copies.select("doc_id", "cls", F.lit(0).cast("long").alias("first"), F.col("n_words").alias("past"))
-    having = classes.select(F.explode("anchors").alias("anchor"), "rep", "cls")
-    common = having.groupBy("anchor").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("anchor")
-    picked = having.join(staged(common, "anchors"), "anchor").groupBy("rep", "cls").agg(F.collect_set("anchor").alias("shared"))
-    picked = staged(picked.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("cls").alias("known"), F.collect_list("shared").alias("what")), "picked")
-    segments = beside(docs, picked, "inner", array="what").select("doc_id", "text", "known", "what").mapInArrow(_segments(length, gram), "doc long, cls binary, start long, codes binary")
-    segments = staged(segments, "segments")
-    windows = segments.mapInArrow(_windows(length), "window long, doc long, cls binary, pos long")
-    homes = windows.groupBy("window").agg(F.min(F.struct("doc", "cls")).alias("home"), F.max("doc").alias("high")).where("home.doc < high")
-    homes = staged(homes.select("window", "home"), "homes")
-    at_home = (F.col("doc") == F.col("home.doc")) & (F.col("cls") == F.col("home.cls"))
-    routes = windows.join(homes, "window").select("doc", "cls", "pos", F.xxhash64("home.doc", "home.cls").alias("home"), at_home.alias("at_home"))
-    routes = routes.groupBy("doc", "cls").agg(F.collect_list(F.struct("pos", "home", "at_home")).alias("routes"))
-    pieces = segments.join(staged(routes, "routes"), ["doc", "cls"]).select("doc", "cls", "start", "codes", "routes")
-    pieces = staged(pieces.mapInArrow(_pieces(length), "home long, doc long, cls binary, start long, codes binary, at_home boolean"), "pieces")
-    total = pieces.where("at_home").agg(F.sum(F.length("codes") / 8)).first()[0] or 0
-    n_shards, passes = max(1, int(-(-total // SHARD_WORDS))), max(1, int(-(-total // BLOCK_WORDS)))
-    shard = F.pmod("home", F.lit(n_shards))
-    reference = pieces.where("at_home").select(shard.alias("shard"), "codes")
-    streamed = pieces.where("not at_home").select(shard.alias("shard"), "doc", "cls", "start", "codes")
-    spans = whole
-    for i in range(passes):
-        block = reference.where(F.col("shard") % passes == i).groupBy("shard").agg(F.collect_list("codes").alias("codes")).toArrow()
-        shards = docs.sparkSession.sparkContext.broadcast(dict(zip(block["shard"].to_pylist(), block["codes"].to_pylist(), strict=True)))
-        part = streamed.where(F.col("shard") % passes == i).hint("rebalance", "shard").sortWithinPartitions("shard")
-        spans = spans.unionByName(part.mapInArrow(_stream(length, shards), "doc long, cls binary, first long, past long").withColumnRenamed("doc", "doc_id"))
-    return staged(spans.groupBy("doc_id").agg(F.collect_list(F.struct("cls", "first", "past")).alias("what")), "spans")
+    rows = staged(docs.mapInArrow(_profile(length, grams[0]), "doc_id long, n_words long, cls binary, anchors array<long>").where(F.col("n_words") >= length), "profiles")
+    classes = staged(rows.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.count("*").alias("size"), F.first("anchors").alias("anchors")), "classes")
+    copied = staged(classes.where("size > 1").select("cls", "doc"), "copied")
+    copies = rows.join(copied, "cls").where("doc_id > doc")
+    spans = [staged(copies.select(F.col("doc_id").alias("doc"), "cls", F.lit(0).cast("long").alias("first"), F.col("n_words").alias("past")), "whole")]
+    release(rows, copied)
+    routes, n = _routes(classes.select("doc", "cls", F.explode("anchors").alias("anchor")), "doc", "cls")
+    release(classes)
+    known = routes.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("cls", "routes")).alias("known"), F.sum(F.size("routes")).alias("n_routes"))
+    known = staged(known, "known")
+    release(routes)
+    pieces = beside(docs, known, "inner", items="n_routes").select("doc_id", "text", "known").mapInArrow(_pieces(length, grams[0], _of_texts), PIECES)
+    runs = _passes(pieces, n, length)
+    release(known)
+    for gram in [*grams[1:], None]:
+        spans += runs
+        left = reduce(DataFrame.unionByName, runs).where("codes is not null").select("doc", "cls", F.col("first").alias("start"), "codes") if runs else None
+        if gram is None or left is None or left.isEmpty():
+            break
+        having = left.mapInArrow(_anchored(length, gram), "doc long, cls binary, start long, anchors array<long>").select("doc", "cls", "start", F.explode("anchors").alias("anchor"))
+        routes, n = _routes(having, "doc", "cls", "start")
+        pieces = left.join(routes, ["doc", "cls", "start"]).select("doc", "cls", "start", "codes", "routes").mapInArrow(_pieces(length, gram, _of_runs), PIECES)
+        runs = _passes(pieces, n, length)
+        release(routes)
+    removed = [s.where("codes is null").drop("codes") if "codes" in s.columns else s for s in spans]
+    removed = reduce(DataFrame.unionByName, removed).groupBy(F.col("doc").alias("doc_id"))
+    out = staged(removed.agg(F.collect_list(F.struct("cls", "first", "past")).alias("what"), F.count("*").alias("n_spans")), "spans")
+    release(*spans)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Other columns are not read.  An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = beside(docs, repeated_spans(docs, length), "left", array="what").select("doc_id", "text", "what")
+    marked = beside(docs, repeated_spans(docs, length), "left", items="n_spans").select("doc_id", "text", "what")
     return marked.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -8,6 +8,7 @@ of one slice plus a few words-long arrays.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ U64 = np.uint64
 #: Bytes of text hashed at a time, and bytes of text in a slice of a batch.
 BLOCK = 1 << 20
 SLICE_BYTES = 1 << 20
+#: Bytes of the longest word with a polynomial hash; much longer ones could be built to collide modulo 2^64.
+LONGEST = 255
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -119,6 +122,9 @@ class Words:
             h = (total[end] - total[begin]) * _power_table(_INVERSE, size)[begin]
             out[i:j] = mix(h + (end - begin).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
             i = j
+        for i in np.flatnonzero(ends - self.begin > LONGEST).tolist():
+            word = self.data[self.begin[i] : ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word.lower() if self._table is _LOWER else word, digest_size=8).digest(), "little")
         return out
 
     def counts(self) -> np.ndarray:
