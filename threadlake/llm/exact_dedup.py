@@ -1,22 +1,24 @@
 """Exact de-duplication with a heavy-hitter split; DataFrame functions only.
 
 A Misra-Gries summary (Spark's ``approx_top_k``, a mergeable frequent-items
-sketch with a fixed number of counters) names digests that may be frequent.
-One exact, map-side combined count verifies them; the winners, ``heavy`` rows at
-most, are broadcast and settle their copies without a shuffle.  A digest outside
-the summary has at most a few N / counters rows, so the ordinary shuffle of the
-rest has no hot key.  The split only moves work: results are exact whatever
-the sketch says.
+sketch with a fixed number of counters) names every digest that can have more than about N / counters
+rows.  One exact, map-side combined count verifies them; the winners, at most one for each counter,
+are broadcast and settle their copies without a shuffle.  The remaining digests go through
+ordinary shuffling, which has no hot key any more: a map-side combined aggregate, and a
+join with those of its groups that have several rows.  The split only moves work: results are
+exact whatever the sketch says.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import staged, table
 
+#: Counters of the summary, and so the most winners that are broadcast.
+COUNTERS = 4096
+
 
 def normalised(text: Column) -> Column:
     """Each run of ASCII white space as one space; null as empty."""
@@ -24,7 +26,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 256, counters: int = 4096) -> DataFrame:
+def _groups(rows: DataFrame) -> DataFrame:
+    """text_sha256, keep_id, group_size of the digests that several rows have."""
+    return rows.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+
+
+def heavy_digests(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """The verified groups of all digests that the summary holds, a staged table of at most ``counters`` rows."""
+    frequent = rows.agg(F.expr(f"approx_top_k(text_sha256, {counters}, {counters})").alias("top")).select(F.explode("top.item").alias("text_sha256"))
+    return staged(_groups(rows.join(F.broadcast(frequent), "text_sha256")), "winners")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their white-space-normalised SHA-256 digests are; null
@@ -34,14 +47,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result.
     """
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")), "digests")
-    frequent = rows.agg(F.expr(f"approx_top_k(text_sha256, {heavy}, {counters})").alias("top")).select(F.explode("top.item").alias("text_sha256"))
-    groups = (F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    winners = rows.join(F.broadcast(frequent), "text_sha256").groupBy("text_sha256").agg(*groups).where("group_size > 1")
-    winners = staged(winners, "winners")
-    same = W.partitionBy("text_sha256")
-    split = rows.join(F.broadcast(winners), "text_sha256", "left")
-    hot = split.where("group_size is not null")
-    rest = split.where("group_size is null").select("doc_id", "text_sha256", F.min("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"))
+    winners = heavy_digests(rows, counters)
+    hot = rows.join(F.broadcast(winners), "text_sha256")
+    rest = rows.join(F.broadcast(winners), "text_sha256", "left_anti")
+    rest = rest.join(_groups(rest), "text_sha256", "left")
+    alone = F.col("group_size").isNull()
+    rest = rest.select("text_sha256", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(alone, F.lit(1)).otherwise(F.col("group_size")).alias("group_size"))
     return hot.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
