@@ -1,18 +1,19 @@
 """Exact inner-product top-k with an impact-ordered, score-at-a-time index.
 
-Rows are cut into blocks.  In each block every (dimension, sign) is a posting
-list whose postings fall into segments by quantised impact (the magnitude of the
-component); a segment's postings count with its lower edge.  Segments are
-processed for all queries of a block at once, largest impact first, and after each
-impact level every row has an interval that holds its true score: what was seen
-is off by a segment's width at most, what was not seen is below the last edge.  A
-query stops only when its interval bounds prove that few enough rows can be
-among its best k, or when all levels are done; the rows that can be are rescored
-exactly.  Queries are broadcast in blocks of bounded size, one pass for each.
+Rows are cut into blocks.  In each block every (dimension, sign) is a posting list, cut into segments by
+quantised impact (the magnitude of the component); the levels follow the block's own magnitudes.
+A query processes segments by descending product of its component and the segment's impact, and
+each posting counts with the middle of its level.  After each portion of the postings every row has an
+interval that holds its true score: what was seen is off by half a level at most, and what
+was not seen is at most the query's component times the largest impact left in that dimension.  A query
+stops only when its intervals prove that few enough rows can be among its best k, or when no
+segment is left; the rows that can be are rescored exactly.  Queries are
+broadcast in blocks of bounded size; each block is one pass over the rows, and its results are written before the next.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,101 +26,120 @@ from pyspark.sql import functions as F
 from threadlake.llm.common import staged, table
 
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
 #: Most bytes of queries that are broadcast at once.
 BROADCAST_BYTES = 32 << 20
-LEVELS = 12
+#: Cuts of the magnitudes by rank, and as many by size; shares of the postings after which a query tries to stop.
+LEVELS, TRIES = 12, (0.1, 0.25, 0.5, 0.7, 0.8, 0.88, 0.94, 0.98, 1.0)
 
 
 class ImpactIndex:
-    """Posting segments of one block of integer vectors."""
+    """Posting segments of one block of integer vectors; ``stops`` counts how searches ended."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS):
-        self.ids, self.rows = ids, rows
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows, self.stops = ids, rows, Counter()
+        n, dim = rows.shape
         size = np.abs(rows)
-        top = int(size.max(initial=0))
-        self.exact = float(top) < 2**26  # sums of products stay exact in doubles
-        self.edges = np.unique(np.ceil(np.linspace(0, top + 1, levels + 1)).astype(np.int64))[::-1]
-        self.segments = []
-        for high, low in zip(self.edges[:-1], self.edges[1:], strict=True):
-            there = (size >= low) & (size < high)
-            # the width is high - 1 - low: the values in the segment are integers
-            self.segments.append((int(low), int(high - 1 - low), (np.sign(rows) * there * low).T.astype(np.float64), there))
+        there = size > 0
+        values = np.sort(size[there])
+        top = int(values[-1]) if len(values) else 1
+        by_rank = values[(np.arange(1, LEVELS) * len(values)) // LEVELS] if len(values) else values
+        cuts = np.unique(np.concatenate([by_rank, np.linspace(1, top, LEVELS + 1)[1:-1].astype(np.int64)]))[::-1]
+        # level 0 has the largest impacts; zeros are in no level
+        level = np.searchsorted(-cuts, -size, side="left")
+        self.levels = len(cuts) + 1
+        level[~there] = self.levels
+        self.low, self.high = np.zeros(self.levels + 1), np.zeros(self.levels + 1)
+        bounds = np.concatenate(([0], np.searchsorted(values, cuts[::-1], side="left"), [len(values)]))[::-1]
+        for i, (b, a) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if b > a:
+                self.low[i], self.high[i] = values[a], values[b - 1]
+        self.level = level.astype(np.uint8)
+        # the largest impact left when the levels before are done
+        self.left = np.maximum.accumulate(self.high[::-1])[::-1]
+        # a segment for each dimension and level, positive postings before negative ones
+        at_row, at_dim = np.nonzero(there)
+        key = (at_dim * self.levels + level[at_row, at_dim]) * 2 + (rows[at_row, at_dim] < 0)
+        order = np.argsort(key, kind="stable")
+        self.posting = at_row[order].astype(np.int32)
+        self.ends = np.searchsorted(key[order], np.arange(2 * dim * self.levels + 1))
+        self.largest = size.max(axis=0, initial=0)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, row ids, scores) with at least the best k rows of the block for each query, and few others."""
-        n, few = len(self.ids), max(64, 4 * k)
-        own = query_ids[:, None] == self.ids[None, :]
-        if not self.exact or np.abs(queries).max(initial=0) >= 2**26:
-            for i in range(len(queries)):
-                yield self._best(i, np.flatnonzero(~own[i]), query_ids, queries, k)
-            return
-        weight = np.abs(queries).astype(np.float64)
-        got = np.zeros((len(queries), n))
-        slack = np.zeros((len(queries), n))
-        wide = weight.sum(axis=1, keepdims=True)
-        seen = np.zeros((len(queries), n))
-        active = np.arange(len(queries))
-        for low, width, postings, there in self.segments:
-            got[active] += queries[active] @ postings
-            hit = weight[active] @ there.T
-            slack[active] += hit * width
-            seen[active] += hit
-            off = slack[active] + (wide[active] - seen[active]) * max(low - 1, 0)
-            lower = np.where(own[active], -np.inf, got[active] - off)
-            upper = np.where(own[active], -np.inf, got[active] + off)
-            bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
-            possible = (upper >= bar[:, None]) & ~own[active]
-            done = (possible.sum(axis=1) <= few) | (low == self.edges[-1])
-            for i in np.flatnonzero(done):
-                yield self._best(active[i], np.flatnonzero(possible[i]), query_ids, queries, k)
-            active = active[~done]
-            if not len(active):
-                return
-
-    def _best(self, i, rows, query_ids, queries, k):
-        score = self.rows[rows] @ queries[i].astype(np.int64)
-        order = np.lexsort((self.ids[rows], -score))[:k]
-        return int(query_ids[i]), self.ids[rows][order], score[order]
-
-
-def _pack(batches):
-    """Blocks of rows of one length as bytes: n, dim, ids, components."""
-    for batch in batches:
-        lists = batch.column(1)
-        sizes = np.diff(lists.offsets.to_numpy())
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        out = {"dim": [], "ids": [], "comps": []}
-        for dim in np.unique(sizes):
-            which = np.flatnonzero(sizes == dim)
-            for a in range(0, len(which), BLOCK_ROWS):
-                part = which[a : a + BLOCK_ROWS]
-                comps = flat[starts[part][:, None] + np.arange(dim)[None, :]]
-                out["dim"].append(int(dim))
-                out["ids"].append(ids[part].astype(np.int64).tobytes())
-                out["comps"].append(comps.astype(np.int64).tobytes())
-        yield pa.RecordBatch.from_pydict(out, schema=_PACKED)
-
-
-_PACKED = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("comps", pa.binary())])
+        """(query id, row ids, scores) of the best k rows of the block for each query."""
+        for one, q in zip(query_ids.tolist(), queries, strict=True):
+            yield self._search(one, q, k)
+
+    def _search(self, query_id: int, q: np.ndarray, k: int):
+        n, dim = self.rows.shape
+        weight, other = np.abs(q).astype(np.float64), self.ids != query_id
+        most = float(weight @ self.largest)
+        impact = weight[:, None] * self.high[None, :-1]
+        order = np.argsort(-impact, axis=None, kind="stable")
+        of_dim, of_level = order // self.levels, order % self.levels
+        counts = self.ends[2 * order + 2] - self.ends[2 * order]
+        done = np.cumsum(counts)
+        tries = np.unique((np.searchsorted(done, np.array(TRIES) * done[-1], side="left") + 1).clip(max=len(order)))
+        got, slack, next_level, at = np.zeros(n), np.full(n, most * 2**-40), np.zeros(dim, dtype=np.int64), 0
+        possible = other
+        for end in tries:
+            part = order[at:end]
+            for sign in (0, 1):
+                a, b = self.ends[2 * part + sign], self.ends[2 * part + sign + 1]
+                size = b - a
+                rows = self.posting[np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+                middle = q[part // self.levels] * (self.low + self.high)[part % self.levels] / 2
+                got += np.bincount(rows, np.repeat(-middle if sign else middle, size), n)
+                slack += np.bincount(rows, np.repeat(weight[part // self.levels] * (self.high - self.low)[part % self.levels] / 2, size), n)
+            # in each dimension the levels come in order, as the weight is the same
+            np.maximum.at(next_level, of_dim[at:end], of_level[at:end] + 1)
+            at = end
+            off = slack + (self.level >= next_level) @ (weight * self.left[next_level])
+            lower = np.where(other, got - off, -np.inf)
+            bar = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+            possible = other & (got + off >= bar)
+            if possible.sum() <= max(64, 4 * k):
+                break
+        self.stops["proof" if at < tries[-1] else "end"] += 1
+        rows = np.flatnonzero(possible)
+        if most >= 2**62:
+            score = np.array([sum(int(x) * int(y) for x, y in zip(r, q, strict=True)) for r in self.rows[rows]], dtype=object)
+            if any(abs(x) >= 2**63 for x in score):
+                raise ArithmeticError(f"a score of query {query_id} needs more than 64 bits")
+            score = score.astype(np.int64)
+        else:
+            score = self.rows[rows] @ q
+        best = np.lexsort((self.ids[rows], -score))[:k]
+        return query_id, self.ids[rows][best], score[best]
+
+
+def _blocks(batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and integer components of the rows (id, components) of a batch, by length."""
+    lists = batch.column(1)
+    starts, ids = lists.offsets.to_numpy(), batch.column(0).to_numpy(zero_copy_only=False)
+    sizes, flat = np.diff(starts), lists.values.to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        which = np.flatnonzero(sizes == dim)
+        for a in range(0, len(which), BLOCK_ROWS):
+            part = which[a : a + BLOCK_ROWS]
+            rows = flat[starts[part][:, None] + np.arange(dim)[None, :]].astype(np.int64)
+            if rows.size and (rows.min() < -(2**62) or rows.max() > 2**62):
+                raise ArithmeticError("a component needs more than 63 bits")
+            yield ids[part].astype(np.int64), rows
+
+
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _searcher(k: int):
+def _searcher(k: int, asked):
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], dtype=np.int64)
-                index = ImpactIndex(ids, np.frombuffer(r["comps"], dtype=np.int64).reshape(len(ids), -1))
-                for q in r["queries"]:
-                    qids = np.frombuffer(q["q_ids"], dtype=np.int64)
-                    rows = np.frombuffer(q["q_comps"], dtype=np.int64).reshape(len(qids), -1)
-                    for a in range(0, len(qids), QUERY_ROWS):
-                        found = list(index.search(qids[a : a + QUERY_ROWS], rows[a : a + QUERY_ROWS], k))
-                        if found:
-                            n = [len(x[1]) for x in found]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in found], n).astype(np.int64)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]).astype(np.int64))], schema=_FOUND)
+            for ids, rows in _blocks(batch):
+                if rows.shape[1] not in asked.value:
+                    continue
+                found = [x for x in ImpactIndex(ids, rows).search(*asked.value[rows.shape[1]], k) if len(x[1])]
+                if found:
+                    n = [len(x[1]) for x in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in found], n).astype(np.int64)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]).astype(np.int64))], schema=_FOUND)
 
     return run
 
@@ -132,23 +152,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     infinity, and rows without an id, take no part; vectors of different length never
     meet.  Rows that repeat an id are candidates each, with a rank each, but never of
     their own id; equal rows are one query.  Fewer than k candidates: all of them.
-    An empty table gives an empty result.
+    A component or a score that 64 bits can't hold is an error (ArithmeticError), never a wrong
+    score.  An empty table gives an empty result.
     """
     v = F.col(vector_col)
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
     rows = vectors.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"), is_query.alias("_q"))
-    packed = "dim int, ids binary, comps binary"
-    queries = staged(rows.where("_q").select("vec_id", "v").dropDuplicates().mapInArrow(_pack, packed).select("dim", F.col("ids").alias("q_ids"), F.col("comps").alias("q_comps")), "queries")
-    total = queries.agg(F.sum(F.length("q_comps") + F.length("q_ids"))).first()[0] or 0
+    queries = staged(rows.where("_q").select("vec_id", "v").distinct(), "queries")
+    total = queries.agg(F.sum(8 * F.size("v") + 8)).first()[0] or 0
     passes = max(1, -(-total // BROADCAST_BYTES))
-    blocks = rows.select("vec_id", "v").mapInArrow(_pack, packed)
-    found = []
+    best, found = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), []
     for i in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("q_ids"), F.lit(passes)) == i)
-        part = part.groupBy("dim").agg(F.collect_list(F.struct("q_ids", "q_comps")).alias("queries"))
-        found.append(blocks.join(F.broadcast(part), "dim").select("ids", "comps", "queries").mapInArrow(_searcher(k), "query_id long, vec_id long, score long"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).toArrow().combine_chunks().to_batches()  # about BROADCAST_BYTES
+        by_dim: dict[int, list] = {}
+        for ids, q in (x for batch in part for x in _blocks(batch)):
+            by_dim.setdefault(q.shape[1], []).append((ids, q))
+        asked = queries.sparkSession.sparkContext.broadcast({d: tuple(map(np.concatenate, zip(*x, strict=True))) for d, x in by_dim.items()})
+        hits = rows.select("vec_id", "v").mapInArrow(_searcher(k, asked), "query_id long, vec_id long, score long")
+        found.append(staged(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "hits"))
+        asked.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def op9_top_k(spark, sf_dir):
