@@ -5,15 +5,18 @@ its text outside links; what stands in containers that never hold an article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) counts as
 length 0.  Lengths are summed over sliding windows of lines.  Text starts at a surge
 (a window over the surge level) and ends at a dive (a window of nothing); lines
-between a surge and its dive are kept.  In a page that declares its article (``article``
-or ``main``), lines outside have length 0 too and any text is a surge, so short
-articles stay whole.  In other pages all blocks of a container stay if one does.
+between a surge and its dive are kept, and all blocks of a container stay if one does.
+
+In a page that declares its article (``article`` or ``main``), the lines are those of the article, headings count in
+full, and any text is a surge, so short articles stay whole.  Dives decide there too: the lines of a window of
+nothing (as many blocks of links only: a menu that no name gives away) go, fewer of them stay.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,7 +95,7 @@ class _Box:
 def _lines(page: str) -> tuple[list[tuple[str, int, _Box, bool]], list[_Box]]:
     """(text, characters outside links, container, is a heading) for each block, and all containers."""
     root = _Box("", None, "")
-    boxes, stack, out, parts = [root], [root], [], []
+    boxes, stack, out, parts, opened = [root], [root], [], [], Counter()
     links = linked = at = 0
     heading = False
 
@@ -130,10 +133,13 @@ def _lines(page: str) -> tuple[list[tuple[str, int, _Box, bool]], list[_Box]]:
         if closing:
             if name == "a":
                 links = 0
-            elif name in _CONTAINERS and any(b.name == name for b in stack[1:]):
+            elif opened[name]:
                 flush()
-                while stack.pop().name != name:
-                    pass
+                while opened[name]:
+                    last = stack.pop().name
+                    opened[last] -= 1
+                    if last == name:
+                        break
             continue
         if name in _RAW:
             end = _RAW[name].search(page, at)
@@ -142,13 +148,14 @@ def _lines(page: str) -> tuple[list[tuple[str, int, _Box, bool]], list[_Box]]:
             links = 1
         elif name in _CONTAINERS and not attributes.endswith("/"):
             if name == "main":
-                while any(b.name == "nav" for b in stack):  # a menu that was never closed
-                    stack.pop()
+                while opened["nav"]:  # a menu that was never closed
+                    opened[stack.pop().name] -= 1
             box = _Box(name, stack[-1], attributes)
             if box.apart or name not in ("label", "span"):
                 flush()
             boxes.append(box)
             stack.append(box)
+            opened[name] += 1
     if at < len(page):
         add(page[at:])
     flush()
@@ -177,18 +184,20 @@ def main_text(page: str | None) -> str:
         state[id(b)] = (apart or b.apart or form, declared or b.declared, b.head or head and not b.declared)
     declared_text = any(state[id(box)][1] and not state[id(box)][0] for _, _, box, _ in lines) if holds else False
 
-    def length(line) -> int:
-        text, free, box, heading = line
-        apart, declared, head = state[id(box)]
-        if apart or declared_text and not declared or head and not (heading and declared):
-            return 0
-        return len(text) if declared_text else free
+    if declared_text:
+        lines = [x for x in lines if state[id(x[2])][1] and not state[id(x[2])][0] and (x[3] or not state[id(x[2])][2])]
+        nothing = in_dives([len(text) if heading else free for text, free, _, heading in lines])
+        return "\n\n".join(x[0] for x, gone in zip(lines, nothing, strict=True) if not gone or all(nothing))
+    sizes = [0 if state[id(box)][0] or state[id(box)][2] else free for _, free, box, _ in lines]
+    # short blocks and links beside kept ones, in the same container, stay
+    beside = {id(lines[j][2]) for j in between_surge_and_dive(sizes)}
+    return "\n\n".join(text for text, _, box, _ in lines if id(box) in beside and not state[id(box)][0] and not state[id(box)][2])
 
-    sizes = [length(x) for x in lines]
-    if not declared_text and not any(sizes):
-        return ""
+
+def between_surge_and_dive(sizes: list[int]) -> list[int]:
+    """The lines with text in each stretch that windows of nothing bound, if one of its windows reaches the surge level."""
     windows = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(sizes) + WINDOW - 1)]
-    level = 1 if declared_text else max(1, min(SURGE, SHARE * max(windows)))
+    level = max(1, min(SURGE, SHARE * max(windows, default=0)))
     kept, i = [], 0
     while i < len(windows):
         if not windows[i]:
@@ -200,10 +209,16 @@ def main_text(page: str | None) -> str:
         if max(windows[i:end]) >= level:
             kept += [j for j in range(i, min(end, len(sizes))) if sizes[j]]
         i = end
-    if not declared_text:  # short blocks and links beside kept ones, in the same container
-        beside = {id(lines[j][2]) for j in kept}
-        kept = [j for j, (_, _, box, _) in enumerate(lines) if id(box) in beside and not state[id(box)][0] and not state[id(box)][2]]
-    return "\n\n".join(lines[j][0] for j in kept)
+    return kept
+
+
+def in_dives(sizes: list[int]) -> list[bool]:
+    """Whether each line is in a window of nothing."""
+    out = [False] * len(sizes)
+    for i in range(len(sizes) - WINDOW + 1):
+        if not any(sizes[i : i + WINDOW]):
+            out[i : i + WINDOW] = [True] * WINDOW
+    return out
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
