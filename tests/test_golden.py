@@ -161,17 +161,31 @@ def test_missing_pages(spark):
     assert got(P.missing_pages(pages), "page") == [(2,), (3,)]
 
 
-def test_search(spark):
-    texts = ["The Café opens", "cafe terrace by the sea", "中文测试 text", '[{"type":3,"filename":"x.jpg"}]', "sea view terrace"]
+def test_search(spark, tmp_path):
+    texts = ["The Café opens", "cafe terrace by the sea", "中文测试 text", '[{"type":3,"filename":"x.jpg"}]', "sea view terrace", "by the by the by"]
     p = spark.createDataFrame([("a", i, i, 1, t) for i, t in enumerate(texts)], "archive string, tid long, id long, floor long, contents string")
     t = p.select("archive", "tid", F.lit("t").alias("title"))
-    hits = lambda q, **k: [r.post_id for r in X.search(p, t, q, **k).collect()]
+    index = {mode: X.store_index(p, f"{tmp_path}/{mode}", mode) for mode in ("text", "raw")}
+    hits = lambda q, mode="text": [r.post_id for r in X.search(index[mode], t, q).collect()]
     assert sorted(hits("cafe")) == [0, 1] and sorted(hits("terr*")) == [1, 4] and hits('"sea view"') == [4] and hits("sea NOT cafe") == [4]
     assert sorted(hits("opens OR view")) == [0, 4] and hits("中文测试") == [2] and hits("中文") == []
-    assert hits("filename") == [] and hits("filename", mode="raw") == [3]
-    assert X.search(p, t, "sea").first().snippet.count("<mark>sea</mark>") == 1
-    with pytest.raises(ValueError):
-        X.search(p, t, "   ")
+    assert sorted(hits('"by the"')) == [1, 5] and hits('"by the by"') == [5] and hits('"by the" AND opens') == [] and hits('"the b"*') == [5]
+    assert hits("filename") == [] and hits("filename", "raw") == [3]
+    assert X.search(index["text"], t, "sea").first().snippet.count("<mark>sea</mark>") == 1
+    for bad in ("   ", "NOT sea", "(sea)"):
+        with pytest.raises(ValueError):
+            X.search(index["text"], t, bad)
+
+
+def test_search_reads_the_index_only(spark, tmp_path):
+    """No tokenizer runs at query time, and the scan of the postings gets the query's tokens."""
+    p = spark.createDataFrame([("a", 1, 1, 1, "by the sea")], "archive string, tid long, id long, floor long, contents string")
+    index = X.store_index(p, str(tmp_path / "i"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shown = plan(X.search(index, p.select("archive", "tid", F.lit("t").alias("title")), '"the sea" OR b*'))
+    found = plan(index.postings.where(X.Phrase(("the",)).fits(F.col("token"), 0) | X.Phrase(("b",), True).fits(F.col("token"), 0)))
+    assert "regexp_extract_all" not in shown + found and "translate" not in shown
+    assert "EqualTo(token,the)" in found and "StringStartsWith(token,b)" in found
 
 
 def test_content_dbs_and_tars(spark, tmp_path):

@@ -1,14 +1,21 @@
-"""Full-text search over posts: tokens, a small query language, BM25 order and snippets."""
+"""Full-text search over posts: a stored index of tokens and postings, BM25 order and snippets.
+
+A query is alternatives of required and excluded phrases.  It reads only the postings of its own tokens, as those are stored
+in the order of tokens, and the text of posts only for the snippets of one page.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions.scalars import frag_text, parse_frags
+from threadlake.sources.places import stored
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 SNIPPET = 32
@@ -62,130 +69,109 @@ def index_is_current(index: DataFrame, posts: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("indexed")).withColumn("posts", posts.agg(F.count("*")).scalar()).withColumn("current", F.col("indexed") == F.col("posts"))
 
 
-class Query:
-    """Terms (all needed), OR, NOT, "phrases", prefix*, and parentheses; NOT binds most, OR least.
+@dataclass(frozen=True)
+class SearchIndex:
+    """The stored tables: posts (as build_search_index) in the order of threads, postings (with n_tokens) in that of tokens."""
 
-    A bare word of several tokens is a phrase.
-    """
+    posts: DataFrame
+    postings: DataFrame
+
+
+def store_index(posts: DataFrame, path: str, mode: str = "text") -> SearchIndex:
+    """Writes the index of the posts.  A frequent token's postings are spread over several files."""
+    spark = posts.sparkSession
+    build_search_index(posts, mode).repartitionByRange("archive", "tid", "post_id").sortWithinPartitions("archive", "tid", "post_id").write.parquet(f"{path}/posts")
+    rows = spark.read.parquet(f"{path}/posts").select("archive", "tid", "post_id", "n_tokens", F.posexplode("tokens").alias("pos", "token"))
+    order = ("token", "archive", "tid", "post_id", "pos")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> SearchIndex:
+    return SearchIndex(spark.read.parquet(f"{path}/posts"), spark.read.parquet(f"{path}/postings"))
+
+
+@dataclass(frozen=True)
+class Phrase:
+    """Tokens that follow each other; with ``prefix`` the last one may go on."""
+
+    tokens: tuple[str, ...]
+    prefix: bool = False
 
-    def __init__(self, text: str):
-        self.words = re.findall(r'"[^"]*"\*?|\(|\)|[^\s()"]+', text)
-        self.phrases: list[tuple[tuple[str, ...], bool]] = []
-        self.at = 0
-        self.tree = self._any() if self.words else None
-        if self.at < len(self.words):
-            raise ValueError("unbalanced query")
-        if self.tree is None:
-            raise ValueError("empty query")
-
-    def _peek(self) -> str | None:
-        return self.words[self.at] if self.at < len(self.words) else None
-
-    def _any(self):
-        parts = [self._all()]
-        while self._peek() == "OR":
-            self.at += 1
-            parts.append(self._all())
-        parts = [p for p in parts if p]
-        return ("or", parts) if parts else None
-
-    def _all(self):
-        kept, negative = [], []
-        while (w := self._peek()) not in (None, "OR", ")"):
-            if w == "AND":
-                self.at += 1
-                continue
-            if w == "NOT":
-                self.at += 1
-                negative.append(self._one(False))
-            else:
-                kept.append(self._one(True))
-        kept, negative = [p for p in kept if p], [p for p in negative if p]
-        return ("and", kept, negative) if kept else None
-
-    def _one(self, scored: bool):
-        word = self._peek()
-        self.at += 1
-        if word is None:
-            raise ValueError("unfinished query")
-        if word == "(":
-            inner = self._any()
-            if self._peek() != ")":
-                raise ValueError("unbalanced query")
-            self.at += 1
-            return inner
-        prefix = word.endswith("*")
-        found = tuple(_query_tokens(word))
-        if not found:
-            return None
-        if scored and (found, prefix) not in self.phrases:
-            self.phrases.append((found, prefix))
-        return ("phrase", found, prefix)
-
-    def matches(self, count) -> Column:
-        """Whether a post matches; count(tokens, prefix) is the column of a phrase's occurrences."""
-
-        def walk(node) -> Column:
-            if node[0] == "phrase":
-                return count(node[1], node[2]) > 0
-            parts = [walk(p) for p in node[1]]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out | p if node[0] == "or" else out & p
-            for p in node[2] if node[0] == "and" else ():
-                out = out & ~walk(p)
-            return out
-
-        return walk(self.tree)
-
-
-def _occurrences(tokens: Column, phrase: tuple[str, ...], prefix: bool) -> Column:
-    """How often a phrase stands in an array of tokens."""
-    fits = lambda x, i: F.startswith(x, F.lit(phrase[i])) if prefix and i == len(phrase) - 1 else x == phrase[i]
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda x: fits(x, 0)))
-    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - len(phrase) + 1, F.lit(1))), lambda p: _all_fit(tokens, p, phrase, fits))
-    return F.when(F.size(tokens) >= len(phrase), F.size(first)).otherwise(0)
-
-
-def _all_fit(tokens, p, phrase, fits):
-    out = fits(F.get(tokens, p - 1), 0)
-    for i in range(1, len(phrase)):
-        out = out & fits(F.get(tokens, p - 1 + i), i)
+    def fits(self, token: Column, i: int) -> Column:
+        return token.startswith(self.tokens[i]) if self.prefix and i == len(self.tokens) - 1 else token == self.tokens[i]
+
+
+@dataclass(frozen=True)
+class Alternative:
+    """What a post must have all of, and none of."""
+
+    required: tuple[Phrase, ...]
+    excluded: tuple[Phrase, ...] = ()
+
+
+def alternatives(query: str) -> list[Alternative]:
+    """Words and "phrases" (all needed), prefix*, NOT before what is excluded, OR between alternatives.
+
+    A bare word of several tokens is a phrase.  There are no parentheses: write what they stand for as alternatives.
+    """
+    out, required, excluded, negative = [], [], [], False
+    words = re.findall(r'"[^"]*"\*?|[^\s"]+', query)
+    if any(set(w) & set("()") for w in words if not w.startswith('"')):
+        raise ValueError("parentheses have no meaning in a query")
+    for w in [*words, "OR"]:
+        if w == "OR":
+            if required:
+                out.append(Alternative(tuple(required), tuple(excluded)))
+            required, excluded, negative = [], [], False
+        elif w == "NOT":
+            negative = True
+        elif w != "AND" and (found := tuple(_query_tokens(w))):
+            (excluded if negative else required).append(Phrase(found, w.endswith("*")))
+            negative = False
+    if not out:
+        raise ValueError("empty query")
     return out
 
 
-def search(posts: DataFrame, threads: DataFrame, query: str, page: int = 1, page_size: int = 20, mode: str = "text") -> DataFrame:
+def search(index: SearchIndex, threads: DataFrame, query: str | list[Alternative], page: int = 1, page_size: int = 20) -> DataFrame:
     """archive, tid, post_id, title, rank, snippet, total of one page of hits, best (smallest rank) first.
 
-    Ties by archive, tid and post.  The total counts matching posts.  Statistics are two small aggregates of one
-    pass over the posts; the page is a top-k, so postings are never shuffled.
+    Ties by archive, tid and post.  The total counts matching posts.  Scores are sums over the required phrases that a
+    post has.  Only postings of the query's tokens are read; they are counted map-side by post (and by
+    start, for phrases), so a token that a third of the posts have is no group of its own.
     """
-    q = Query(query)
+    asked = alternatives(query) if isinstance(query, str) else list(query)
     size = min(max(page_size, 1), 200)
-    index = build_search_index(posts, mode)
-    names = {p: f"_f{i}" for i, p in enumerate(q.phrases)}
-    counted = index
-    for p, name in names.items():
-        counted = counted.withColumn(name, _occurrences(F.col("tokens"), *p))
-    matched = q.matches(lambda t, prefix: F.col(names[t, prefix]) if (t, prefix) in names else _occurrences(F.col("tokens"), t, prefix))
-    stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg("n_tokens").alias("avg"), F.count_if(matched).alias("total"), *(F.count_if(F.col(n) > 0).alias(n) for n in names.values()))).scalar()
-    scored = counted.where(matched).withColumn("_s", stats)
+    scored = list(dict.fromkeys(p for a in asked for p in a.required))
+    phrases = list(dict.fromkeys([*scored, *(p for a in asked for p in a.excluded)]))
+    token, post = F.col("token"), ["archive", "tid", "post_id", "n_tokens"]
+    places = [(n, i, p.fits(token, i)) for n, p in enumerate(phrases) for i in range(len(p.tokens))]
+    found = index.postings.where(reduce(Column.__or__, (fits for *_, fits in places)))
+    roles = F.array_compact(F.array(*(F.when(fits, F.struct(F.lit(n).alias("phrase"), F.lit(i).alias("place"))) for n, i, fits in places)))
+    found = found.select(*post, "pos", F.explode(roles).alias("role")).select(*post, "role.phrase", (F.col("pos") - F.col("role.place")).alias("start"))
+    if any(len(p.tokens) > 1 for p in phrases):
+        lengths = F.get(F.array(*(F.lit(len(p.tokens)) for p in phrases)), F.col("phrase"))
+        found = found.groupBy(*post, "phrase", "start").agg(F.count("*").alias("n")).where(F.col("n") == lengths)
+    times = {p: f"_f{n}" for n, p in enumerate(phrases)}
+    counted = found.groupBy(*post).agg(*(F.count_if(F.col("phrase") == n).alias(times[p]) for n, p in enumerate(phrases)))
+    has = lambda p: F.col(times[p]) > 0
+    matched = reduce(Column.__or__, (reduce(Column.__and__, [*map(has, a.required), *(~has(p) for p in a.excluded)]) for a in asked))
+    whole = index.posts.agg(F.struct(F.count("*").alias("n"), F.avg("n_tokens").alias("avg"))).scalar()
+    of_hits = counted.agg(F.struct(F.count_if(matched).alias("total"), *(F.count_if(has(p)).alias(times[p]) for p in scored))).scalar()
+    ranked = counted.where(matched).withColumn("_w", whole).withColumn("_s", of_hits)
     rank = F.lit(0.0)
-    for n in names.values():
-        idf = F.log((F.col("_s.n") - F.col(f"_s.{n}") + 0.5) / (F.col(f"_s.{n}") + 0.5))
+    for n in (times[p] for p in scored):
+        idf = F.log((F.col("_w.n") - F.col(f"_s.{n}") + 0.5) / (F.col(f"_s.{n}") + 0.5))
         idf = F.when(idf <= 0, FLOOR).otherwise(idf)
-        rank = rank - idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("n_tokens") / F.col("_s.avg")))
-    hits = scored.withColumn("rank", F.round(rank, 6)).orderBy("rank", "archive", "tid", "post_id").offset((page - 1) * size).limit(size)
-    token_hits = lambda x: _any_of([F.startswith(x, F.lit(t)) if prefix and t == p[-1] else x == t for p, prefix in names for t in p])
-    start = F.greatest(F.coalesce(F.array_position(F.transform(F.col("tokens"), token_hits), F.lit(True)), F.lit(1)), F.lit(1)).cast("int")
-    window = F.slice("tokens", start, SNIPPET)
-    snippet = F.array_join(F.transform(window, lambda x: F.when(token_hits(x), F.concat(F.lit("<mark>"), x, F.lit("</mark>"))).otherwise(x)), " ")
-    return hits.join(threads.select("archive", "tid", "title"), ["archive", "tid"]).select("archive", "tid", "post_id", "title", "rank", snippet.alias("snippet"), F.col("_s.total").alias("total")).orderBy("rank", "archive", "tid", "post_id")
-
-
-def _any_of(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out | p
-    return out
+        rank = rank - idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("n_tokens") / F.col("_w.avg")))
+    order = ("rank", "archive", "tid", "post_id")
+    hits = ranked.withColumn("rank", F.round(rank, 6)).orderBy(*order).offset((page - 1) * size).limit(size).select(*order, F.col("_s.total").alias("total"))
+    hits = stored(hits, "hits")
+    tids = [r.tid for r in hits.select("tid").distinct().collect()]  # at most 200
+    texts = index.posts.where(F.col("tid").isin(tids)).select("archive", "tid", "post_id", "tokens")
+    marked = lambda x: reduce(Column.__or__, (p.fits(x, i) for p in scored for i in range(len(p.tokens))))
+    start = F.greatest(F.coalesce(F.array_position(F.transform("tokens", marked), F.lit(True)), F.lit(1)), F.lit(1)).cast("int")
+    snippet = F.array_join(F.transform(F.slice("tokens", start, SNIPPET), lambda x: F.when(marked(x), F.concat(F.lit("<mark>"), x, F.lit("</mark>"))).otherwise(x)), " ")
+    shown = hits.join(threads.select("archive", "tid", "title"), ["archive", "tid"]).join(texts, ["archive", "tid", "post_id"])
+    return shown.select("archive", "tid", "post_id", "title", "rank", snippet.alias("snippet"), "total").orderBy(*order)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadlake.operators import reader as R
 from threadlake.operators import search as X
 from threadlake.plans.bindings import view, with_views
+from threadlake.sources.places import scratch
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -135,9 +136,16 @@ def _(get):
     return X.build_search_index(get("text_post")).withColumn("tokens", F.array_join("tokens", " "))
 
 
-@query("r9_index_is_current", "SELECT (SELECT count(*) FROM text_post) AS indexed, (SELECT count(*) FROM text_post) AS posts, true AS current", "text_post")
+@query(
+    "r9_index_is_current",
+    "SELECT 'all' AS posts_of, (SELECT count(*) FROM text_post) AS indexed, (SELECT count(*) FROM text_post) AS posts, true AS current"
+    " UNION ALL SELECT 'users', (SELECT count(*) FROM text_post WHERE is_thread_author), (SELECT count(*) FROM text_post), (SELECT count(*) FROM text_post WHERE NOT is_thread_author) = 0",
+    "text_post",
+)
 def _(get):
-    return X.index_is_current(X.build_search_index(get("text_post")), get("text_post"))
+    posts = get("text_post")
+    of = lambda name, part: X.index_is_current(X.build_search_index(part), posts).select(F.lit(name).alias("posts_of"), "*")
+    return of("all", posts).unionByName(of("users", posts.where("is_thread_author")))
 
 
 @query("r9_postings", _TOKENS.format(source="text_post") + " SELECT archive, tid, post_id, unnest(generate_series(0, len(tokens) - 1)) AS pos, unnest(tokens) AS token FROM ix WHERE len(tokens) > 0", "text_post")
@@ -145,13 +153,16 @@ def _(get):
     return X.postings(X.build_search_index(get("text_post")))
 
 
-def _search_sql(counts: dict[str, str], where: str, source: str, threads: str, size: int = 50) -> str:
-    """counts: occurrences of each scored phrase over tokens t."""
+def _search_sql(counts: dict[str, str], where: str, source: str, threads: str, size: int = 50, marked: str | None = None) -> str:
+    """counts: occurrences of each scored phrase over tokens; marked: whether a token x is one of them, for snippets."""
+    start = f"greatest(coalesce(list_position(list_transform(tokens, lambda x: {marked}), true), 1), 1)"
+    snippet = f", array_to_string(list_transform(tokens[{start}:{start} + {X.SNIPPET - 1}], lambda x: CASE WHEN {marked} THEN '<mark>' || x || '</mark>' ELSE x END), ' ') AS snippet" if marked else ""
+    shown = ", snippet" if marked else ""
     score = " + ".join(f"(CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) <= 0 THEN 0.000001 ELSE ln((n - d{i} + 0.5) / (d{i} + 0.5)) END) * {c} * 2.2 / ({c} + 1.2 * (0.25 + 0.75 * len(tokens) / av))" for i, c in enumerate(counts))
     return (
         _TOKENS.format(source=source)
         + f", c AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in counts.items())} FROM ix), st AS (SELECT count(*)::DOUBLE AS n, avg(len(tokens)) AS av, count(*) FILTER ({where}) AS total, {', '.join(f'count(*) FILTER ({c} > 0) AS d{i}' for i, c in enumerate(counts))} FROM c)"
-        + f" SELECT archive, tid, post_id, title, rank, total FROM (SELECT archive, tid, post_id, round(-({score}), 6) AS rank, total FROM c, st WHERE {where} ORDER BY rank, archive, tid, post_id LIMIT {size}) JOIN {threads} USING (archive, tid)"
+        + f" SELECT archive, tid, post_id, title, rank, total{shown} FROM (SELECT archive, tid, post_id, round(-({score}), 6) AS rank, total{snippet} FROM c, st WHERE {where} ORDER BY rank, archive, tid, post_id LIMIT {size}) JOIN {threads} USING (archive, tid)"
     )
 
 
@@ -165,9 +176,13 @@ for _name, _text, _counts, _where in (
     ("phrase", '"of the"', {"c1": _two("of", "the")}, "c1 > 0"),
     ("prefix", "inon*", {"c1": _prefix("inon")}, "c1 > 0"),
 ):
-    query(f"r8_search_{_name}", _search_sql(_counts, _where, "corpus", "corpus_thread"), "corpus", "corpus_thread")(lambda get, q=_text: X.search(get("corpus"), get("corpus_thread"), q, page_size=50).drop("snippet"))
+    query(f"r8_search_{_name}", _search_sql(_counts, _where, "corpus", "corpus_thread"), "corpus", "corpus_thread")(lambda get, q=_text: X.search(_stored(get("corpus")), get("corpus_thread"), q, page_size=50).drop("snippet"))
+
+
+def _stored(posts):
+    return X.store_index(posts, scratch(posts.sparkSession))
 
 
-@query("r8_search_snippet", None)
+@query("r8_search_snippet", _search_sql({"c1": _one("the"), "c2": _prefix("wh")}, "(c1 > 0 OR c2 > 0)", "text_post", "text_thread", 20, "x = 'the' OR starts_with(x, 'wh')"), "text_post", "text_thread")
 def _(get):
-    return X.search(get("text_post"), get("text_thread"), "the", page_size=20)
+    return X.search(_stored(get("text_post")), get("text_thread"), "the OR wh*", page_size=20)
