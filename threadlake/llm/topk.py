@@ -29,7 +29,7 @@ BLOCK_ROWS = 4096
 #: Most bytes of queries that are broadcast at once.
 BROADCAST_BYTES = 32 << 20
 #: Cuts of the magnitudes by rank, and as many by size; shares of the postings after which a query tries to stop.
-LEVELS, TRIES = 12, (0.1, 0.25, 0.5, 0.7, 0.8, 0.88, 0.94, 0.98, 1.0)
+LEVELS, TRIES = 24, (0.1, 0.3, 0.5, 0.75, 0.9, 0.95, 1.0)
 
 
 class ImpactIndex:
