@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import staged
+from threadlake.llm.common import release, staged
 
 
 def _follow(table: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
@@ -33,10 +33,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         while True:
             further = staged(_follow(pointers.select("node", "to", F.col("to").alias("was")), "to", pointers), "pointers")
             moved = not further.where(F.col("to") != F.col("was")).isEmpty()
-            pointers = further.select("node", "to")
+            release(pointers)
+            pointers = further
             if not moved:
                 break
-        label = staged(_follow(label, "component", pointers), "labels")
+        fresh = staged(_follow(label, "component", pointers), "labels")
         between = _follow(_follow(links, "u", pointers), "v", pointers).where("u != v")
-        links = staged(between.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        left = staged(between.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        release(label, links, pointers)
+        label, links = fresh, left
+    release(links)
     return label
