@@ -230,10 +230,61 @@ def test_consolidate_tables(spark, tmp_path):
         t = threads(spark, [(1, "one", 1, 0)] + ([(2, "two", 1, 0)] if side == "source" else []))
         IO.write_archive(t.withColumn("forum_name", F.lit("f")).withColumn("forum_id", F.lit(1)), str(tmp_path / side / "thread"), "thread")
         IO.write_archive(spark.createDataFrame([("a", 1, "p", "n")], "archive string, tid long, portrait string, nickname string"), str(tmp_path / side / "user"), "user")
+    source = str(tmp_path / "source")
+    IO.write_archive(spark.createDataFrame([("a", 5, "f", 9)], "archive string, forum_id long, forum_name string, post_num long"), f"{source}/forum", "forum")
+    IO.write_archive(spark.createDataFrame([("a", 1, 1, "v", "{}", 7)], "archive string, id long, tid long, scraper_version string, scrape_config string, scrape_time long"), f"{source}/scrape_batch", "scrape_batch")
+    IO.write_archive(spark.createDataFrame([("a", 4, 1, "x.jpg", 3, "src")], "archive string, id long, tid long, filename string, content_frag_type int, origin_src string"), f"{source}/media_source", "media_source")
+    IO.write_archive(spark.createDataFrame([("a", 1, "p", "level", "3", 7)], "archive string, tid long, portrait string, field_name string, field_value string, scrape_time long"), f"{source}/user_info_history", "user_info_history")
+    spark.createDataFrame([("a", 9, "lost", 5, 2, 100, 0)], "archive string, tid long, title string, author_id long, reply_num long, create_time long, pos long").write.parquet(f"{source}/listing")
+    spark.createDataFrame([("a", 9, "deleted")], "archive string, tid long, state string").write.parquet(f"{source}/progress")
     for n in range(2):  # a second run changes nothing
-        jobs.consolidate_tables(spark, str(tmp_path / "source"), str(tmp_path / "target"), str(tmp_path / f"staging{n}"))
+        written = jobs.consolidate_tables(spark, source, str(tmp_path / "target"), str(tmp_path / f"staging{n}"))
+        assert {"thread", "post", "user", "forum", "media_source", "scrape_batch", "user_info_history", "search_index", "summary", "merge_progress"} == set(written)
+        table = lambda name: spark.read.parquet(str(tmp_path / "target" / name))
+        assert got(table("forum"), "forum_id", "post_num") == [(5, 9)] and table("media_source").count() == table("scrape_batch").count() == table("user_info_history").count() == 1
+        assert got(table("merge_progress"), "tid", "forum_name") == [(1, "f"), (2, "f")] and got(table("summary"), "threads", "deleted", "posts") == [(3, 1, 2)] and table("search_index").count() == 2
         assert got(IO.read_table(spark, str(tmp_path / "target/post"), "post"), "tid", "id", "floor") == [(1, 11, 5), (2, 21, 1)]
-        assert got(IO.read_table(spark, str(tmp_path / "target/thread"), "thread"), "tid", "title") == [(1, "one"), (2, "two")]
+        assert got(IO.read_table(spark, str(tmp_path / "target/thread"), "thread"), "tid", "title", "forum_name") == [(1, "one", "f"), (2, "two", "f"), (9, "lost", "f")]
+
+
+def test_first_scraped_row_wins(spark):
+    """Of repeated rows the one of the first batch wins, whatever else is smaller."""
+    rows = [(1, 11, 1, 0, 5, "x", False, 7), (1, 11, 9, 0, 5, "z", False, 3)]
+    none = posts(spark, []).limit(0)
+    source = {"folders": threads(spark, []).select("archive", "tid", F.lit("f").alias("forum"), "title"), "thread": threads(spark, []), "post": posts(spark, rows), "user": spark.createDataFrame([], "archive string, tid long, portrait string, nickname string, scrape_time long")}
+    out = jobs.consolidate(source, {"thread": threads(spark, []), "post": none, "user": source["user"]})
+    assert got(out["post"], "floor", "scrape_batch_id") == [(9, 3)]
+
+
+def test_users_are_found_by_portrait_too(spark):
+    users = spark.createDataFrame([("a", 1, "5", None, "five", "", "f.jpg"), ("a", 1, "p6", 6, "six", "", ""), ("a", 1, "6", 0, "not six", "", ""), ("a", 1, "0", 0, "zero", "", "")], "archive string, tid long, portrait string, user_id long, nickname string, username string, avatar string")
+    rows = posts(spark, [(1, i, i, 0, i) for i in (5, 6, 7)] + [(1, 8, 8, 0, 0)])
+    assert got(U.attach_users(rows, users), "user_id", "display_name") == [(0, "匿名"), (5, "five"), (6, "six"), (7, "匿名")]
+
+
+def test_numbered_spans_ranges(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2900, "a").otherwise("b").alias("g"), (F.col("id") * 7919 % 3001).alias("x"))
+    got_ = P.numbered(rows, "g", ["x"], "pos").collect()
+    for g in "ab":
+        assert [r.pos for r in sorted((r for r in got_ if r.g == g), key=lambda r: r.x)] == list(range(2900 if g == "a" else 100))
+
+
+def test_smoothed_goodput_is_the_fold(spark, monkeypatch):
+    """Blocks give what folding window by window gives, with gaps, a group and another weight."""
+    import random
+
+    monkeypatch.setattr(streams, "BLOCK", 7)
+    rng = random.Random(1)
+    rows = [(g, 1_700_000_000 + rng.randrange(90 * 300)) for g in "ab" for _ in range(400)]
+    events = spark.createDataFrame(rows, "g string, t long").select("g", F.timestamp_seconds("t").alias("ts"))
+    for alpha in (0.5, 0.1):
+        rows = streams.smoothed_goodput(events, alpha=alpha, group="g").collect()
+        for g in "ab":
+            was = None
+            for r in sorted((r for r in rows if r.g == g), key=lambda r: r.start):
+                now = r.per_hour if was is None else alpha * r.per_hour + (1 - alpha) * was
+                assert abs(r.ewma - now) < 1e-9 * now and (r.change is None if was is None else abs(r.change - (now - was) / was) < 1e-9)
+                was = now
 
 
 def test_plans(spark):

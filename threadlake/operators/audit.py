@@ -41,7 +41,7 @@ def audit(threads: DataFrame, posts: DataFrame, gap: int = SHORT, skip_deleted:
     missing; log-confirmed instead of the two where ``lost_tids`` (archive, tid) has
     evidence; verify-del and retry-failed: status 1 and 2.
     """
-    joined = threads.join(thread_stats(posts), ["archive", "tid"], "left").na.fill(0, ["floors", "comments", "max_floor", "max_gap"])
+    joined = threads.join(thread_stats(posts, two_step=True), ["archive", "tid"], "left").na.fill(0, ["floors", "comments", "max_floor", "max_gap"])
     if lost_tids is not None:
         joined = joined.join(lost_tids.select("archive", "tid", F.lit(True).alias("lost")).distinct(), ["archive", "tid"], "left")
     else:

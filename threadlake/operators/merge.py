@@ -109,18 +109,23 @@ def merge_forums(target: DataFrame, source: DataFrame, order_by: Sequence[str] =
     return numbered.select("archive", forum_id.cast("bigint").alias("forum_id"), "forum_name", *counts, "slogan")
 
 
-def stub_threads(listing: DataFrame, progress: DataFrame, merged: DataFrame, forum_name: str) -> DataFrame:
+def stub_threads(listing: DataFrame, progress: DataFrame, merged: DataFrame, forum_name: str | None = None) -> DataFrame:
     """Rows for deleted (status 1) and failed (status 2) threads that were never merged.
 
-    An archive without a listing has no stubs.  Titles not listed are [tid=N].
+    An archive without a listing has no stubs.  Titles not listed are [tid=N].  The forum is ``forum_name``, or
+    by default the one that most of the archive's merged threads name (ties to the smallest; none: '').
     """
     state = progress.where(F.col("state").isin("deleted", "failed")).groupBy("archive", "tid").agg(F.max(F.col("state") == "deleted").alias("deleted"))
     fresh = state.join(merged.select("archive", "tid"), ["archive", "tid"], "left_anti").join(listing.select("archive").distinct(), "archive", "left_semi")
     meta = first_rows(listing.select("archive", "tid", "title", "author_id", "reply_num", "create_time", "pos"), ["archive", "tid"], ["pos"])
     joined = fresh.join(meta, ["archive", "tid"], "left")
+    if forum_name is None:
+        names = merged.where("forum_name <> ''").groupBy("archive", "forum_name").agg(F.count("*").alias("n"))
+        joined = joined.join(names.groupBy("archive").agg(F.min_by("forum_name", F.struct(-F.col("n"), "forum_name")).alias("_forum")), "archive", "left")
+    forum = F.coalesce("_forum", F.lit("")) if forum_name is None else F.lit(forum_name)
     zero = lambda c: F.coalesce(c, F.lit(0))
     title = F.coalesce(F.nullif("title", F.lit("")), F.format_string("[tid=%d]", "tid"))
-    return joined.select("archive", "tid", title.alias("title"), F.lit(forum_name).alias("forum_name"), zero("author_id").alias("author_user_id"), zero("reply_num").alias("reply_num"), zero("create_time").alias("create_time"), F.when(F.col("deleted"), 1).otherwise(2).alias("scrape_status"))
+    return joined.select("archive", "tid", title.alias("title"), forum.alias("forum_name"), zero("author_id").alias("author_user_id"), zero("reply_num").alias("reply_num"), zero("create_time").alias("create_time"), F.when(F.col("deleted"), 1).otherwise(2).alias("scrape_status"))
 
 
 def refresh_posts(target: DataFrame, snapshot: DataFrame) -> DataFrame:

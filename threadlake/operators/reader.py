@@ -33,6 +33,12 @@ def thread_view(threads: DataFrame, posts: DataFrame, users: DataFrame, tids: Da
     return floors.select(*key, "title", "floor", "id", "user_id", "display_name", "contents", "create_time", "agree", "sub_posts").orderBy(*key, "floor", "id")
 
 
+def thread_media(media: DataFrame, tids: DataFrame) -> DataFrame:
+    """archive, tid, path of the files of threads: those whose path begins with the thread."""
+    own = media.select("archive", F.split_part("path", F.lit("/"), F.lit(1)).try_cast("bigint").alias("tid"), "path").where(F.col("path").contains("/"))
+    return own.join(tids.select("archive", "tid").distinct(), ["archive", "tid"], "left_semi").select("archive", "tid", "path")
+
+
 def thread_page(posts: DataFrame, sort: str = "floor", page: int = 1, author_only: bool = False, page_size: int = PAGE) -> DataFrame:
     """One page of each thread's floors: by floor, floor-desc, agree or replies (most first); ties keep floor order."""
     first = {"floor": F.asc("floor"), "floor-desc": F.desc("floor"), "agree": F.desc("agree"), "replies": F.desc("reply_num")}[sort]

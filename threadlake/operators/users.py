@@ -61,9 +61,13 @@ def complete_users(users: DataFrame, profiles: DataFrame, ts: int) -> DataFrame:
 def attach_users(posts: DataFrame, users: DataFrame) -> DataFrame:
     """posts with display_name and avatar of their authors; id 0 and unknown authors are anonymous.
 
-    Id 0 is a hot key that never matches, so its rows don't take part in the join.
+    A user is found by id, else by a portrait that equals the id (older versions have no ids).  Id 0 is
+    a hot key that never matches, so its rows don't take part in the join.
     """
-    known = first_rows(users.where("user_id <> 0").select("archive", "tid", "user_id", "username", "nickname", F.col("avatar").alias("user_avatar"), "portrait"), ["archive", "tid", "user_id"], ["portrait"])
+    row = ["archive", "tid", "username", "nickname", F.col("avatar").alias("user_avatar"), "portrait"]
+    by_id = users.where("user_id <> 0").select(*row, "user_id", F.lit(0).alias("_by"))
+    by_portrait = users.select(*row, F.col("portrait").try_cast("bigint").alias("user_id"), F.lit(1).alias("_by")).where("user_id <> 0 and portrait = cast(user_id as string)")
+    known = first_rows(by_id.unionByName(by_portrait), ["archive", "tid", "user_id"], ["_by", "portrait"])
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     named = posts.where("user_id <> 0").join(known, ["archive", "tid", "user_id"], "left").select(*(posts[c] for c in posts.columns if c not in ("archive", "tid", "user_id")), "archive", "tid", "user_id", F.coalesce(some("nickname"), some("username"), F.lit(ANONYMOUS)).alias("display_name"), "user_avatar")
     nobody = posts.where("user_id = 0 or user_id is null").withColumn("display_name", F.lit(ANONYMOUS)).withColumn("user_avatar", F.lit(None).cast("string"))

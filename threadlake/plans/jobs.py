@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,19 +12,33 @@ from threadlake.operators import merge as M
 from threadlake.operators import search as X
 from threadlake.schemas import KEYS
 from threadlake.sources import io as IO
+from threadlake.sources.places import stored
+
+
+#: Columns that say in which order rows were scraped; of repeated source rows the first one wins.
+SCRAPED = {"post": "scrape_batch_id", "user": "scrape_time", "scrape_batch": "scrape_time", "media_source": "scrape_batch_id", "forum": "scraped_at"}
 
 
-def consolidate(source: dict[str, DataFrame], target: dict[str, DataFrame], forum_name: str = "") -> dict[str, DataFrame]:
+def consolidate(source: dict[str, DataFrame], target: dict[str, DataFrame], forum_name: str | None = None) -> dict[str, DataFrame]:
     """The target's tables with what the source has and they lack, and search_index and summary.
 
     source: folders (archive, tid, forum, title), thread, post, user, and if there are any forum, media_source,
-    scrape_batch, user_info_history, listing and progress.  Post, user and batch rows
+    scrape_batch, user_info_history, listing and progress.  Of rows that repeat a key the one scraped
+    first wins (see SCRAPED).  Post, user and batch rows
     are all keyed by thread, so one hash partitioning by thread can serve them.
     """
-    out = {"thread": M.merge_threads(source["folders"], source["thread"], target["thread"]), "post": M.merge_posts(target["post"], source["post"]), "user": M.merge_users(target["user"], source["user"])}
-    for name, merge in (("forum", M.merge_forums), ("media_source", M.merge_media_sources), ("scrape_batch", M.merge_batches), ("user_info_history", M.append_user_history)):
+    out = {"thread": M.merge_threads(source["folders"], source["thread"], target["thread"])}
+    for name, merge in (("post", M.merge_posts), ("user", M.merge_users), ("forum", M.merge_forums), ("media_source", M.merge_media_sources), ("scrape_batch", M.merge_batches)):
         if name in source:
-            out[name] = merge(target[name] if name in target else source[name].limit(0), source[name])
+            order = [c for c in [SCRAPED[name]] if c in source[name].columns]
+            out[name] = merge(target[name] if name in target else source[name].limit(0), source[name], order)
+        elif name in target:
+            out[name] = target[name]
+    if "user_info_history" in source:
+        history = source["user_info_history"]
+        out["user_info_history"] = M.append_user_history(target.get("user_info_history", history.limit(0)), history)
+    elif "user_info_history" in target:
+        out["user_info_history"] = target["user_info_history"]
     if "listing" in source and "progress" in source:
         stubs = M.stub_threads(source["listing"], source["progress"], out["thread"], forum_name)
         out["thread"] = M.merge_ignore(out["thread"], stubs, KEYS["thread"])
@@ -31,25 +47,41 @@ def consolidate(source: dict[str, DataFrame], target: dict[str, DataFrame], foru
     return out
 
 
-def consolidate_tables(spark: SparkSession, source_dir: str, target_dir: str, staging_dir: str, forum_name: str = "") -> None:
-    """consolidate over Parquet folders; archives that the source touches are rewritten.
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def consolidate_tables(spark: SparkSession, source_dir: str, target_dir: str, staging_dir: str, forum_name: str | None = None) -> list[str]:
+    """consolidate over Parquet folders, one for each table; archives that the source touches are rewritten.
 
-    The result is staged first, as a folder that is being read can't be overwritten.
+    The source has thread, post and user, and what there is of forum, media_source, scrape_batch, user_info_history,
+    listing and progress; the target may lack any.  Written are all merged tables, search_index, summary, and
+    merge_progress (the threads that are merged).  Results are staged first, as a folder that is being read can't be overwritten.
+    Returns the names of the tables written.
     """
-    names = ("thread", "post", "user")
-    source = {n: IO.read_table(spark, f"{source_dir}/{n}", n) for n in names}
+    tables = ("thread", "post", "user", "forum", "media_source", "scrape_batch", "user_info_history")
+    source = {n: IO.read_table(spark, f"{source_dir}/{n}", n) for n in tables if _there(spark, f"{source_dir}/{n}")}
+    source |= {n: spark.read.parquet(f"{source_dir}/{n}") for n in ("listing", "progress") if _there(spark, f"{source_dir}/{n}")}
     source["folders"] = source["thread"].select("archive", "tid", F.col("forum_name").alias("forum"), "title")
-    target = {n: IO.read_table(spark, f"{target_dir}/{n}", n) for n in names}
-    touched = source["thread"].select("archive").union(source["post"].select("archive")).distinct()
+    target = {n: IO.read_table(spark, f"{target_dir}/{n}", n) if _there(spark, f"{target_dir}/{n}") else source[n].limit(0) for n in tables if n in source or _there(spark, f"{target_dir}/{n}")}
+    touched = reduce(DataFrame.union, (source[n].select("archive") for n in source)).distinct()
     merged = consolidate(source, target, forum_name)
-    for n in names:
-        IO.write_archive(merged[n].join(touched, "archive", "left_semi"), f"{staging_dir}/{n}", n)
-    for n in names:
+    known = {n: df for n, df in merged.items() if n in tables}
+    for n, df in known.items():
+        IO.write_archive(df.join(touched, "archive", "left_semi"), f"{staging_dir}/{n}", n)
+    for n in known:
         IO.write_archive(IO.read_table(spark, f"{staging_dir}/{n}", n), f"{target_dir}/{n}", n)
+    now = {n: IO.read_table(spark, f"{target_dir}/{n}", n) for n in known}
+    done = now["thread"].where("scrape_status = 0").select("archive", "tid", "forum_name", F.unix_timestamp().alias("merged_at"))
+    derived = {"search_index": X.build_search_index(now["post"]), "summary": M.archive_summary(now["thread"], now["post"], now["user"]), "merge_progress": done}
+    for n, df in derived.items():
+        df.write.mode("overwrite").parquet(f"{target_dir}/{n}")
+    return [*known, *derived]
 
 
 def audit_and_heal(threads: DataFrame, posts: DataFrame, recrawl_posts: DataFrame, gap: int = A.SHORT) -> dict[str, DataFrame]:
     """suspects, the healed threads and posts, a report, and the suspects that are left."""
-    suspects = A.audit(threads, posts, gap)
+    suspects = stored(A.audit(threads, posts, gap), "suspects")  # each of the next steps reads them
     healed, merged, report = A.heal(threads, posts, recrawl_posts, suspects)
     return {"suspects": suspects, "thread": healed, "post": merged, "report": report, "left": A.audit(healed, merged, gap)}

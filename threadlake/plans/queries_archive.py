@@ -14,6 +14,8 @@ from threadlake.operators import select as S
 from threadlake.operators import users as U
 from threadlake.plans import jobs
 from threadlake.plans.bindings import view, with_views
+from threadlake.sources import io as IO
+from threadlake.sources.places import scratch
 from threadlake.streaming import streams
 
 QUERIES: dict = {}
@@ -139,6 +141,18 @@ def _(get):
     return M.stub_threads(get("listing"), get("progress"), get("thread").where("tid % 3 = 0"), "board")
 
 
+@query(
+    "m8_stub_threads_own_forum",
+    """m AS (SELECT archive, tid, forum_name FROM thread WHERE tid % 3 = 0),
+f AS (SELECT archive, forum_name FROM (SELECT archive, forum_name, row_number() OVER (PARTITION BY archive ORDER BY count(*) DESC, forum_name) AS n FROM m WHERE forum_name <> '' GROUP BY archive, forum_name) WHERE n = 1)
+SELECT p.archive, p.tid, coalesce(f.forum_name, '') AS forum_name, CASE state WHEN 'deleted' THEN 1 ELSE 2 END AS scrape_status
+FROM progress p LEFT JOIN f ON f.archive = p.archive WHERE state <> 'done' AND NOT EXISTS (SELECT 1 FROM m WHERE m.archive = p.archive AND m.tid = p.tid)""",
+    "thread", "listing", "progress",
+)
+def _(get):
+    return M.stub_threads(get("listing"), get("progress"), get("thread").where("tid % 3 = 0")).select("archive", "tid", "forum_name", "scrape_status")
+
+
 @query(
     "m9_refresh_posts",
     f"""t AS (SELECT {POST} FROM post WHERE id > 0 AND user_id % 2 = 0),
@@ -187,10 +201,32 @@ SELECT archive, count(*) AS threads, count(*) FILTER (scrape_status = 0) AS comp
     "thread", "post", "member", "listing", "progress",
 )
 def _(get):
+    return _consolidated(get)["summary"]
+
+
+def _consolidated(get):
     threads, columns = get("thread"), ["archive", "tid", "title", "forum_id", "forum_name", "reply_num", "scrape_status"]
     source = {"folders": threads.where("tid % 3 = 0").select("archive", "tid", F.col("forum_name").alias("forum"), "title"), "thread": threads.where("tid % 3 = 0").select(*columns[:-1]), "post": get("raw_post"), "user": get("member"), "listing": get("listing"), "progress": get("progress")}
     target = {"thread": threads.where("tid % 2 = 1").select(*columns), "post": get("post").where("user_id % 2 = 0"), "user": get("member").limit(0)}
-    return jobs.consolidate(source, target)["summary"]
+    return jobs.consolidate(source, target)
+
+
+@query("m11_consolidated_posts", _MERGED.format(extra="s.id > 0 AND").replace(_REST, "scrape_batch_id, " + _REST), "post", "raw_post")
+def _(get):
+    return _consolidated(get)["post"].select(*POST.split(", "))
+
+
+@query(
+    "m11_consolidated_threads",
+    """t AS (SELECT archive, tid, title, forum_name, reply_num, scrape_status FROM thread WHERE tid % 2 = 1 UNION ALL SELECT archive, tid, title, forum_name, reply_num, 0 FROM thread WHERE tid % 2 = 0 AND tid % 3 = 0),
+f AS (SELECT archive, forum_name FROM (SELECT archive, forum_name, row_number() OVER (PARTITION BY archive ORDER BY count(*) DESC, forum_name) AS n FROM t WHERE forum_name <> '' GROUP BY archive, forum_name) WHERE n = 1)
+SELECT * FROM t UNION ALL
+SELECT p.archive, p.tid, coalesce(nullif(l.title, ''), concat('[tid=', CAST(p.tid AS VARCHAR(19)), ']')), coalesce(f.forum_name, ''), coalesce(l.reply_num, 0), CASE state WHEN 'deleted' THEN 1 ELSE 2 END
+FROM progress p LEFT JOIN listing l ON l.archive = p.archive AND l.tid = p.tid LEFT JOIN f ON f.archive = p.archive WHERE state <> 'done' AND NOT EXISTS (SELECT 1 FROM t WHERE t.archive = p.archive AND t.tid = p.tid)""",
+    "thread", "listing", "progress",
+)
+def _(get):
+    return _consolidated(get)["thread"].select("archive", "tid", "title", "forum_name", "reply_num", "scrape_status")
 
 
 # --- users ------------------------------------------------------------------
@@ -471,6 +507,13 @@ def _(get):
     return D.dedupe_assets(rows.select("archive", "path", "tar", "offset", "size", "seq"))
 
 
+@query("d6_resolve_avatars", "SELECT archive, tid, portrait, concat(CAST(tid AS VARCHAR(19)), '/user_avatar/', avatar) AS path FROM member WHERE avatar <> '' AND user_id % 2 = 0", "member")
+def _(get):
+    users = get("member")
+    there = users.where("user_id % 2 = 0").select("archive", F.concat_ws("/", F.col("tid").cast("string"), F.lit("user_avatar"), "avatar").alias("path"))
+    return D.resolve_avatars(users, there)
+
+
 @query(
     "d6_resolve_media",
     """f AS (SELECT archive, tid, id AS post_id, concat('p_', CAST(disagree AS VARCHAR(9)), '_', CAST(floor AS VARCHAR(9)), '.jpg') AS filename FROM post),
@@ -521,24 +564,44 @@ def _(get):
     return streams.goodput(get("activity"))
 
 
+_SMOOTHED = """n AS (SELECT *, finished * 40.0::DOUBLE AS per_hour FROM g),
+e AS (SELECT start, finished, list_reduce(list(per_hour) OVER (ORDER BY start ROWS BETWEEN 79 PRECEDING AND CURRENT ROW), lambda a, x: 0.5::DOUBLE * x + 0.5::DOUBLE * a) AS ewma FROM n),
+w AS (SELECT *, lag(ewma) OVER (ORDER BY start) AS was FROM e),
+c AS (SELECT *, CASE WHEN was > 0 THEN (ewma - was) / was END AS change FROM w)
+SELECT start, finished, round(ewma, 6) AS ewma, CASE WHEN abs(change) < 0.0000005 THEN 0.0::DOUBLE ELSE round(change, 6) END AS change FROM c"""
+
+
+@query("st3_smoothed_goodput", f"{_BUCKET}, {_SMOOTHED}", "activity")
+def _(get):
+    change = F.when(F.abs("change") < 5e-7, F.lit(0.0)).otherwise(F.round("change", 6))  # no zero has a sign
+    return streams.smoothed_goodput(get("activity")).select("start", "finished", F.round("ewma", 6).alias("ewma"), change.alias("change"))
+
+
 @query(
-    "st3_smoothed_goodput",
-    """RECURSIVE_PLACEHOLDER""",
-    "activity",
+    "st1_stream_merge",
+    f"""a AS (SELECT * FROM raw_post WHERE user_id % 2 = 0 AND id > 0), b AS (SELECT * FROM raw_post WHERE user_id % 2 = 1 AND id > 0)
+SELECT {POST} FROM {_first("a", "archive, tid, id", _REST)} UNION ALL
+SELECT {POST} FROM {_first("b", "archive, tid, id", _REST)} s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.archive = s.archive AND a.tid = s.tid AND a.id = s.id)""",
+    "raw_post",
 )
 def _(get):
-    smooth = streams.smoothed_goodput(get("activity"), window="1 day")
-    return smooth.select("start", "finished", F.round("ewma", 6).alias("ewma"), F.round("change", 6).alias("change"))
+    posts = IO.conform(get("raw_post"), "post")
+    spark, place = posts.sparkSession, scratch(posts.sparkSession)
+    for arrived in ("user_id % 2 = 0", "user_id % 2 = 1", "user_id % 2 = 1"):  # the last one repeats files that are known
+        posts.where(arrived).write.mode("append").parquet(f"{place}/in")
+        streams.stream_merge(spark, f"{place}/in", f"{place}/out", f"{place}/check")
+    return streams.read_merged(spark, f"{place}/out").select(*POST.split(", "))
+
 
+@query("st2_stream_dedupe", "SELECT DISTINCT archive, tid, event_type FROM activity", "activity")
+def _(get):
+    events = get("activity").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark, place = events.sparkSession, scratch(events.sparkSession)
+    events.write.parquet(f"{place}/in")
+    first = streams.stream_dedupe(spark.readStream.schema(events.schema).parquet(f"{place}/in"), ["archive", "tid", "event_type"], "ts", "36500 days")
+    first.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{place}/out").select("archive", "tid", "event_type")
 
-SQL["st3_smoothed_goodput"] = """
-WITH RECURSIVE g AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS finished FROM events GROUP BY 1),
-n AS (SELECT *, finished / 24.0::DOUBLE AS per_hour, row_number() OVER (ORDER BY start) AS i FROM g),
-e(i, start, finished, ewma, change) AS (
-  SELECT i, start, finished, per_hour, NULL::DOUBLE FROM n WHERE i = 1
-  UNION ALL SELECT n.i, n.start, n.finished, 0.5::DOUBLE * n.per_hour + 0.5::DOUBLE * e.ewma, CASE WHEN e.ewma > 0 THEN (0.5::DOUBLE * n.per_hour + 0.5::DOUBLE * e.ewma - e.ewma) / e.ewma END FROM e JOIN n ON n.i = e.i + 1)
-SELECT start, finished, round(ewma, 6) AS ewma, round(change, 6) AS change FROM e
-"""
 
 _SESSION = """o AS (SELECT tid, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY tid ORDER BY ts)) > 360000000, true) AS b FROM activity),
 n AS (SELECT *, sum(b::INTEGER) OVER (PARTITION BY tid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)

@@ -52,6 +52,11 @@ def _(get):
     return _thread_view(get)
 
 
+@query("r2_thread_media", "m AS (SELECT archive, CAST(split_part(path, '/', 1) AS BIGINT) AS tid, path FROM media) SELECT m.* FROM m JOIN thread t ON t.archive = m.archive AND t.tid = m.tid WHERE t.scrape_status = 1", "media", "thread")
+def _(get):
+    return R.thread_media(get("media"), get("thread").where("scrape_status = 1"))
+
+
 @query("pf7_thread_view_author", _VIEW.format(more="AND is_thread_author"), "thread", "post", "member")
 def _(get):
     return _thread_view(get, author_only=True)

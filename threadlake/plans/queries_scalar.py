@@ -190,9 +190,18 @@ def _(get):
     return get("member_file").select("name", C.asset_identity(stamped).alias("identity"))
 
 
-@query("d9_content_type", "SELECT url, CASE WHEN regexp_matches(url, '(?i)\\.gif$') THEN 'image/gif' ELSE 'application/octet-stream' END AS kind FROM (SELECT url || CASE WHEN page_id % 2 = 0 THEN '.GIF' ELSE '.bin' END AS url FROM pages)")
+#: Endings that the query deals out to pages: every known one, upper case, unknown ones and none.
+_ENDINGS = [*C.CONTENT_TYPES, *(x.upper() for x in C.CONTENT_TYPES), ".bin", ".jpg.", "x", ""]
+
+
+@query(
+    "d9_content_type",
+    f"SELECT url, CASE {' '.join(f"WHEN ends_with(lower(url), '{e}') THEN '{t}'" for e, t in C.CONTENT_TYPES.items())} ELSE 'application/octet-stream' END AS kind"
+    f" FROM (SELECT 'm/' || page_id || ([{', '.join(f"'{e}'" for e in _ENDINGS)}])[page_id % {len(_ENDINGS)} + 1] AS url FROM pages)",
+)
 def _(get):
-    named = get("page").select(F.concat("url", F.when(F.col("page_id") % 2 == 0, ".GIF").otherwise(".bin")).alias("url"))
+    ending = F.get(F.array(*map(F.lit, _ENDINGS)), (F.col("page_id") % len(_ENDINGS)).cast("int"))
+    named = get("page").select(F.concat(F.lit("m/"), F.col("page_id").cast("string"), ending).alias("url"))
     return named.select("url", C.content_type(F.col("url")).alias("kind"))
 
 
@@ -241,7 +250,7 @@ def _(get):
 
 @query("io7_media_index", 'SELECT archive, path, tar, "offset", size FROM media', "media")
 def _(get):
-    return IO.parse_media_index(IO.build_media_index(get("media")))
+    return IO.parse_media_index(IO.build_media_index(get("media"), 5_000)).drop("part")
 
 
 @query("io9_write_archive", "SELECT archive, tid, title, reply_num + CASE WHEN archive = 'arc1' THEN 1 ELSE 0 END AS reply_num FROM thread", "thread")

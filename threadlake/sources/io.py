@@ -33,12 +33,14 @@ def write_archive(df: DataFrame, path: str, name: str, buckets: int = 8) -> None
     spread.sortWithinPartitions("archive", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("archive").parquet(path)
 
 
-def read_content_dbs(spark: SparkSession, paths: DataFrame, name: str, per_task: int = 200, include_share_origin: bool = False) -> DataFrame:
+def read_content_dbs(spark: SparkSession, paths: DataFrame, name: str, per_task: int = 200, include_share_origin: bool = False, renames: dict[str, str] | None = None) -> DataFrame:
     """Rows of a table from per-thread SQLite files; paths has archive, tid and path (and is_share_origin, if known).
 
     Files are read where tasks run, ``per_task`` of them in a task.  Files of shared
-    originals are left out unless asked for.  A file without the table gives no rows.
+    originals are left out unless asked for.  A file without the table gives no rows.  ``renames`` gives
+    columns of the files the names of the schema, for instance to the site's own user number, which is site_uid here.
     """
+    renames = dict(renames or {})
     fields = schema(name)
     if "is_share_origin" in paths.columns and not include_share_origin:
         paths = paths.where(~F.coalesce("is_share_origin", F.lit(False)))
@@ -59,8 +61,7 @@ def read_content_dbs(spark: SparkSession, paths: DataFrame, name: str, per_task:
                     if not db.execute("select 1 from sqlite_master where type = 'table' and name = ?", [name]).fetchone():
                         continue
                     cursor = db.execute(f'select * from "{name}"')
-                    # the site's own user number has a column named after the site
-                    names = ["site_uid" if c[0].endswith("_uid") else c[0] for c in cursor.description]
+                    names = [renames.get(c[0], c[0]) for c in cursor.description]
                     while rows := cursor.fetchmany(10_000):
                         have = dict(zip(names, zip(*rows, strict=True), strict=True)) | {"archive": [archive] * len(rows), "tid": [tid] * len(rows)}
                         empty = [None] * len(rows)
@@ -165,8 +166,18 @@ def parse_media_index(df: DataFrame, col: str = "json") -> DataFrame:
     return df.withColumn("_i", index).select(*rest, F.explode("_i.files").alias("path", "e"), "_i.tar_file").select(*rest, "path", F.coalesce("e.tar", "tar_file").alias("tar"), "e.offset", "e.size")
 
 
-def build_media_index(files: DataFrame) -> DataFrame:
-    """archive and its index as JSON, version 2, entries by path; an archive's index is one document by its format."""
+#: Entries of a part of a media index, about.
+INDEX_PART = 50_000
+
+
+def build_media_index(files: DataFrame, entries: int = INDEX_PART) -> DataFrame:
+    """archive, part and the part's index as JSON, version 2, entries by path.
+
+    Each part is a valid index of some of the archive's files; an archive of ``entries`` files or fewer has one
+    part, so no row holds the index of a large archive.  Paths are spread over parts by their hash.
+    """
+    parts = files.groupBy("archive").agg(F.ceil(F.count("*") / entries).alias("parts"))
+    dealt = files.join(parts, "archive").withColumn("part", F.pmod(F.xxhash64("path"), "parts").cast("int"))
     entry = F.struct(F.col("path"), F.struct("tar", "offset", "size"))
-    grouped = files.groupBy("archive").agg(F.array_sort(F.collect_set("tar")).alias("tars"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("files"))
-    return grouped.select("archive", F.to_json(F.struct(F.lit(2).alias("version"), "tars", "files")).alias("json"))
+    grouped = dealt.groupBy("archive", "part").agg(F.array_sort(F.collect_set("tar")).alias("tars"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("files"))
+    return grouped.select("archive", "part", F.to_json(F.struct(F.lit(2).alias("version"), "tars", "files")).alias("json"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,26 +57,39 @@ def goodput(events: DataFrame, window: str = "90 seconds", ts: str = "ts", delay
     return source.groupBy(F.window(ts, window).alias("w")).agg(F.count("*").alias("finished")).select(F.col("w.start").alias("start"), "finished", (F.col("finished") * 3600.0 / seconds).alias("per_hour"))
 
 
+#: Windows of a block; a carry joins the blocks of a group.
+BLOCK = 960
+
+
 def smoothed_goodput(events: DataFrame, window: str = "90 seconds", alpha: float = 0.5, ts: str = "ts", group: str | None = None) -> DataFrame:
     """goodput of a table with the moving average ewma and the relative change to the average before.
 
-    Windows are folded in order for each ``group`` (or all together): there is one row for
-    each window, however many events there are.
+    The average starts with the first window's rate, for each ``group`` or for all together.  It has two steps: windows are
+    averaged within blocks of time, and the few rows of blocks hand their averages on.  Sums reach back as far as weights
+    matter in double precision.
     """
     keys = [group] if group else []
     counted = events.groupBy(*keys, F.window(ts, window).alias("w")).agg(F.count("*").alias("finished"))
-    counted = counted.select(*keys, F.col("w.start").alias("start"), "finished", (F.col("finished") * 3600.0 / (F.unix_timestamp(F.col("w.end").cast("timestamp")) - F.unix_timestamp(F.col("w.start").cast("timestamp")))).alias("per_hour"))
-    ordered = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "finished", "per_hour"))).alias("s"))
-    row = lambda x, e, p: F.struct(x["start"].alias("start"), x["finished"].alias("finished"), x["per_hour"].alias("per_hour"), e.alias("ewma"), p.alias("was"))
-
-    def fold(acc, x):
-        before = F.element_at(acc, -1)["ewma"]
-        return F.concat(acc, F.array(row(x, alpha * x["per_hour"] + (1 - alpha) * before, before)))
-
-    first = F.array(row(F.col("s")[0], F.col("s")[0]["per_hour"], F.lit(None).cast("double")))
-    folded = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), first, fold)
-    out = ordered.select(*keys, F.explode(folded).alias("r")).select(*keys, "r.*")
-    return out.withColumn("change", F.when(F.col("was") > 0, (F.col("ewma") - F.col("was")) / F.col("was"))).drop("was")
+    seconds = F.unix_timestamp(F.col("w.end").cast("timestamp")) - F.unix_timestamp(F.col("w.start").cast("timestamp"))
+    block = F.floor(F.unix_timestamp(F.col("w.start").cast("timestamp")) / (seconds * BLOCK))
+    counted = counted.select(*keys, F.col("w.start").alias("start"), "finished", (F.col("finished") * 3600.0 / seconds).alias("per_hour"), block.alias("block"))
+    keep, far = 1 - alpha, 0 if alpha == 1 else int(-60 * math.log(2) / math.log(1 - alpha))
+    here = W.partitionBy(*keys, "block").orderBy("start")
+    fold = lambda xs, step: F.aggregate(xs, F.lit(0.0), step)
+    # what the block's own windows give, without a carry, and how much of a carry is left
+    own = fold(F.collect_list("per_hour").over(here.rowsBetween(-far, 0)), lambda acc, x: keep * acc + alpha * x)
+    inside = counted.withColumn("_own", own).withColumn("_left", F.pow(F.lit(keep), F.row_number().over(here)))
+    blocks = inside.groupBy(*keys, "block").agg(F.max_by(F.struct("_own", "_left"), "start").alias("end"), F.min_by("per_hour", "start").alias("first"))
+    order = W.partitionBy(*keys).orderBy("block")
+    start = F.first("first").over(order.rowsBetween(W.unboundedPreceding, 0))
+    ends = F.collect_list("end").over(order.rowsBetween(-far - 1, -1))
+    # with the first rate as carry into the first block, the average starts with it
+    carry = F.aggregate(ends, start, lambda acc, e: e["_own"] + e["_left"] * acc)
+    blocks = blocks.select(*keys, "block", carry.alias("_carry"), (F.row_number().over(order) == 1).alias("_begins"))
+    both = inside.join(blocks, [*keys, "block"]).withColumn("ewma", F.col("_own") + F.col("_left") * F.col("_carry"))
+    was = F.coalesce(F.lag("ewma").over(here), F.when(~F.col("_begins"), F.col("_carry")))
+    both = both.withColumn("_was", was)
+    return both.select(*keys, "start", "finished", "per_hour", "ewma", F.when(F.col("_was") > 0, (F.col("ewma") - F.col("_was")) / F.col("_was")).alias("change"))
 
 
 def activity_sessions(events: DataFrame, gap: str = "360 seconds", key: str = "tid", ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
