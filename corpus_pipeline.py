@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import beside, staged, table
+from threadlake.llm.common import beside, release, staged, table
 from threadlake.llm.exact_dedup import exact_dedup
 from threadlake.llm.minhash import near_duplicates
 from threadlake.llm.packing import pack
@@ -79,10 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written and read again."""
+    """All stages over documents; each result but the last is written and read again, and goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs, name.replace(" ", "-"))
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            release(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
