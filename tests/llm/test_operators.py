@@ -232,6 +232,16 @@ def test_byte_bpe(spark):
         assert (r.token_ids, bytes(r.decoded)) == (own.encode_ordinary(text), text.encode())
 
 
+def test_byte_bpe_of_awkward_rows(spark):
+    """No rows, rows without an id and rows that repeat one come back as they are."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    code = lambda rows: sorted((str(r.doc_id), bytes(r.decoded).decode()) for r in bpe.bpe_round_trip(docs(spark, rows), path, public_tokenizers.PATTERN).collect())
+    assert code([]) == []
+    assert code([(None, "a b"), (1, "c"), (1, "c"), (1, "d"), (None, None)]) == [("1", "c"), ("1", "c"), ("1", "d"), ("None", ""), ("None", "a b")]
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
@@ -452,6 +462,13 @@ def test_license_scan_finds_whole_texts(spark):
     assert sorted(tuple(r[:6]) for r in c.sql(license_scan.OP10_SQL).fetchall()) == got
 
 
+def test_license_scan_of_very_long_units(spark):
+    """One line of 300,000 words, and 400 lines that are made of licence words."""
+    line = license_scan.TEMPLATES["MIT"][1]
+    rows = [(1, "in the of the and to " * 50_000), (2, ("the software is provided\n" + "and the license of\n") * 200 + line), (None, line + " " + "x" * 1_000_000)]
+    assert [(r.doc_id, r.license, r.line_no) for r in license_scan.scan_licenses(docs(spark, rows)).collect() if r.dice == 1] == [(2, "MIT", 400)]
+
+
 def test_license_scan_is_dice(spark):
     rng = random.Random(8)
     pool = [w for ts in license_scan.TEMPLATES.values() for t in ts for w in re.findall(r"[a-z0-9]+", t.lower())][:60]

@@ -122,18 +122,20 @@ def _marks(lines: Column, known: list[str], grams: list[str], share: float) -> C
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), marked)
 
 
-def _runs(lines: Column, marks: Column, most: int) -> Column:
-    """(first, last, grams) of each run of lines between two marks, or of one, with at most so many words."""
+def _found_runs(lines: Column, marks: Column, most: int, match) -> Column:
+    """What match finds for each run of lines between two marks, or of one, with at most so many words; no two runs are held at once."""
 
     def ends(p):
         sizes = F.transform(F.slice(lines, p + 1, most), lambda x: F.size(x["words"]))
-        fit = F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")), lambda a, n: F.struct((a["n"] + (a["words"] + n <= most).cast("int")).alias("n"), (a["words"] + n).alias("words")))["n"]
-        return F.exists(F.array(fit), lambda n: n > 0), fit
+        return F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")), lambda a, n: F.struct((a["n"] + (a["words"] + n <= most).cast("int")).alias("n"), (a["words"] + n).alias("words")))["n"]
+
+    def run(p, q):
+        grams = _pairs(F.flatten(F.transform(F.slice(lines, p + 1, q - p + 1), lambda x: x["words"])))
+        return F.flatten(F.transform(F.array(F.struct(p.alias("first"), q.alias("last"), grams.alias("grams"))), match))
 
     def runs(p):
-        some, fit = ends(p)
-        last = F.transform(F.filter(F.array(p + fit - 1), lambda q: some), lambda z: F.filter(marks, lambda q: (q >= p) & (q <= z)))
-        return F.transform(F.flatten(last), lambda q: F.struct(p.alias("first"), q.alias("last"), _pairs(F.flatten(F.transform(F.slice(lines, p + 1, q - p + 1), lambda x: x["words"]))).alias("grams")))
+        last = F.flatten(F.transform(F.array(p + ends(p) - 1), lambda z: F.filter(marks, lambda q: (q >= p) & (q <= z))))
+        return F.flatten(F.transform(last, lambda q: run(p, q)))
 
     return F.flatten(F.transform(marks, runs))
 
@@ -187,9 +189,6 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     marks = F.when(F.col("line_no") == -2, _marks(F.col("lines"), known, all_grams, share))
     sized = sized.select("doc_id", "line_no", "lines", F.explode(F.array(F.struct(_pairs(F.col("words")).alias("grams"), marks.alias("marks")))).alias("u")).select("doc_id", "line_no", "lines", "u.grams", "u.marks")
     sized = sized.where(F.when(F.col("line_no") == -2, F.size("marks") > 1).otherwise(F.size("grams").between(int(lowest), int(highest) + 1)))
-    one = F.array(F.struct(F.col("line_no").alias("first"), F.col("line_no").alias("last"), F.col("grams").alias("grams")))
-    runs = F.when(F.col("line_no") == -2, _runs(F.col("lines"), F.col("marks"), int(highest) + 2)).otherwise(one)
-    sized = sized.select("doc_id", "line_no", "lines", F.explode(F.array(runs)).alias("runs"))
 
     def match(unit):
         n, fits = F.size(unit["grams"]), []
@@ -200,7 +199,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
             fits.append(F.when(n.between(int(low) + (low > int(low)), int(high)), made))
         return F.filter(F.array(*fits), lambda m: m.isNotNull() & (m["shared"] > 0) & (2 * m["shared"] / (m["unit_bigrams"] + m["size"]) >= threshold))
 
-    sized = sized.select("doc_id", "line_no", "lines", F.explode(F.array(F.flatten(F.transform("runs", match)))).alias("found"))
+    one = F.transform(F.array(F.struct(F.col("line_no").alias("first"), F.col("line_no").alias("last"), F.col("grams").alias("grams"))), match)
+    runs = F.when(F.col("line_no") == -2, _found_runs(F.col("lines"), F.col("marks"), int(highest) + 2, match)).otherwise(F.flatten(one))
+    sized = sized.select("doc_id", "line_no", "lines", F.explode(F.array(runs)).alias("found"))
     best = F.when(F.col("line_no") == -2, _best(F.col("lines"), F.col("found"))).otherwise(F.col("found"))
     found = sized.select("doc_id", "line_no", "lines", F.explode(best).alias("m"))
     found = found.select("doc_id", F.when(F.col("line_no") == -2, F.get("lines", F.col("m.first"))["line_no"]).otherwise(F.col("line_no")).alias("line_no"), "m", F.col("m.unit_bigrams").alias("unit_bigrams"))
