@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlake.operators.merge import first_rows, merge_posts
+from threadlake.sources.places import stored
 
 SHORT = 20
 #: Floors in a bucket when gaps are found in two steps.
@@ -93,7 +94,8 @@ def heal(threads: DataFrame, posts: DataFrame, recrawl_posts: DataFrame, suspect
     refreshed from ``recrawl_threads``.  The report has archive, added_posts, revived.
     """
     ids = suspects.select("archive", "tid").distinct()
-    fetched = recrawl_posts.where("id > 0").join(ids, ["archive", "tid"], "left_semi").select(*posts.columns)
+    # threads, posts and the report all need what was fetched, so it is found once
+    fetched = stored(recrawl_posts.where("id > 0").join(ids, ["archive", "tid"], "left_semi").select(*posts.columns), "fetched")
     merged = merge_posts(posts, fetched)
     alive = fetched.select("archive", "tid").distinct().withColumn("_alive", F.lit(True))
     marked = threads.join(alive, ["archive", "tid"], "left")
