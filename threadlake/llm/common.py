@@ -50,20 +50,17 @@ def release(*tables: DataFrame) -> None:
         system.delete(where, True)
 
 
-#: Rows of a staged table, and items in its array column, that may be broadcast: about 130 MB at most.
-BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 1_000_000
+#: Ids that may be broadcast: some 16 MB.
+BROADCAST_ROWS = 500_000
 
 
-def beside(docs: DataFrame, few: DataFrame, how: str, on: str = "doc_id", items: str | None = None) -> DataFrame:
-    """docs joined to a staged table of ids, which is broadcast only if counting shows that it is small.
+def beside(docs: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
+    """docs joined to a staged table of ids alone, which is broadcast only if counting shows that it is small.
 
-    ``items`` is a column of few with the number of array items of the row; it is not part of the result.
-    Beyond the bounds both sides are shuffled on the id.
+    Beyond the bound both sides are shuffled on the id.
     """
-    size = few.limit(BROADCAST_ROWS + 1).select(F.count("*"), F.sum(items) if items else F.lit(0)).first()
-    small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_ITEMS
-    few = few.drop(items) if items else few
-    return docs.join(F.broadcast(few) if small else few, on, how)
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if small else ids, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import beside, release, staged, table
+from threadlake.llm.common import release, staged, table
 from threadlake.llm.words import Words, rolling, slices
 
 #: Words of the k-grams that are anchors, for each round but the last, whose grams are whole windows.
@@ -309,7 +309,7 @@ def _passes(pieces: DataFrame, n_anchors: int, length: int) -> list[DataFrame]:
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, what: array of (cls, first, past), n_spans, for documents (doc_id, text) with words to remove."""
+    """doc_id, what: array of (cls, first, past), for documents (doc_id, text) with words to remove."""
     grams = sorted({min(g, length) for g in (*GRAMS, length)})
     docs = docs.where("doc_id is not null")
     rows = staged(docs.mapInArrow(_profile(length, grams[0]), "doc_id long, n_words long, cls binary, anchors array<long>").where(F.col("n_words") >= length), "profiles")
@@ -320,10 +320,10 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     release(rows, copied)
     routes, n = _routes(classes.select("doc", "cls", F.explode("anchors").alias("anchor")), "doc", "cls")
     release(classes)
-    known = routes.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("cls", "routes")).alias("known"), F.sum(F.size("routes")).alias("n_routes"))
-    known = staged(known, "known")
+    # routes grow with the input, so they are never broadcast
+    known = staged(routes.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("cls", "routes")).alias("known")), "known")
     release(routes)
-    pieces = beside(docs, known, "inner", items="n_routes").select("doc_id", "text", "known").mapInArrow(_pieces(length, grams[0], _of_texts), PIECES)
+    pieces = docs.join(known.hint("merge"), "doc_id").select("doc_id", "text", "known").mapInArrow(_pieces(length, grams[0], _of_texts), PIECES)
     runs = _passes(pieces, n, length)
     release(known)
     for gram in [*grams[1:], None]:
@@ -338,7 +338,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         release(routes)
     removed = [s.where("codes is null").drop("codes") if "codes" in s.columns else s for s in spans]
     removed = reduce(DataFrame.unionByName, removed).groupBy(F.col("doc").alias("doc_id"))
-    out = staged(removed.agg(F.collect_list(F.struct("cls", "first", "past")).alias("what"), F.count("*").alias("n_spans")), "spans")
+    out = staged(removed.agg(F.collect_list(F.struct("cls", "first", "past")).alias("what")), "spans")
     release(*spans)
     return out
 
@@ -354,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Other columns are not read.  An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = beside(docs, repeated_spans(docs, length), "left", items="n_spans").select("doc_id", "text", "what")
+    marked = docs.join(repeated_spans(docs, length).hint("merge"), "doc_id", "left").select("doc_id", "text", "what")
     return marked.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
