@@ -192,6 +192,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         release(pairs)
         return out
 
+    def lowest(rows: DataFrame) -> DataFrame:
+        """The open buckets with their smallest component; staged, so that a join with it can split a hot bucket."""
+        return staged(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low"), "low")
+
     edges, found, open_ = [], None, members.withColumn("component", F.col("rep"))
     near = 100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")
     for turn in range(ROUNDS):
@@ -199,23 +203,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         pick = F.struct("rep", "n", "set_id") if not turn else F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "n", "set_id")
         rest = open_
         if turn:
-            low = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low")
+            low = lowest(open_)
             rest = staged(open_.join(low, "key"), "open")
+            release(low)
         if rest.isEmpty():
             break
-        centres = rest.where(F.col("component") != F.col("low") if turn else F.lit(True)).groupBy("key").agg(F.min(pick).alias("centre"), F.min_by("component", pick).alias("with"))
+        centres = staged(rest.where(F.col("component") != F.col("low") if turn else F.lit(True)).groupBy("key").agg(F.min(pick).alias("centre"), F.min_by("component", pick).alias("with")), "centres")
         stars = rest.join(centres, "key").where((F.col("component") != F.col("with")) & (F.col("rep") != F.col("centre.rep")) & near)
         a_first = F.col("centre.rep") < F.col("rep")
         pair = lambda c: (F.when(a_first, F.col(f"centre.{c}")).otherwise(F.col(c)), F.when(a_first, F.col(c)).otherwise(F.col(f"centre.{c}")))
         (a, b), (set_a, set_b) = pair("rep"), pair("set_id")
         edges.append(verified(stars.select(a.alias("a"), set_a.alias("set_a"), b.alias("b"), set_b.alias("set_b")).distinct()))
-        if turn:
-            release(rest)
+        release(centres, *([rest] if turn else []))
         found = components(reduce(DataFrame.unionByName, edges))
         open_ = members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "set_id", F.coalesce("component", "rep").alias("component"))
-    low = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    low = lowest(open_)
     rest = open_.join(low, "key", "left_semi").select(F.col("rep").alias("doc_id"), "set_id", "component").distinct()
     rest = staged(rest.join(sets, ["doc_id", "set_id"]), "rest")
+    release(low)
     if not rest.isEmpty():
         first = _rare_first(rest, percent)
         edges.append(verified(_candidates(first, percent)))
