@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from threadlake.llm.common import beside, release, staged, table
 from threadlake.llm.components import components
-from threadlake.llm.words import U64, Words, mix, slices
+from threadlake.llm.words import U64, Words, freed, mix, slices
 
 COORDS, ROWS = 128, 4
 #: Rounds of centres before the prefix filter.
@@ -89,7 +89,7 @@ def _sketcher(shingle: int):
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), lists], schema=schema)
 
-    return run
+    return freed(run)
 
 
 def _setter(shingle: int):
@@ -101,7 +101,7 @@ def _setter(shingle: int):
                 sets = [s.tobytes() for s in Words(part.column(1), lower=True).shingle_sets(shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_set_id(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
-    return run
+    return freed(run)
 
 
 def _linked(percent: int):
@@ -117,7 +117,7 @@ def _linked(percent: int):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
 
-    return run
+    return freed(run)
 
 
 def _shingles():
@@ -130,7 +130,7 @@ def _shingles():
                 x = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x), *(pa.repeat(v, len(x)) for v in (batch.column(0)[i], batch.column(1)[i], pa.scalar(len(x), pa.int64()), batch.column(2)[i]))], schema=schema)
 
-    return run
+    return freed(run)
 
 
 def _rare_first(rest: DataFrame, percent: int) -> DataFrame:

@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import release, staged, table
-from threadlake.llm.words import Words, rolling, slices
+from threadlake.llm.words import Words, freed, rolling, slices
 
 #: Words of the k-grams that are anchors, for each round but the last, whose grams are whole windows.
 GRAMS = (16, 32)
 #: Anchors of a part of a home, words in a shard, and words in a block of shards that is broadcast.
 PART_ANCHORS, SHARD_WORDS, BLOCK_WORDS = 1 << 10, 1 << 16, 1 << 22
+#: Bytes of streamed pieces whose spans a worker remembers for each shard.
+MEMO_BYTES = 4 << 20
 #: Words that a window of the reference takes on average, for sizing shards and blocks; a block that turns out larger takes several passes.
 WORDS_OF_ANCHOR = 40
 
@@ -144,7 +146,7 @@ def _profile(length: int, gram: int):
                     found.append(np.unique(low[a : b - length + 1]) if b - a >= length else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.counts(), pa.int64()), pa.array(cls, pa.binary()), _lists(found)], schema=schema)
 
-    return run
+    return freed(run)
 
 
 def _anchored(length: int, gram: int):
@@ -156,7 +158,7 @@ def _anchored(length: int, gram: int):
             found = [np.unique(anchors(np.frombuffer(x.as_buffer(), np.uint64), length, gram).view(np.int64)) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(found)], schema=schema)
 
-    return run
+    return freed(run)
 
 
 def _of_texts(batches) -> Iterator[tuple]:
@@ -212,7 +214,7 @@ def _pieces(length: int, gram: int, read):
                 out, size = [[] for _ in schema], 0
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return run
+    return freed(run)
 
 
 RUNS = "doc long, cls binary, first long, past long, codes binary"
@@ -223,27 +225,28 @@ def _stream(length: int, shards):
     schema = pa.schema([("doc", pa.int64()), ("cls", pa.binary()), ("first", pa.int64()), ("past", pa.int64()), ("codes", pa.binary())])
 
     def run(batches):
-        at, automaton, known = None, None, {}
+        at, automaton, known, room = None, None, {}, 0
         for batch in batches:
             out = [[] for _ in schema]
             for i in range(batch.num_rows):
                 shard = batch.column(0)[i].as_py()
                 if shard != at:
-                    at, automaton, known = shard, SuffixAutomaton(np.frombuffer(x, np.uint64).tolist() for x in shards.value.get(shard, ())), {}
+                    automaton = known = None  # before the next one is built
+                    at, automaton, known, room = shard, SuffixAutomaton(np.frombuffer(x, np.uint64).tolist() for x in shards.value.get(shard, ())), {}, MEMO_BYTES
                 raw = batch.column(4)[i].as_py()
                 spans = known.get(raw)
                 if spans is None:
                     there = np.array(automaton.matching(np.frombuffer(raw, np.uint64).tolist()))[length - 1 :] >= length
                     spans = [(a, b + length - 1, None) for a, b in _runs(there)] + [(a, b + length - 1, raw[8 * a : 8 * (b + length - 1)]) for a, b in _runs(~there)]
-                    if len(known) < 10_000:
-                        known[raw] = spans
+                    if len(raw) <= room:
+                        known[raw], room = spans, room - len(raw)
                 start = batch.column(3)[i].as_py()
                 for a, b, codes in spans:
                     for column, x in zip(out, (batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), start + a, start + b, codes), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return run
+    return freed(run)
 
 
 def _cut(length: int):
@@ -267,7 +270,7 @@ def _cut(length: int):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, f.type) for x, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
 
-    return run
+    return freed(run)
 
 
 def _routes(having: DataFrame, *key: str) -> tuple[DataFrame, int]:

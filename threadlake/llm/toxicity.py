@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import staged, table
-from threadlake.llm.words import Words, slices
+from threadlake.llm.words import Words, freed, slices
 
 #: Most labelled rows that are fitted, words of the vocabulary for each category, rows that a word needs, folds.
 SAMPLE, VOCABULARY, LEAST, FOLDS = 20_000, 1_000, 3, 3
@@ -45,9 +45,8 @@ class _Groups:
     """Sums of values by keys below n, for many arrays of values of the same keys."""
 
     def __init__(self, keys: np.ndarray, n: int):
-        self.order, self.n = np.argsort(keys, kind="stable"), n
-        keys = keys[self.order]
-        self.starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        """keys ascend."""
+        self.n, self.starts = n, np.flatnonzero(np.diff(keys, prepend=-1))
         self.keys = keys[self.starts]
 
     def sum(self, ordered: np.ndarray) -> np.ndarray:
@@ -58,7 +57,7 @@ class _Groups:
 
 
 def fit_linear(rows: np.ndarray, words: np.ndarray, n: int, size: int, before: np.ndarray, y: np.ndarray) -> Linear:
-    """L1-regularised logistic regression on pairs (row, word); both classes weigh the same.
+    """L1-regularised logistic regression on pairs (row, word), in the order of rows; both classes weigh the same.
 
     A word counts with the log ratio of its shares in the two classes, so that the penalty
     weighs least on words that tell most.  Without rows or with one class only the model answers that class always.
@@ -75,8 +74,10 @@ def fit_linear(rows: np.ndarray, words: np.ndarray, n: int, size: int, before: n
     v = np.ones(size + d + 1)
 
     # the sparse matrix by rows and by columns
-    by_row, by_word = _Groups(rows, n), _Groups(words, size)
-    words, rows = words[by_row.order], rows[by_word.order]
+    order = np.argsort(words, kind="stable")
+    by_row, by_word = _Groups(rows, n), _Groups(words[order], size)
+    rows = rows[order]
+    del order
 
     def forward(w):
         return by_row.sum((ratio * w[:size])[words]) + before @ w[size:-1] + w[-1]
@@ -147,7 +148,7 @@ def _distinct_words():
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["fold", "y", "words"])
 
-    return run
+    return freed(run)
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = SAMPLE) -> Chain:
@@ -161,8 +162,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], s
     picked = fine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
     truth = F.array(*(F.col(c).cast("int") for c in categories)).alias("y")
-    # one text for each id, so there are never more rows than the sample has
-    rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", *categories).agg(F.max("text").alias("text")).select(fold, truth, "text")
+    rows = docs.join(F.broadcast(picked), "doc_id")
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # one text for each id, so there are never more rows than the sample has
+        rows = rows.groupBy("doc_id", *categories).agg(F.max("text").alias("text"))
+    rows = rows.select(fold, truth, "text")
     rows = staged(rows.mapInArrow(_distinct_words(), "fold int, y array<int>, words array<long>"), "labelled")
     n = rows.count()
     counts = rows.select(F.explode("words").alias("word"), "y").groupBy("word").agg(F.count("*").alias("n"), *(F.sum(F.get("y", F.lit(i))).alias(f"n{i}") for i in range(len(categories)))).where(F.col("n") >= LEAST)
@@ -178,16 +182,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], s
     folds, y = kept["fold"].to_numpy(), np.array(kept["y"].to_pylist(), dtype=bool).reshape(-1, len(categories))
     lists = kept["places"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    at, words = np.repeat(np.arange(n), sizes), lists.flatten().to_numpy().astype(np.int64)
-    order = np.lexsort((words, at))
-    at, words = at[order], words[order]
+    at, words = np.repeat(np.arange(n, dtype=np.int32), sizes), lists.flatten().to_numpy().astype(np.int32)
+    del kept, lists
     before, models = np.zeros((n, 0)), []
     for i in range(len(categories)):
         models.append(fit_linear(at, words, n, len(vocabulary), before, y[:, i]))
         unseen = np.zeros(n)
         for f in range(FOLDS) if i + 1 < len(categories) else ():
             inside = folds != f
-            place = np.cumsum(inside) - 1
+            place = (np.cumsum(inside) - 1).astype(np.int32)
             use = inside[at]
             model = fit_linear(place[at[use]], words[use], int(inside.sum()), len(vocabulary), before[inside], y[inside, i])
             unseen[~inside] = model.predict(np.bincount(at, model.words[words], n), before)[~inside]
@@ -204,7 +207,7 @@ def _places(vocabulary: np.ndarray):
             places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places], names=["fold", "y", "places"])
 
-    return run
+    return freed(run)
 
 
 def _scorer(chain):
@@ -214,7 +217,7 @@ def _scorer(chain):
                 p = chain.value.score(*features(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.round(p[:, i], 6)) for i in range(p.shape[1]))], names=["doc_id", *(f"p_{c}" for c in chain.value.categories)])
 
-    return run
+    return freed(run)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), reject: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
