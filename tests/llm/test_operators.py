@@ -633,7 +633,7 @@ def test_same_as_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     theirs = c.sql(registry.SQL[name])
     df = registry.QUERIES[name](spark, SF)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlake.llm import bpe, exact_dedup, html_text, license_scan, minhash, packing, substring, topk, toxicity, url_filter
+from threadlake.llm import bpe, exact_dedup, html_text, license_scan, minhash, packing, prefix_trie, substring, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_top_k": topk.op9_top_k,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op7_substring_dedup": substring.OP7_SQL,
     "op9_top_k": topk.OP9_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }
