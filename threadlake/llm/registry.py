@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlake.llm import bpe, exact_dedup, html_text, license_scan, minhash, packing, prefix_trie, substring, topk, toxicity, url_filter
+from threadlake.llm import bpe, exact_dedup, hard_negatives, html_text, license_scan, minhash, packing, prefix_trie, substring, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_top_k": topk.op9_top_k,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op9_top_k": topk.OP9_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
     "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
