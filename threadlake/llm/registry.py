@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlake.llm import bpe, exact_dedup, hard_negatives, html_text, license_scan, minhash, packing, prefix_trie, substring, topk, toxicity, url_filter
+from threadlake.llm import bpe, exact_dedup, hard_negatives, html_text, license_scan, minhash, packing, prefix_trie, quality, substring, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_quality": quality.op13_quality,
 }
 
 SQL = {
