@@ -134,4 +134,5 @@ def test_fit_lowers_the_non_negative_risk():
             w[i] += step
             assert risk(Q.Model(model.cuts, w, model.intercept, 0.75)) > least - 5e-4
     said = model.score(u) >= 0.5
-    assert (said == truth).mean() > 0.93 and abs(said.mean() - 0.75) < 0.05
+    best = (((u[:, :3] - 0.7) ** 2 - (u[:, :3] - 0.3) ** 2) / (2 * 0.25**2)).sum(axis=1) + np.log(3) > 0  # by the true densities
+    assert (said == truth).mean() > (best == truth).mean() - 0.03 and abs(said.mean() - 0.75) < 0.05
