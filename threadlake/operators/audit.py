@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlake.operators.merge import first_rows, merge_posts
+from threadlake.schemas import scrape_order
 from threadlake.sources.places import stored
 
 SHORT = 20
@@ -90,13 +91,13 @@ def prepare_retry(done: DataFrame, progress: DataFrame, suspects: DataFrame) ->
 def heal(threads: DataFrame, posts: DataFrame, recrawl_posts: DataFrame, suspects: DataFrame, recrawl_threads: DataFrame | None = None, refresh_metadata: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(threads, posts, report) after the fetched rows of suspects filled missing keys.
 
-    Deleted and failed threads that now have fetched posts get status 0.  Metadata stay as they were, unless
-    refreshed from ``recrawl_threads``.  The report has archive, added_posts, revived.
+    Deleted and failed threads that now have fetched posts get status 0.  Of fetched rows of one key the one
+    scraped first comes in.  Metadata stay as they were, unless refreshed from ``recrawl_threads``.  The report has archive, added_posts, revived.
     """
     ids = suspects.select("archive", "tid").distinct()
     # threads, posts and the report all need what was fetched, so it is found once
     fetched = stored(recrawl_posts.where("id > 0").join(ids, ["archive", "tid"], "left_semi").select(*posts.columns), "fetched")
-    merged = merge_posts(posts, fetched)
+    merged = merge_posts(posts, fetched, scrape_order("post", fetched.columns))
     alive = fetched.select("archive", "tid").distinct().withColumn("_alive", F.lit(True))
     marked = threads.join(alive, ["archive", "tid"], "left")
     revived = F.col("_alive") & (F.coalesce("scrape_status", F.lit(0)) != 0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlake.schemas import KEYS, REQUIRED
+from threadlake.schemas import KEYS, REQUIRED, scrape_order
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
@@ -109,18 +109,21 @@ def merge_forums(target: DataFrame, source: DataFrame, order_by: Sequence[str] =
     return numbered.select("archive", forum_id.cast("bigint").alias("forum_id"), "forum_name", *counts, "slogan")
 
 
-def stub_threads(listing: DataFrame, progress: DataFrame, merged: DataFrame, forum_name: str | None = None) -> DataFrame:
+def stub_threads(listing: DataFrame, progress: DataFrame, merged: DataFrame, forum_name: str | None = None, others: DataFrame | None = None) -> DataFrame:
     """Rows for deleted (status 1) and failed (status 2) threads that were never merged.
 
     An archive without a listing has no stubs.  Titles not listed are [tid=N].  The forum is ``forum_name``, or
-    by default the one that most of the archive's merged threads name (ties to the smallest; none: '').
+    by default the one that most of the archive's merged threads name (ties to the smallest; none: '').  ``others`` (archive, forum_name)
+    are further threads that count for the name, where merged is only a part of the archive.
     """
     state = progress.where(F.col("state").isin("deleted", "failed")).groupBy("archive", "tid").agg(F.max(F.col("state") == "deleted").alias("deleted"))
     fresh = state.join(merged.select("archive", "tid"), ["archive", "tid"], "left_anti").join(listing.select("archive").distinct(), "archive", "left_semi")
     meta = first_rows(listing.select("archive", "tid", "title", "author_id", "reply_num", "create_time", "pos"), ["archive", "tid"], ["pos"])
     joined = fresh.join(meta, ["archive", "tid"], "left")
     if forum_name is None:
-        names = merged.where("forum_name <> ''").groupBy("archive", "forum_name").agg(F.count("*").alias("n"))
+        named = merged.select("archive", "forum_name")
+        named = named if others is None else named.unionByName(others.select("archive", "forum_name"))
+        names = named.where("forum_name <> ''").groupBy("archive", "forum_name").agg(F.count("*").alias("n"))
         joined = joined.join(names.groupBy("archive").agg(F.min_by("forum_name", F.struct(-F.col("n"), "forum_name")).alias("_forum")), "archive", "left")
     forum = F.coalesce("_forum", F.lit("")) if forum_name is None else F.lit(forum_name)
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -128,16 +131,21 @@ def stub_threads(listing: DataFrame, progress: DataFrame, merged: DataFrame, for
     return joined.select("archive", "tid", title.alias("title"), forum.alias("forum_name"), zero("author_id").alias("author_user_id"), zero("reply_num").alias("reply_num"), zero("create_time").alias("create_time"), F.when(F.col("deleted"), 1).otherwise(2).alias("scrape_status"))
 
 
-def refresh_posts(target: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Known posts take only agree, disagree and reply_num (0 for sub-posts) of the snapshot; new posts come whole."""
-    counters = ["agree", "disagree", "reply_num"]
-    new = first_rows(snapshot.where("id > 0"), KEYS["post"])
-    both = target.withColumn("_at", F.lit(0)).unionByName(new.withColumn("_at", F.lit(1)))
-    rest = [c for c in target.columns if c not in KEYS["post"] and c not in counters]
-    newest = F.struct(*counters)
-    grouped = both.groupBy(*KEYS["post"]).agg(F.min_by(F.struct(*rest), "_at").alias("old"), F.max_by(newest, "_at").alias("new"), F.max("_at").alias("seen"))
-    reply = F.when((F.col("seen") == 1) & (F.col("old.parent_id") != 0), F.lit(0)).otherwise(F.col("new.reply_num"))
-    return grouped.select(*KEYS["post"], "old.*", "new.agree", "new.disagree", reply.cast("bigint").alias("reply_num")).select(*target.columns)
+def refresh_posts(target: DataFrame, snapshot: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+    """Known posts take only agree, disagree and reply_num (0 for sub-posts) of the snapshot; new posts come whole.
+
+    A key may stand in several rounds of the snapshot, in the order of ``order_by`` (by default that of scraping): the newest round
+    gives the counters, and a new post's other columns are those of the first.  Of rows of one round the larger counters win.
+    """
+    keys, counters = KEYS["post"], ["agree", "disagree", "reply_num"]
+    order = scrape_order("post", snapshot.columns) if order_by is None else list(order_by)
+    seen = snapshot.where("id > 0")
+    newest = seen.groupBy(*keys).agg(F.max(F.struct(*order, *(F.col(c).alias(f"_{c}") for c in counters))).alias("_new"))
+    reply = lambda known: F.when(F.col("parent_id") != 0, F.lit(0)).otherwise(F.coalesce("_new._reply_num", known)).cast("bigint")
+    values = {c: F.coalesce(f"_new._{c}", c) for c in counters[:2]}
+    known = target.join(newest, keys, "left").withColumns(values | {"reply_num": F.when(F.col("_new").isNull(), F.col("reply_num")).otherwise(reply(F.col("reply_num")))})
+    fresh = first_rows(seen.join(target.select(*keys), keys, "left_anti"), keys, order).join(newest, keys).withColumns(values | {"reply_num": reply(F.col("reply_num"))})
+    return known.select(*target.columns).unionByName(fresh.select(*target.columns))
 
 
 def pending_threads(threads: DataFrame, merged: DataFrame, media: DataFrame) -> DataFrame:

@@ -39,6 +39,9 @@ REQUIRED: dict[str, list[str]] = {
     "scrape_batch": ["archive", "id", "tid", "scraper_version", "scrape_config", "scrape_time"],
 }
 
+#: Columns that say in which order rows were scraped; of repeated source rows the first one wins.
+SCRAPED: dict[str, str] = {"post": "scrape_batch_id", "user": "scrape_time", "scrape_batch": "scrape_time", "media_source": "scrape_batch_id", "forum": "scraped_at"}
+
 #: Values of columns that tables written by older versions don't have.
 DEFAULTS: dict[str, dict[str, object]] = {
     "post": {"scrape_batch_id": 0, "user_id": 0, "parent_id": 0},
@@ -59,5 +62,10 @@ SCRAPE_CONFIG = "STRUCT<POST_FILTER_TYPE INT, DOWNLOAD_USER_AVATAR_MODE INT, SCR
 SCRAPE_INFO_JSON = f"main_thread BIGINT, scrape_time BIGINT, config STRING, create_time BIGINT, update_time BIGINT, scraper_version STRING, scrape_records ARRAY<STRUCT<scrape_time BIGINT, scrape_config {SCRAPE_CONFIG}>>"
 
 
+def scrape_order(name: str, columns: list[str]) -> list[str]:
+    """The column of the order of scraping, if the table has one and it is there."""
+    return [c for c in [SCRAPED.get(name)] if c in columns]
+
+
 def schema(name: str) -> StructType:
     return StructType.fromDDL(TABLES[name])
