@@ -16,6 +16,7 @@ from threadlake.plans import jobs
 from threadlake.plans.bindings import view, with_views
 from threadlake.sources import io as IO
 from threadlake.sources.places import scratch
+from threadlake.sources.runs import Store
 from threadlake.streaming import streams
 
 QUERIES: dict = {}
@@ -35,6 +36,8 @@ def query(name: str, sql: str | None = None, *views: str):
 
 
 POST = "archive, id, tid, contents, floor, user_id, agree, disagree, create_time, is_thread_author, reply_num, parent_id, reply_to_id, scrape_batch_id"
+#: The order of scraping, then a total one.
+_SCRAPED = "scrape_batch_id, agree, contents, create_time, disagree, floor, is_thread_author, parent_id, reply_num, reply_to_id, user_id"
 _REST = "agree, contents, create_time, disagree, floor, is_thread_author, parent_id, reply_num, reply_to_id, scrape_batch_id, user_id"
 
 
@@ -170,6 +173,19 @@ def _(get):
     return M.refresh_posts(posts.where("user_id % 2 = 0"), later)
 
 
+@query(
+    "m9_refresh_posts_newest",
+    f"""t AS (SELECT {POST} FROM post WHERE id > 0 AND user_id % 2 = 0),
+c AS (SELECT archive, tid, id, max({{'b': scrape_batch_id, 'a': agree, 'd': disagree, 'r': reply_num}}) AS m FROM raw_post WHERE id > 0 GROUP BY archive, tid, id),
+w AS (SELECT * FROM t UNION ALL SELECT {POST} FROM {_first("raw_post", "archive, tid, id", _SCRAPED)} s WHERE id > 0 AND NOT EXISTS (SELECT 1 FROM t WHERE t.archive = s.archive AND t.tid = s.tid AND t.id = s.id))
+SELECT archive, id, tid, contents, floor, user_id, coalesce(m.a, agree) AS agree, coalesce(m.d, disagree) AS disagree, create_time, is_thread_author,
+  CASE WHEN m IS NULL THEN reply_num WHEN parent_id <> 0 THEN 0 ELSE m.r END AS reply_num, parent_id, reply_to_id, scrape_batch_id FROM w LEFT JOIN c USING (archive, tid, id)""",
+    "post", "raw_post",
+)
+def _(get):
+    return M.refresh_posts(get("post").where("id > 0 and user_id % 2 = 0"), get("raw_post"))
+
+
 @query(
     "m10_pending_threads",
     """SELECT archive, tid FROM thread t WHERE NOT EXISTS (SELECT 1 FROM thread m WHERE m.tid % 3 = 0 AND m.archive = t.archive AND m.tid = t.tid)
@@ -229,6 +245,53 @@ def _(get):
     return _consolidated(get)["thread"].select("archive", "tid", "title", "forum_name", "reply_num", "scrape_status")
 
 
+def _runs(get):
+    """A store after two runs: threads of every third id with half of their posts, then all threads with all posts, and stubs."""
+    threads, posts, place = get("thread"), get("raw_post"), scratch(get("thread").sparkSession)
+    spark = threads.sparkSession
+    store = Store(spark, f"{place}/store", 16)
+    for n, part in enumerate(("tid % 3 = 0", "tid % 2 = 0")):
+        for name, df in (("thread", threads), ("post", posts if n else posts.where("user_id % 2 = 0")), ("user", get("member"))):
+            IO.conform(df.where(part), name).write.parquet(f"{place}/source{n}/{name}")
+    get("listing").write.parquet(f"{place}/source1/listing")
+    get("progress").write.parquet(f"{place}/source1/progress")
+    for n in (0, 1):
+        jobs.consolidate_run(spark, f"{place}/source{n}", store, resume=False)
+    return store
+
+
+_RUN_POSTS = f"""a AS (SELECT * FROM raw_post WHERE id > 0 AND tid % 3 = 0 AND user_id % 2 = 0), b AS (SELECT * FROM raw_post WHERE id > 0 AND tid % 2 = 0),
+fa AS (SELECT {POST} FROM {_first("a", "archive, tid, id", _SCRAPED)}),
+po AS (SELECT * FROM fa UNION ALL SELECT {POST} FROM {_first("b", "archive, tid, id", _SCRAPED)} s WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.archive = s.archive AND fa.tid = s.tid AND fa.id = s.id))"""
+_RUN_THREADS = """th AS (SELECT archive, tid, title, forum_name, 0 AS scrape_status FROM thread WHERE tid % 3 = 0 OR tid % 2 = 0),
+fo AS (SELECT archive, forum_name FROM (SELECT archive, forum_name, row_number() OVER (PARTITION BY archive ORDER BY count(*) DESC, forum_name) AS n FROM th WHERE forum_name <> '' GROUP BY archive, forum_name) WHERE n = 1),
+al AS (SELECT * FROM th UNION ALL
+  SELECT p.archive, p.tid, coalesce(nullif(l.title, ''), concat('[tid=', CAST(p.tid AS VARCHAR(19)), ']')), coalesce(fo.forum_name, ''), CASE state WHEN 'deleted' THEN 1 ELSE 2 END
+  FROM progress p LEFT JOIN listing l ON l.archive = p.archive AND l.tid = p.tid LEFT JOIN fo ON fo.archive = p.archive WHERE state <> 'done' AND NOT EXISTS (SELECT 1 FROM th WHERE th.archive = p.archive AND th.tid = p.tid))"""
+
+
+@query("m11_run_posts", f"{_RUN_POSTS} SELECT {POST} FROM po", "raw_post")
+def _(get):
+    return _runs(get).read("post").select(*POST.split(", "))
+
+
+@query("m11_run_threads", f"{_RUN_THREADS} SELECT * FROM al", "thread", "listing", "progress")
+def _(get):
+    return _runs(get).read("thread").select("archive", "tid", "title", "forum_name", "scrape_status")
+
+
+@query(
+    "m11_run_totals",
+    f"""{_RUN_POSTS}, {_RUN_THREADS},
+us AS (SELECT archive, count(DISTINCT (tid, portrait)) AS users FROM member WHERE tid % 3 = 0 OR tid % 2 = 0 GROUP BY archive)
+SELECT archive, count(*) AS threads, count(*) FILTER (scrape_status = 0) AS complete, count(*) FILTER (scrape_status = 1) AS deleted, count(*) FILTER (scrape_status = 2) AS failed,
+ any_value((SELECT count(*) FROM po WHERE po.archive = al.archive)) AS posts, any_value(users) AS users FROM al JOIN us USING (archive) GROUP BY archive""",
+    "raw_post", "thread", "listing", "progress", "member",
+)
+def _(get):
+    return jobs.archive_totals(_runs(get))
+
+
 # --- users ------------------------------------------------------------------
 
 
@@ -371,7 +434,7 @@ def _(get):
 
 
 _HEAL = _AUDIT.format(lost="false") + f""", si AS ({_SUSPECTS}), fx AS (SELECT * FROM raw_post r WHERE id > 0 AND EXISTS (SELECT 1 FROM si WHERE si.archive = r.archive AND si.tid = r.tid)),
-nw AS (SELECT * FROM {_first("fx", "archive, tid, id", _REST)} s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.archive = s.archive AND k.tid = s.tid AND k.id = s.id)),
+nw AS (SELECT * FROM {_first("fx", "archive, tid, id", _SCRAPED)} s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.archive = s.archive AND k.tid = s.tid AND k.id = s.id)),
 rv AS (SELECT archive, count(*) AS revived FROM thread t WHERE scrape_status <> 0 AND EXISTS (SELECT 1 FROM fx WHERE fx.archive = t.archive AND fx.tid = t.tid) GROUP BY archive)
 SELECT archive, count(*) AS added_posts, any_value(revived) AS revived FROM nw JOIN rv USING (archive) GROUP BY archive"""
 
@@ -381,6 +444,15 @@ def _(get):
     return A.heal(get("thread"), get("post").where("user_id % 2 = 0"), get("raw_post"), _audit(get))[2]
 
 
+@query(
+    "a7_healed_posts",
+    f"kept AS (SELECT * FROM post WHERE user_id % 2 = 0), {_HEAL.partition('rv AS')[0].rstrip().rstrip(',')} SELECT {POST} FROM kept UNION ALL SELECT {POST} FROM nw",
+    "thread", "post",
+)
+def _(get):
+    return A.heal(get("thread"), get("post").where("user_id % 2 = 0"), get("raw_post"), _audit(get))[1].select(*POST.split(", "))
+
+
 @query("a7_heal_status", _AUDIT.format(lost="false") + f", si AS ({_SUSPECTS}) SELECT archive, tid, CASE WHEN EXISTS (SELECT 1 FROM si WHERE si.archive = t.archive AND si.tid = t.tid) AND EXISTS (SELECT 1 FROM raw_post r WHERE r.id > 0 AND r.archive = t.archive AND r.tid = t.tid) THEN 0 ELSE scrape_status END AS scrape_status FROM thread t", "thread", "post")
 def _(get):
     return A.heal(get("thread"), get("post").where("user_id % 2 = 0"), get("raw_post"), _audit(get))[0].select("archive", "tid", "scrape_status")
@@ -580,8 +652,8 @@ def _(get):
 @query(
     "st1_stream_merge",
     f"""a AS (SELECT * FROM raw_post WHERE user_id % 2 = 0 AND id > 0), b AS (SELECT * FROM raw_post WHERE user_id % 2 = 1 AND id > 0)
-SELECT {POST} FROM {_first("a", "archive, tid, id", _REST)} UNION ALL
-SELECT {POST} FROM {_first("b", "archive, tid, id", _REST)} s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.archive = s.archive AND a.tid = s.tid AND a.id = s.id)""",
+SELECT {POST} FROM {_first("a", "archive, tid, id", _SCRAPED)} UNION ALL
+SELECT {POST} FROM {_first("b", "archive, tid, id", _SCRAPED)} s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.archive = s.archive AND a.tid = s.tid AND a.id = s.id)""",
     "raw_post",
 )
 def _(get):
