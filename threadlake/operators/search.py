@@ -1,21 +1,32 @@
-"""Full-text search over posts: a stored index of tokens and postings, BM25 order and snippets.
+"""Full-text search over posts: a stored index of segments with blocks of postings, BM25 order and snippets.
 
-A query is alternatives of required and excluded phrases.  It reads only the postings of its own tokens, as those are stored
-in the order of tokens, and the text of posts only for the snippets of one page.
+Posts are numbered in the order of threads, and numbers cut into spans.  A block holds what one token has in one span, with its
+number of posts, and the counts and lengths of its best posts, which bound what a span's posts can score.  A query is
+alternatives of required and excluded phrases.  It reads the heads of its own tokens' blocks, as those are stored in the order of
+tokens, then the blocks of the most promising spans; the scores found there rule out the spans that can't reach them.
+The text of posts is read only for the snippets of one page.
+
+An index is made of immutable segments.  Posts that are new or changed come into a further segment, and what they replace is
+listed as deleted; small segments are merged when there are too many.  Sums of row hashes for each bucket of threads tell which
+buckets have changed since.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlake.functions.scalars import frag_text, parse_frags
 from threadlake.sources.places import stored
+from threadlake.sources.runs import Manifests
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 SNIPPET = 32
@@ -53,9 +64,9 @@ def searched_text(contents: Column, mode: str = "text") -> Column:
     return F.coalesce(contents if mode == "raw" else frag_text(parse_frags(contents)), F.lit(""))
 
 
-def build_search_index(posts: DataFrame, mode: str = "text") -> DataFrame:
-    """archive, tid, post_id, floor, tokens, n_tokens; a projection without a shuffle."""
-    made = posts.select("archive", "tid", F.col("id").alias("post_id"), "floor", tokens(searched_text(F.col("contents"), mode)).alias("tokens"))
+def build_search_index(posts: DataFrame, mode: str = "text", *more: str) -> DataFrame:
+    """archive, tid, post_id, floor, tokens, n_tokens, and further columns of posts; a projection without a shuffle."""
+    made = posts.select("archive", "tid", F.col("id").alias("post_id"), "floor", tokens(searched_text(F.col("contents"), mode)).alias("tokens"), *more)
     return made.withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
@@ -69,26 +80,171 @@ def index_is_current(index: DataFrame, posts: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("indexed")).withColumn("posts", posts.agg(F.count("*")).scalar()).withColumn("current", F.col("indexed") == F.col("posts"))
 
 
+#: Bits of a post's number within its span; buckets of fingerprints; segments of an index from which on small ones are merged.
+SPAN, BUCKETS, SEGMENTS = 6, 256, 8
+#: Spans that are read first, to learn what the best posts score; a page's posts are a few spans more.
+FIRST_SPANS = 16
+#: Deleted posts that may be broadcast, some 16 MB.
+BROADCAST_ROWS = 500_000
+_POST = ["archive", "tid", "post_id"]
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("archive", "tid"), F.lit(BUCKETS)).cast("int")
+
+
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """bucket, n, high, low, mixed of rows (archive, tid, row_hash): sums and the exclusive or of row hashes, which can be added and taken away."""
+    h = F.col("row_hash")
+    return rows.groupBy(_bucket().alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.bit_xor(h).alias("mixed"))
+
+
+def _hashed(posts: DataFrame) -> DataFrame:
+    return posts.withColumn("row_hash", F.xxhash64("archive", "tid", "id", "floor", "contents"))
+
+
 @dataclass(frozen=True)
 class SearchIndex:
-    """The stored tables: posts (as build_search_index) in the order of threads, postings (with n_tokens) in that of tokens."""
+    """A stored index as of one commit.
+
+    posts has segment, doc, archive, tid, post_id, floor, tokens, n_tokens, row_hash, in the order of threads; postings has token, segment, span, n, most, least, front (count, length) and
+    entries (doc, n_tokens, positions), in that of tokens; removed has segment, doc, token of posts that no longer count.
+    """
+
+    spark: SparkSession
+    path: str
+    manifest: dict
+
+    def _read(self, folders: list[str], table: str, shape: str) -> DataFrame:
+        return self.spark.read.schema(shape).parquet(*(f"{self.path}/segments/{f}/{table}" for f in folders)) if folders else self.spark.createDataFrame([], shape)
+
+    @property
+    def posts(self) -> DataFrame:
+        return self._read([s["folder"] for s in self.manifest["segments"]], "posts", "segment int, doc long, archive string, tid long, post_id long, floor long, tokens array<string>, n_tokens long, row_hash long")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._read([s["folder"] for s in self.manifest["segments"]], "postings", "token string, segment int, span long, n long, most long, least long, front array<struct<count:long,length:long>>, entries array<struct<doc long, n_tokens long, positions array<int>>>")
 
-    posts: DataFrame
-    postings: DataFrame
+    @property
+    def removed(self) -> DataFrame:
+        return self._read(self.manifest["removed"], "removed", "segment int, doc long, token string")
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows (segment, doc, ...) without those of removed posts."""
+        if not self.manifest["removed"]:
+            return rows
+        gone = self.removed.select("segment", "doc").distinct()
+        return rows.join(F.broadcast(gone) if self.manifest["gone"] <= BROADCAST_ROWS else gone, ["segment", "doc"], "left_anti")
+
+    @property
+    def statistics(self) -> tuple[int, int]:
+        """Numbers of posts and of their tokens."""
+        return self.manifest["posts"], self.manifest["tokens"]
+
+
+def _front(entries: Column) -> Column:
+    """Counts and lengths of the posts that no other post of the block beats in both: one of them has the best score, whatever the average length is."""
+    pairs = F.array_sort(F.transform(entries, lambda e: F.struct((-F.size(e["positions"])).cast("long").alias("count"), e["n_tokens"].alias("length"))))
+    none = F.array().cast("array<struct<count:bigint,length:bigint>>")
+    step = lambda kept, x: F.when((F.size(kept) == 0) | (x["length"] < F.element_at(kept, -1)["length"]), F.concat(kept, F.array(x))).otherwise(kept)
+    return F.transform(F.aggregate(pairs, none, step), lambda x: F.struct((-x["count"]).alias("count"), x["length"].alias("length")))
+
+
+def _write_segment(rows: DataFrame, folder: str, number: int) -> tuple[int, int]:
+    """Writes a segment of rows of the posts table (without numbers); returns its numbers of posts and tokens.
+
+    A block has the posts of one span, so a token that many posts have is spread over many blocks and files.
+    """
+    spark = rows.sparkSession
+    ordered = rows.repartitionByRange(*_POST).sortWithinPartitions(*_POST)
+    ordered.select(F.lit(number).alias("segment"), F.monotonically_increasing_id().alias("doc"), *_POST, "floor", "tokens", "n_tokens", "row_hash").write.parquet(f"{folder}/posts")
+    posts = spark.read.parquet(f"{folder}/posts")
+    # one shuffle serves both groupings
+    words = posts.select("segment", "doc", F.shiftright("doc", SPAN).alias("span"), "n_tokens", F.posexplode("tokens").alias("pos", "token")).repartition("token", "segment", "span")
+    words = words.groupBy("token", "segment", "span", "doc", "n_tokens").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    entry = F.struct("doc", "n_tokens", "positions")
+    blocks = words.groupBy("token", "segment", "span").agg(F.count("*").alias("n"), F.max(F.size("positions")).cast("long").alias("most"), F.min("n_tokens").alias("least"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    blocks = blocks.select("token", "segment", "span", "n", "most", "least", _front(F.col("entries")).alias("front"), "entries")
+    blocks.repartitionByRange("token", "span").sortWithinPartitions("token", "span").write.parquet(f"{folder}/postings")
+    n, tokens_ = posts.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    return n, tokens_
 
 
 def store_index(posts: DataFrame, path: str, mode: str = "text") -> SearchIndex:
-    """Writes the index of the posts.  A frequent token's postings are spread over several files."""
-    spark = posts.sparkSession
-    build_search_index(posts, mode).repartitionByRange("archive", "tid", "post_id").sortWithinPartitions("archive", "tid", "post_id").write.parquet(f"{path}/posts")
-    rows = spark.read.parquet(f"{path}/posts").select("archive", "tid", "post_id", "n_tokens", F.posexplode("tokens").alias("pos", "token"))
-    order = ("token", "archive", "tid", "post_id", "pos")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
-    return open_index(spark, path)
+    """Writes the index of the posts, as one segment; what was in ``path`` is replaced."""
+    manifests = Manifests(posts.sparkSession, path)
+    last = manifests.last() or {"run": 0}
+    empty = {"run": last["run"], "mode": mode, "segments": [], "removed": [], "gone": 0, "posts": 0, "tokens": 0}
+    return _extended(SearchIndex(posts.sparkSession, path.rstrip("/"), empty), _hashed(posts), None)
 
 
 def open_index(spark: SparkSession, path: str) -> SearchIndex:
-    return SearchIndex(spark.read.parquet(f"{path}/posts"), spark.read.parquet(f"{path}/postings"))
+    manifest = Manifests(spark, path).last()
+    if manifest is None:
+        raise FileNotFoundError(f"no index in {path}")
+    return SearchIndex(spark, path.rstrip("/"), manifest)
+
+
+def index_currency(index: SearchIndex, posts: DataFrame) -> DataFrame:
+    """bucket, indexed, posts, current for each bucket of threads, by the fingerprints of both: a changed post tells even where the numbers are equal."""
+    old = fingerprints(index.live(index.posts.select("segment", "doc", "archive", "tid", "row_hash")))
+    both = old.join(fingerprints(_hashed(posts)).select("bucket", *(F.col(c).alias(f"_{c}") for c in ("n", "high", "low", "mixed"))), "bucket", "full_outer")
+    same = F.coalesce((F.col("n") == F.col("_n")) & (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")) & (F.col("mixed") == F.col("_mixed")), F.lit(False))
+    return both.select("bucket", F.coalesce("n", F.lit(0)).alias("indexed"), F.coalesce("_n", F.lit(0)).alias("posts"), same.alias("current"))
+
+
+def extend_index(index: SearchIndex, posts: DataFrame) -> SearchIndex:
+    """The index brought up to the posts as they are now, by one further segment; the same index where nothing has changed.
+
+    Only buckets whose fingerprints differ are compared row by row, on keys and hashes.
+    """
+    due = [r.bucket for r in index_currency(index, posts).where("not current").collect()]  # at most BUCKETS
+    if not due:
+        return index
+    rows = _hashed(posts).where(_bucket().isin(due))
+    have = index.live(index.posts.select("segment", "doc", *_POST, "row_hash").where(_bucket().isin(due)))
+    key = [F.col(a) == F.col(b) for a, b in (("archive", "_archive"), ("tid", "_tid"), ("id", "_id"), ("row_hash", "_hash"))]
+    known = lambda df, names: df.select(*(F.col(c).alias(n) for c, n in zip(names, ("_archive", "_tid", "_id", "_hash"), strict=True)))
+    fresh = rows.join(known(have, [*_POST, "row_hash"]), key, "left_anti")
+    gone = have.withColumnRenamed("post_id", "id").join(known(rows, ["archive", "tid", "id", "row_hash"]), key, "left_anti").select("segment", "doc")
+    return _extended(index, stored(fresh, "fresh"), stored(gone, "gone"))
+
+
+def _extended(index: SearchIndex, fresh: DataFrame, gone: DataFrame | None) -> SearchIndex:
+    """Commits a segment of fresh posts, and the posts that are gone; merges small segments when there are too many."""
+    m, spark = dict(index.manifest), index.spark
+    m |= {"run": m["run"] + 1, "segments": list(m["segments"]), "removed": list(m["removed"])}
+    folder = f"{m['run']:08d}-{uuid.uuid4().hex}"
+    if gone is not None:
+        old = index.posts.select("segment", "doc", "tokens", "n_tokens").join(gone, ["segment", "doc"])
+        words = old.select("segment", "doc", F.explode_outer(F.array_distinct("tokens")).alias("token"))
+        words.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{index.path}/segments/{folder}/removed")
+        n, less = old.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+        if n:
+            m |= {"removed": [*m["removed"], folder], "gone": m["gone"] + n, "posts": m["posts"] - n, "tokens": m["tokens"] - less}
+    rows = build_search_index(fresh, m["mode"], "row_hash")
+    n, more = _write_segment(rows, f"{index.path}/segments/{folder}", m["run"])
+    m |= {"segments": [*m["segments"], {"folder": folder, "number": m["run"], "posts": n}], "posts": m["posts"] + n, "tokens": m["tokens"] + more}
+    if len(m["segments"]) > SEGMENTS:
+        m = _merged(SearchIndex(spark, index.path, m))
+    Manifests(spark, index.path).put(m, m["run"])
+    return SearchIndex(spark, index.path, m)
+
+
+def _merged(index: SearchIndex) -> dict:
+    """The manifest with all segments but the largest as one, from their stored tokens; posts that are gone from them leave the lists."""
+    m = dict(index.manifest)
+    largest = max(m["segments"], key=lambda s: s["posts"])
+    small = [s["number"] for s in m["segments"] if s is not largest]
+    # a new number, as those of its posts start anew
+    number, folder = m["run"] * 2**12 + 1, f"{m['run']:08d}-{uuid.uuid4().hex}"
+    rows = index.live(index.posts.where(F.col("segment").isin(small)))
+    n, _ = _write_segment(rows.drop("segment", "doc"), f"{index.path}/segments/{folder}", number)
+    left = index.removed.where(~F.col("segment").isin(small))
+    left.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{index.path}/segments/{folder}/removed")
+    gone = left.select("doc").distinct().count()
+    return m | {"segments": [largest, {"folder": folder, "number": number, "posts": n}], "removed": [folder] if gone else [], "gone": gone}
 
 
 @dataclass(frozen=True)
@@ -134,44 +290,149 @@ def alternatives(query: str) -> list[Alternative]:
     return out
 
 
-def search(index: SearchIndex, threads: DataFrame, query: str | list[Alternative], page: int = 1, page_size: int = 20) -> DataFrame:
+class _Asked:
+    """A query against an index: its phrases, the heads of their blocks, and what posts have of them."""
+
+    def __init__(self, index: SearchIndex, query: str | list[Alternative]):
+        self.index, self.asked = index, alternatives(query) if isinstance(query, str) else list(query)
+        self.scored = list(dict.fromkeys(p for a in self.asked for p in a.required))
+        self.phrases = list(dict.fromkeys([*self.scored, *(p for a in self.asked for p in a.excluded)]))
+        token = F.col("token")
+        self.places = [(n, i, p.fits(token, i)) for n, p in enumerate(self.phrases) for i in range(len(p.tokens))]
+        self.own = reduce(Column.__or__, (fits for *_, fits in self.places))
+        self.plain = [len(p.tokens) == 1 and not p.prefix for p in self.phrases]
+        self.n, total = index.statistics
+        self.average = total / self.n if self.n else 1.0
+
+    def roles(self, of: list[int] | None = None) -> Column:
+        """The phrases, and places in them, that a token has; only phrases ``of``, if given."""
+        return F.array_compact(F.array(*(F.when(fits, F.struct(F.lit(n).alias("phrase"), F.lit(i).alias("place"))) for n, i, fits in self.places if of is None or n in of)))
+
+    def heads(self) -> DataFrame:
+        """segment, span, and for each phrase the number of its posts and bounds of its counts and of their lengths; null where it can't be."""
+        heads = self.index.postings.where(self.own).select("segment", "span", "n", "most", "least", "front", F.explode(self.roles()).alias("role"))
+        by_place = heads.groupBy("segment", "span", "role.phrase", "role.place").agg(F.sum("n").alias("n"), F.sum("most").alias("most"), F.min("least").alias("least"), F.max("front").alias("front"))
+        whole = by_place.groupBy("segment", "span", "phrase").agg(F.count("*").alias("places"), F.min("n").alias("n"), F.min("most").alias("most"), F.max("least").alias("least"), F.max("front").alias("front"))
+        need = F.get(F.array(*(F.lit(len(p.tokens)) for p in self.phrases)), F.col("phrase"))
+        here = lambda i: F.when((F.col("phrase") == i) & (F.col("places") == need), F.struct("n", "most", "least", "front"))
+        return whole.groupBy("segment", "span").agg(*(F.max(here(i)).alias(f"_h{i}") for i in range(len(self.phrases))))
+
+    def matches(self, has, excludes: bool = True) -> Column:
+        """Whether an alternative's phrases are there; has tells it of one phrase."""
+        return reduce(Column.__or__, (reduce(Column.__and__, [*map(has, a.required), *(~has(p) for p in a.excluded if excludes)]) for a in self.asked))
+
+    def counts(self, spans: DataFrame | None, of: list[int] | None = None) -> DataFrame:
+        """segment, doc, n_tokens, and how often each phrase stands in the post (_f0, ...), over all blocks of the query's tokens or over those of spans only."""
+        wanted = list(range(len(self.phrases))) if of is None else of
+        blocks = self.index.postings.where(reduce(Column.__or__, (fits for n, _, fits in self.places if n in wanted)))
+        if spans is not None:
+            blocks = blocks.join(spans.select("segment", "span"), ["segment", "span"], "left_semi")
+        found = blocks.select("segment", F.explode(self.roles(wanted)).alias("role"), "entries").select("segment", "role", F.explode("entries").alias("e"))
+        long = [n for n in wanted if len(self.phrases[n].tokens) > 1]
+        post = ["segment", F.col("e.doc").alias("doc"), F.col("e.n_tokens").alias("n_tokens"), F.col("role.phrase").alias("phrase")]
+        rows = found.where(~F.col("role.phrase").isin(long)) if long else found
+        rows = rows.select(*post, F.size("e.positions").cast("long").alias("times"))
+        if long:
+            starts = found.where(F.col("role.phrase").isin(long)).select(*post, F.col("role.place").alias("place"), F.explode("e.positions").alias("pos"))
+            lengths = F.get(F.array(*(F.lit(len(p.tokens)) for p in self.phrases)), F.col("phrase"))
+            met = starts.groupBy("segment", "doc", "n_tokens", "phrase", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == lengths)
+            rows = rows.unionByName(met.select("segment", "doc", "n_tokens", "phrase", F.lit(1).cast("long").alias("times")))
+        sums = rows.groupBy("segment", "doc", "n_tokens").agg(*(F.coalesce(F.sum(F.when(F.col("phrase") == n, F.col("times"))), F.lit(0)).alias(f"_f{n}") for n in wanted))
+        return self.index.live(sums)
+
+    def frequencies(self, heads: DataFrame) -> list[int]:
+        """How many posts have each scored phrase: of single tokens from the heads of blocks, of others from their postings."""
+        many = list(range(len(self.scored)))
+        sums = heads.agg(*(F.coalesce(F.sum(f"_h{i}.n"), F.lit(0)) for i in many)).first()
+        out = [sums[i] for i in many]
+        if self.index.manifest["removed"] and any(self.plain[i] for i in many):
+            gone = self.index.removed.agg(*(F.count_if(self.phrases[i].fits(F.col("token"), 0)) for i in many)).first()
+            out = [n - gone[i] for i, n in zip(many, out, strict=True)]
+        if other := [i for i in many if not self.plain[i]]:
+            found = self.counts(None, other).agg(*(F.count_if(F.col(f"_f{i}") > 0) for i in other)).first()
+            for i, n in zip(other, found, strict=True):
+                out[i] = n
+        return out
+
+    def weight(self, times: Column, length: Column) -> Column:
+        """What a phrase's count in a post of that length weighs, at most K1 + 1."""
+        return times * (K1 + 1) / (times + K1 * (1 - B + B * length / F.lit(self.average)))
+
+    def score(self, frequencies: list[int], weight) -> Column:
+        """Less than nothing, the more the better: the sum of the scored phrases' weights by their rarity."""
+        rank = F.lit(0.0)
+        for i, d in enumerate(frequencies):
+            idf = math.log((self.n - d + 0.5) / (d + 0.5)) if self.n >= d else FLOOR
+            rank = rank - F.lit(idf if idf > 0 else FLOOR) * weight(i)
+        return rank
+
+    def _bound(self, i: int) -> Column:
+        h = F.col(f"_h{i}")
+        # a single word's best post is one of its block's front; of others the largest count and the shortest post are known
+        best = F.array_max(F.transform(h["front"], lambda x: self.weight(x["count"], x["length"]))) if self.plain[i] else self.weight(h["most"], h["least"])
+        return F.coalesce(best, F.lit(0.0))
+
+    def spans(self, heads: DataFrame, frequencies: list[int]) -> DataFrame:
+        """segment, span, bound of the spans that may have matches by their heads; bound is the best rank possible there."""
+        bound = self.score(frequencies, self._bound)
+        possible = self.matches(lambda p: F.col(f"_h{self.phrases.index(p)}").isNotNull(), excludes=False)
+        return heads.where(possible).select("segment", "span", bound.alias("bound"))
+
+    def ranked(self, spans: DataFrame, frequencies: list[int]) -> DataFrame:
+        """segment, doc, rank of the matching posts of spans."""
+        fits = self.matches(lambda p: F.col(f"_f{self.phrases.index(p)}") > 0)
+        rank = self.score(frequencies, lambda i: self.weight(F.col(f"_f{i}"), F.col("n_tokens")))
+        return self.counts(spans).where(fits).select("segment", "doc", F.round(rank, 6).alias("rank"))
+
+
+def _open_spans(q: _Asked, heads: DataFrame, frequencies: list[int], k: int) -> tuple[DataFrame, int, int]:
+    """The spans that can have one of the best k posts, the number of spans that may have matches, and that of those which are open."""
+    spans = stored(q.spans(heads, frequencies), "spans")
+    all_ = spans.count()
+    first = FIRST_SPANS + k // 2
+    if all_ > 2 * first:
+        some = q.ranked(F.broadcast(spans.orderBy("bound", "segment", "span").limit(first)), frequencies)
+        last = some.orderBy("rank").offset(k - 1).limit(1).collect()
+        if last:  # ranks are rounded; a bound that is just as good may win by its key
+            spans = stored(spans.where(F.round(F.col("bound") - 1e-9, 6) <= last[0]["rank"]), "open")
+            return spans, all_, spans.count()
+    return spans, all_, all_
+
+
+def spans_read(index: SearchIndex, query: str | list[Alternative], k: int = 20) -> tuple[int, int]:
+    """How many spans have matches by the heads of their blocks, and how many of them are read for the best k posts."""
+    q = _Asked(index, query)
+    heads = stored(q.heads(), "heads")
+    return _open_spans(q, heads, q.frequencies(heads), k)[1:]
+
+
+def search(index: SearchIndex, threads: DataFrame, query: str | list[Alternative], page: int = 1, page_size: int = 20, total: bool = True) -> DataFrame:
     """archive, tid, post_id, title, rank, snippet, total of one page of hits, best (smallest rank) first.
 
-    Ties by archive, tid and post.  The total counts matching posts.  Scores are sums over the required phrases that a
-    post has.  Only postings of the query's tokens are read; they are counted map-side by post (and by
-    start, for phrases), so a token that a third of the posts have is no group of its own.
+    Ties by archive, tid and post.  Scores are sums over the required phrases that a post has.  The total counts matching posts; without it
+    (null), or for a single word, only blocks are read that can hold one of the page's posts or of those before.  Only blocks of the query's tokens are read;
+    they are counted map-side by post (and by start, for phrases), so a token that a third of the posts have is no group of its own.
     """
-    asked = alternatives(query) if isinstance(query, str) else list(query)
+    q = _Asked(index, query)
     size = min(max(page_size, 1), 200)
-    scored = list(dict.fromkeys(p for a in asked for p in a.required))
-    phrases = list(dict.fromkeys([*scored, *(p for a in asked for p in a.excluded)]))
-    token, post = F.col("token"), ["archive", "tid", "post_id", "n_tokens"]
-    places = [(n, i, p.fits(token, i)) for n, p in enumerate(phrases) for i in range(len(p.tokens))]
-    found = index.postings.where(reduce(Column.__or__, (fits for *_, fits in places)))
-    roles = F.array_compact(F.array(*(F.when(fits, F.struct(F.lit(n).alias("phrase"), F.lit(i).alias("place"))) for n, i, fits in places)))
-    found = found.select(*post, "pos", F.explode(roles).alias("role")).select(*post, "role.phrase", (F.col("pos") - F.col("role.place")).alias("start"))
-    if any(len(p.tokens) > 1 for p in phrases):
-        lengths = F.get(F.array(*(F.lit(len(p.tokens)) for p in phrases)), F.col("phrase"))
-        found = found.groupBy(*post, "phrase", "start").agg(F.count("*").alias("n")).where(F.col("n") == lengths)
-    times = {p: f"_f{n}" for n, p in enumerate(phrases)}
-    counted = found.groupBy(*post).agg(*(F.count_if(F.col("phrase") == n).alias(times[p]) for n, p in enumerate(phrases)))
-    has = lambda p: F.col(times[p]) > 0
-    matched = reduce(Column.__or__, (reduce(Column.__and__, [*map(has, a.required), *(~has(p) for p in a.excluded)]) for a in asked))
-    whole = index.posts.agg(F.struct(F.count("*").alias("n"), F.avg("n_tokens").alias("avg"))).scalar()
-    of_hits = counted.agg(F.struct(F.count_if(matched).alias("total"), *(F.count_if(has(p)).alias(times[p]) for p in scored))).scalar()
-    ranked = counted.where(matched).withColumn("_w", whole).withColumn("_s", of_hits)
-    rank = F.lit(0.0)
-    for n in (times[p] for p in scored):
-        idf = F.log((F.col("_w.n") - F.col(f"_s.{n}") + 0.5) / (F.col(f"_s.{n}") + 0.5))
-        idf = F.when(idf <= 0, FLOOR).otherwise(idf)
-        rank = rank - idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("n_tokens") / F.col("_w.avg")))
-    order = ("rank", "archive", "tid", "post_id")
-    hits = ranked.withColumn("rank", F.round(rank, 6)).orderBy(*order).offset((page - 1) * size).limit(size).select(*order, F.col("_s.total").alias("total"))
-    hits = stored(hits, "hits")
-    tids = [r.tid for r in hits.select("tid").distinct().collect()]  # at most 200
-    texts = index.posts.where(F.col("tid").isin(tids)).select("archive", "tid", "post_id", "tokens")
-    marked = lambda x: reduce(Column.__or__, (p.fits(x, i) for p in scored for i in range(len(p.tokens))))
+    heads = stored(q.heads(), "heads")
+    frequencies = q.frequencies(heads)
+    if len(q.phrases) == 1 and q.plain[0] or not total:
+        best, n = q.ranked(_open_spans(q, heads, frequencies, page * size)[0], frequencies), frequencies[0] if total else None
+    else:  # whoever counts all matches has met them all
+        best = stored(q.ranked(q.spans(heads, frequencies), frequencies), "matches")
+        n = best.count()
+    # numbers have the order of keys within a segment
+    place = F.row_number().over(W.partitionBy("segment").orderBy("rank", "doc"))
+    kept = best.withColumn("_place", place).where(F.col("_place") <= page * size)
+    order = ("rank", *_POST)
+    names = index.posts.select("segment", "doc", *_POST)
+    hits = stored(kept, "best").join(names, ["segment", "doc"]).orderBy(*order).offset((page - 1) * size).limit(size)
+    hits = stored(hits.select("segment", "doc", *order, F.lit(n).cast("long").alias("total")), "hits")
+    shown = [(r.segment, r.doc) for r in hits.select("segment", "doc").collect()]  # at most 200
+    texts = index.posts.where(F.col("doc").isin([d for _, d in shown]) & F.col("segment").isin([s for s, _ in shown])).select("segment", "doc", "tokens")
+    marked = lambda x: reduce(Column.__or__, (p.fits(x, i) for p in q.scored for i in range(len(p.tokens))))
     start = F.greatest(F.coalesce(F.array_position(F.transform("tokens", marked), F.lit(True)), F.lit(1)), F.lit(1)).cast("int")
     snippet = F.array_join(F.transform(F.slice("tokens", start, SNIPPET), lambda x: F.when(marked(x), F.concat(F.lit("<mark>"), x, F.lit("</mark>"))).otherwise(x)), " ")
-    shown = hits.join(threads.select("archive", "tid", "title"), ["archive", "tid"]).join(texts, ["archive", "tid", "post_id"])
-    return shown.select("archive", "tid", "post_id", "title", "rank", snippet.alias("snippet"), "total").orderBy(*order)
+    whole = hits.join(texts, ["segment", "doc"]).join(threads.select("archive", "tid", "title"), ["archive", "tid"])
+    return whole.select("archive", "tid", "post_id", "title", "rank", snippet.alias("snippet"), "total").orderBy(*order)

@@ -184,8 +184,45 @@ for _name, _text, _counts, _where in (
     query(f"r8_search_{_name}", _search_sql(_counts, _where, "corpus", "corpus_thread"), "corpus", "corpus_thread")(lambda get, q=_text: X.search(_stored(get("corpus")), get("corpus_thread"), q, page_size=50).drop("snippet"))
 
 
+_INDEXES: dict = {}
+
+
 def _stored(posts):
-    return X.store_index(posts, scratch(posts.sparkSession))
+    """The index of the posts; it is built once for a session and its tables, as every query only asks it."""
+    key = (posts.sparkSession.sparkContext.applicationId, tuple(posts.inputFiles()), tuple(posts.columns))
+    if key not in _INDEXES:
+        _INDEXES[key] = X.store_index(posts, scratch(posts.sparkSession))
+    return _INDEXES[key]
+
+
+@query("r9_store_index", _TOKENS.format(source="corpus") + " SELECT token, count(*) AS posts, CAST(sum(times) AS BIGINT) AS times FROM (SELECT tid, unnest(tokens) AS token, 1 AS times FROM ix) GROUP BY token".replace("count(*)", "count(DISTINCT tid)"), "corpus")
+def _(get):
+    """Building alone: a new index each time, and what its blocks hold."""
+    blocks = X.store_index(get("corpus"), scratch(get("corpus").sparkSession)).postings
+    times = F.aggregate("entries", F.lit(0).cast("long"), lambda a, e: a + F.size(e["positions"]))
+    return blocks.groupBy("token").agg(F.sum("n").alias("posts"), F.sum(times).alias("times"))
+
+
+@query(
+    "r9_index_currency",
+    "SELECT 'same' AS now, (SELECT count(*) FROM text_post) AS indexed, (SELECT count(*) FROM text_post) AS posts, true AS current UNION ALL SELECT 'one changed', (SELECT count(*) FROM text_post), (SELECT count(*) FROM text_post), (SELECT count(*) FROM text_post WHERE tid = 1) = 0",
+    "text_post",
+)
+def _(get):
+    posts = get("text_post")
+    index = _stored(posts)
+    changed = posts.withColumn("contents", F.when(F.col("tid") == 1, F.reverse("contents")).otherwise(F.col("contents")))
+    of = lambda name, now: X.index_currency(index, now).agg(F.lit(name).alias("now"), F.sum("indexed").alias("indexed"), F.sum("posts").alias("posts"), F.bool_and("current").alias("current"))
+    return of("same", posts).unionByName(of("one changed", changed))
+
+
+@query("r8_search_extended", _search_sql({"c1": _one("and"), "c2": _one("thing")}, "(c1 > 0 OR c2 > 0)", "corpus", "corpus_thread"), "corpus", "corpus_thread")
+def _(get):
+    """Over an index of a part of the posts, some with another text and some that are no longer there, brought up to all of them."""
+    posts = get("corpus")
+    old = posts.where("tid % 3 <> 0").withColumn("contents", F.when(F.col("tid") % 5 == 0, F.lit("thing and thing")).otherwise(F.col("contents")))
+    index = X.store_index(old.unionByName(posts.where("tid % 10 = 1").withColumn("id", F.lit(2).cast("long"))), scratch(posts.sparkSession))
+    return X.search(X.extend_index(index, posts), get("corpus_thread"), "and OR thing", page_size=50).drop("snippet")
 
 
 @query("r8_search_snippet", _search_sql({"c1": _one("the"), "c2": _prefix("wh")}, "(c1 > 0 OR c2 > 0)", "text_post", "text_thread", 20, "x = 'the' OR starts_with(x, 'wh')"), "text_post", "text_thread")

@@ -12,6 +12,7 @@ A run that touches few buckets therefore reads and writes those only, whatever t
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -29,33 +30,66 @@ class Conflict(RuntimeError):
     """Another run has committed in between."""
 
 
-class Store:
-    """The tables under ``path``.  The number of buckets is fixed by the first commit."""
+class Manifests:
+    """Numbered JSON files under ``path``/manifests, each taken by one writer only."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._new = {"run": 0, "buckets": buckets, "schemas": {}, "tables": {}, "marks": {}}
 
-    def _fs(self, path: str):
+    def fs(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _names(self, path: str) -> list[str]:
-        fs, where = self._fs(path)
+    def names(self, path: str) -> list[str]:
+        fs, where = self.fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
-    def manifest(self) -> dict:
-        """The last commit; an empty store has run 0 and no tables."""
-        names = [n for n in self._names(f"{self.path}/manifests") if n.endswith(".json")]
-        if not names:
-            return self._new
-        fs, where = self._fs(f"{self.path}/manifests/{names[-1]}")
+    def numbers(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self.names(f"{self.path}/manifests") if n.endswith(".json") and not n.startswith(".")]
+
+    def get(self, number: int) -> dict:
+        fs, where = self.fs(f"{self.path}/manifests/{number:08d}.json")
         stream = fs.open(where)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def last(self) -> dict | None:
+        numbers = self.numbers()
+        return self.get(numbers[-1]) if numbers else None
+
+    def put(self, content: dict, number: int) -> None:
+        """Writes the file of a number; Conflict if there is one."""
+        sc, at = self.spark.sparkContext, f"{self.path}/manifests"
+        fs, temporary = self.fs(f"{at}/.{uuid.uuid4().hex}")
+        out = fs.create(temporary, False)
+        out.write(json.dumps(content).encode())
+        out.close()
+        jvm = sc._jvm.org.apache.hadoop.fs
+        files = jvm.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+        try:
+            files.rename(temporary, jvm.Path(f"{at}/{number:08d}.json"), sc._gateway.new_array(getattr(jvm, "Options$Rename"), 0))  # never replaces one
+        except Exception as e:
+            fs.delete(temporary, False)
+            raise Conflict(f"number {number} is taken") from e
+
+    def drop(self, number: int) -> None:
+        fs, where = self.fs(f"{self.path}/manifests/{number:08d}.json")
+        fs.delete(where, False)
+
+
+class Store:
+    """The tables under ``path``.  The number of buckets is fixed by the first commit."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.manifests = spark, path.rstrip("/"), Manifests(spark, path)
+        self._new = {"run": 0, "buckets": buckets, "schemas": {}, "tables": {}, "marks": {}}
+
+    def manifest(self) -> dict:
+        """The last commit; an empty store has run 0 and no tables."""
+        return self.manifests.last() or self._new
+
     def bucket(self, df: DataFrame, manifest: dict | None = None) -> Column:
         """The bucket of a row, by its thread, or by its archive alone where the table has no threads."""
         n = (manifest or self.manifest())["buckets"]
@@ -89,24 +123,16 @@ class Store:
 
         Folders younger than ``older_than`` seconds stay, as a run may still be writing them.
         """
-        import time
-
-        names = [n for n in self._names(f"{self.path}/manifests") if n.endswith(".json")]
-        used: set[str] = set()
-        for n in names[-keep:]:
-            fs, where = self._fs(f"{self.path}/manifests/{n}")
-            stream = fs.open(where)
-            used.update(f for t in json.loads(bytes(stream.readAllBytes()).decode())["tables"].values() for folders in t.values() for f in folders)
-            stream.close()
+        numbers, m = self.manifests.numbers(), self.manifests
+        used = {f for n in numbers[-keep:] for t in m.get(n)["tables"].values() for folders in t.values() for f in folders}
         gone = []
-        for folder in self._names(f"{self.path}/runs"):
-            fs, where = self._fs(f"{self.path}/runs/{folder}")
+        for folder in m.names(f"{self.path}/runs"):
+            fs, where = m.fs(f"{self.path}/runs/{folder}")
             if folder not in used and fs.getFileStatus(where).getModificationTime() <= (time.time() - older_than) * 1000:
                 fs.delete(where, True)
                 gone.append(folder)
-        for n in names[:-keep]:
-            fs, where = self._fs(f"{self.path}/manifests/{n}")
-            fs.delete(where, False)
+        for n in numbers[:-keep]:
+            m.drop(n)
         return gone
 
 
@@ -124,7 +150,7 @@ class Run:
         dealt = df.withColumn("bucket", self.store.bucket(df, self.base)).hint("rebalance", "bucket")
         dealt.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
         self.next["schemas"][name] = json.loads(df.schema.json())
-        return [n.partition("=")[2] for n in self.store._names(path) if n.startswith("bucket=")]
+        return [n.partition("=")[2] for n in self.store.manifests.names(path) if n.startswith("bucket=")]
 
     def write(self, name: str, df: DataFrame, buckets: Iterable[int]) -> DataFrame:
         """Replaces buckets of a table by the rows of df, all of which lie in them; returns the rows as written."""
@@ -153,16 +179,5 @@ class Run:
     def commit(self, **marks: int) -> int:
         """Makes the run visible; Conflict if another run took its number.  marks are kept in the manifest."""
         self.next["marks"] |= marks
-        sc, at = self.store.spark.sparkContext, f"{self.store.path}/manifests"
-        fs, temporary = self.store._fs(f"{at}/.{self.folder}")
-        out = fs.create(temporary, False)
-        out.write(json.dumps(self.next).encode())
-        out.close()
-        jvm = sc._jvm.org.apache.hadoop.fs
-        files = jvm.FileContext.getFileContext(temporary.toUri(), sc._jsc.hadoopConfiguration()) if temporary.toUri().getScheme() else jvm.FileContext.getFileContext(sc._jsc.hadoopConfiguration())
-        try:
-            files.rename(temporary, jvm.Path(f"{at}/{self.next['run']:08d}.json"), sc._gateway.new_array(getattr(jvm, "Options$Rename"), 0))  # never replaces one
-        except Exception as e:
-            fs.delete(temporary, False)
-            raise Conflict(f"run {self.next['run']} is there already") from e
+        self.store.manifests.put(self.next, self.next["run"])
         return self.next["run"]
