@@ -675,6 +675,26 @@ def _(get):
     return spark.read.schema(events.schema).parquet(f"{place}/out").select("archive", "tid", "event_type")
 
 
+_FIRST = """e AS (SELECT *, archive || '/' || tid || '/' || event_type AS k FROM activity),
+w AS (SELECT k, min(ts) AS a FROM e GROUP BY k UNION ALL SELECT e.k, min(e.ts) FROM w JOIN e ON e.k = w.k AND e.ts > w.a + INTERVAL 86400 SECOND GROUP BY e.k, w.a)
+SELECT archive, tid, ts, event_id, event_type FROM (SELECT e.*, row_number() OVER (PARTITION BY e.k, w.a ORDER BY event_id, archive, event_type, tid, ts) AS n FROM w JOIN e ON e.k = w.k AND e.ts BETWEEN w.a AND w.a + INTERVAL 86400 SECOND
+  WHERE w.a + INTERVAL 172800 SECOND + INTERVAL 1 MILLISECOND <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) FROM activity)) WHERE n = 1"""
+
+
+@query("st2_stream_first", _FIRST, "activity")
+def _(get):
+    """Whole rows, the delay of a day, and files that arrive one after the other."""
+    events = get("activity").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark, place = events.sparkSession, scratch(events.sparkSession)
+    for days in ("day(ts) <= 10", "day(ts) between 11 and 20", "day(ts) > 20"):
+        events.where(days).write.mode("append").parquet(f"{place}/in")
+        first = streams.stream_first(spark.readStream.schema(events.schema).parquet(f"{place}/in"), ["archive", "tid", "event_type"], "ts", 86_400, ["event_id"])
+        first.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{place}/out").select("archive", "tid", "ts", "event_id", "event_type")
+
+
+SQL["st2_stream_first"] = SQL["st2_stream_first"].replace("WITH ", "WITH RECURSIVE ", 1)
+
 _SESSION = """o AS (SELECT tid, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY tid ORDER BY ts)) > 360000000, true) AS b FROM activity),
 n AS (SELECT *, sum(b::INTEGER) OVER (PARTITION BY tid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
 SELECT tid, min(ts) AS start, {end} AS "end", count(*) AS events FROM n GROUP BY tid, s"""

@@ -2,47 +2,61 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from threadlake.operators.merge import merge_ignore
-from threadlake.schemas import KEYS, REQUIRED, schema
+from threadlake.operators.merge import first_rows
+from threadlake.schemas import KEYS, REQUIRED, schema, scrape_order
 from threadlake.sources.io import conform
+from threadlake.sources.runs import Store
 
 
-def stream_merge(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, name: str = "post") -> None:
-    """Merges newly arrived Parquet files of a table into out_dir and returns when all are merged.
+def stream_merge(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, name: str = "post", buckets: int = 64) -> None:
+    """Merges newly arrived Parquet files of a table into the store in out_dir and returns when all are merged.
 
-    Known keys are ignored, so a batch that runs again changes nothing.  A batch only appends rows, in
-    a folder of its own that a rerun replaces; the target is read without that folder.
+    Known keys are ignored; of a batch's rows of one key the one scraped first comes in.  A batch is a run of the store: it reads the keys of the
+    buckets that its rows fall into, and of those, for posts, only files with ids in the range of the batch's; it appends a folder to those buckets, which are
+    written anew when they have many.  The run's manifest holds the batch's number, so a batch that runs again changes nothing.
     """
     keys, required = KEYS[name], REQUIRED.get(name, [])
+    store = Store(spark, out_dir, buckets)
+    mark = f"stream-{hashlib.md5(checkpoint.encode()).hexdigest()}"
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(out_dir)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(root)
-        own = f"batch={batch_id}"
-        parts = [s.getPath().toString() for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=") and s.getPath().getName() != own]
-        target = spark.read.schema(schema(name)).parquet(*parts) if parts else spark.createDataFrame([], schema(name))
-        source = conform(batch, name)
-        if name == "post":
-            source = source.where("id > 0")
-        ids = source.select(*keys).distinct()
-        known = target.join(ids, keys, "left_semi")  # only keys of the batch matter
-        fresh = merge_ignore(known, source, keys, required=required).join(known.select(*keys), keys, "left_anti")
-        fresh.select(*schema(name).fieldNames()).write.mode("overwrite").parquet(f"{out_dir}/{own}")
+        m = store.manifest()
+        if m["marks"].get(mark, -1) >= batch_id:
+            return
+        source = conform(batch, name).dropna(subset=[*dict.fromkeys([*keys, *required])])
+        source = (source.where("id > 0") if name == "post" else source).persist()
+        try:
+            known, run = store.read(name, store.touched(source), m), store.begin()
+            if known is not None:
+                if "id" in keys:
+                    ends = source.agg(F.min("id"), F.max("id")).first()
+                    known = known.where(F.col("id").between(*ends)) if ends[0] is not None else known.limit(0)
+                fresh = source.join(known.select(*keys), keys, "left_anti")
+            else:
+                fresh = source
+            run.append(name, first_rows(fresh, keys, scrape_order(name, source.columns)).select(*schema(name).fieldNames()))
+            run.commit(**{mark: batch_id})
+        finally:
+            source.unpersist()
 
     stream = spark.readStream.schema(schema(name)).parquet(in_dir)
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_merged(spark: SparkSession, out_dir: str, name: str = "post") -> DataFrame:
-    return spark.read.schema(schema(name)).parquet(f"{out_dir}/batch=*")
+    """The rows that are merged so far."""
+    rows = Store(spark, out_dir).read(name)
+    return spark.createDataFrame([], schema(name)) if rows is None else rows
 
 
 def stream_dedupe(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
@@ -50,6 +64,60 @@ def stream_dedupe(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFr
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+class _First(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed the end of their window, then gives the first of each window."""
+
+    def __init__(self, shape: StructType, ts: str, delay: float, order: list[str]):
+        self.shape, self.ts, self.delay, self.order = shape, ts, datetime.timedelta(seconds=delay), [*order, *(c for c in sorted(shape.names) if c not in order)]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rows = handle, handle.getListState("rows", self.shape)
+
+    def _place(self, row) -> tuple:
+        # null first, as in a sort
+        return tuple((row[c] is not None, row[c]) for c in self.order)
+
+    def _wait(self, rows: list) -> None:
+        end = min(r[self.ts] for r in rows) + self.delay
+        self.handle.registerTimer(int(end.timestamp() * 1000) + 1)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        new = [r for r in rows if r[self.ts] is not None]
+        if new:
+            self.rows.appendList([tuple(r[c] for c in self.shape.names) for r in new])
+            self._wait(new)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        have = sorted((Row(**dict(zip(self.shape.names, r, strict=True))) for r in self.rows.get()), key=lambda r: r[self.ts])
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        while have and int((have[0][self.ts] + self.delay).timestamp() * 1000) + 1 <= now:
+            inside = [r for r in have if r[self.ts] <= have[0][self.ts] + self.delay]
+            out.append(min(inside, key=self._place))
+            have = have[len(inside) :]
+        self.rows.clear()
+        if have:
+            self.rows.put([tuple(r) for r in have])
+            self._wait(have)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first(df: DataFrame, keys: list[str], ts: str, delay_seconds: int, order_by: list[str] | None = None) -> DataFrame:
+    """The first row of each key and window by ``order_by`` (by default the time), then by all other columns, as a stream.
+
+    A key's first window begins with its earliest row and lasts ``delay_seconds``, the next one begins with its earliest row after that.  A row comes
+    out when the watermark, which is ``delay_seconds`` behind the latest time seen, has passed the end of its window; the window's rows
+    then leave the state.  So the result doesn't depend on how the rows are cut into batches, as long as no row is later than the
+    watermark; those are dropped.  Rows without a key have nulls in it, which count as equal; rows without a time are left out.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # keyed state with timers needs it
+    seen = df.withWatermark(ts, f"{delay_seconds} seconds")
+    return seen.groupBy(*keys).transformWithState(statefulProcessor=_First(df.schema, ts, delay_seconds, order_by or [ts]), outputStructType=df.schema, outputMode="Append", timeMode="EventTime")
+
+
 def goodput(events: DataFrame, window: str = "90 seconds", ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """start, finished, per_hour of tumbling windows; works on streams and on tables."""
     source = events.withWatermark(ts, delay) if events.isStreaming else events
