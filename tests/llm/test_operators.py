@@ -330,14 +330,13 @@ def test_html_windows_are_brute_force():
                 last += 1
             want += [j] * any(total(i) >= level for i in range(first, last + 1))
         assert html_text.between_surge_and_dive(sizes) == want
-        assert html_text.in_dives(sizes) == [any(not any(sizes[i : i + 3]) for i in range(max(0, j - 2), min(j, len(sizes) - 3) + 1)) for j in range(len(sizes))]
 
 
 def test_html_dives_in_an_article():
-    """Three blocks of links in a row are a menu, two aren't; a linked heading is a heading; links alone stay."""
+    """Blocks of links inside an article are part of it, however many; a linked heading is a heading; links alone stay."""
     link = "<p><a href=x>Link</a></p>"
     page = f"<body><div>Out</div><article><h1><a href=/>Title</a></h1><p>One.</p>{link * 2}<p>Two.</p>{link * 3}<p>Three.</p>{link}</article></body>"
-    assert html_text.main_text(page) == "Title\n\nOne.\n\nLink\n\nLink\n\nTwo.\n\nThree.\n\nLink"
+    assert html_text.main_text(page) == "Title\n\nOne.\n\nLink\n\nLink\n\nTwo.\n\nLink\n\nLink\n\nLink\n\nThree.\n\nLink"
     assert html_text.main_text(f"<article>{link * 4}</article>") == "\n\n".join(["Link"] * 4)
 
 
@@ -540,6 +539,16 @@ def test_packing_of_equal_rows(spark, monkeypatch):
         assert sorted(r.batch * slots + r.slot for r in mine) == list(range(len(mine)))
 
 
+def test_article_keeps_its_lists_of_links(monkeypatch):
+    """Surges and dives decide in a declared article too, and nothing inside it goes."""
+    seen, own = [], html_text.between_surge_and_dive
+    monkeypatch.setattr(html_text, "between_surge_and_dive", lambda *a: seen.append(a[0]) or own(*a))
+    links = "".join(f"<li><a href='/{i}'>Reference {i}</a></li>" for i in range(4))
+    page = f"<body><nav><a href='/'>Home</a></nav><div><a>Up</a></div><article><h1>T</h1><p>Intro.</p><ul>{links}</ul><p>End.</p></article><footer>Imprint</footer><p>Outside of it.</p></body>"
+    assert html_text.main_text(page).split("\n\n") == ["T", "Intro.", *(f"Reference {i}" for i in range(4)), "End."]
+    assert seen == [[0, 0, 1, 6, 11, 11, 11, 11, 4, 0, 0]]
+
+
 def labelled(spark, n, seed=1):
     rng = random.Random(seed)
     rows, labels = [], []

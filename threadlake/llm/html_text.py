@@ -7,9 +7,8 @@ length 0.  Lengths are summed over sliding windows of lines.  Text starts at a s
 (a window over the surge level) and ends at a dive (a window of nothing); lines
 between a surge and its dive are kept, and all blocks of a container stay if one does.
 
-In a page that declares its article (``article`` or ``main``), the lines are those of the article, headings count in
-full, and any text is a surge, so short articles stay whole.  Dives decide there too: the lines of a window of
-nothing (as many blocks of links only: a menu that no name gives away) go, fewer of them stay.
+In a page that declares its article (``article`` or ``main``), lines outside it count nothing, those inside in full, links
+included, and any text is a surge, so an article of any length, with lists of links, stays whole between its dives.
 """
 
 from __future__ import annotations
@@ -184,20 +183,28 @@ def main_text(page: str | None) -> str:
         state[id(b)] = (apart or b.apart or form, declared or b.declared, b.head or head and not b.declared)
     declared_text = any(state[id(box)][1] and not state[id(box)][0] for _, _, box, _ in lines) if holds else False
 
-    if declared_text:
-        lines = [x for x in lines if state[id(x[2])][1] and not state[id(x[2])][0] and (x[3] or not state[id(x[2])][2])]
-        nothing = in_dives([len(text) if heading else free for text, free, _, heading in lines])
-        return "\n\n".join(x[0] for x, gone in zip(lines, nothing, strict=True) if not gone or all(nothing))
-    sizes = [0 if state[id(box)][0] or state[id(box)][2] else free for _, free, box, _ in lines]
-    # short blocks and links beside kept ones, in the same container, stay
-    beside = {id(lines[j][2]) for j in between_surge_and_dive(sizes)}
-    return "\n\n".join(text for text, _, box, _ in lines if id(box) in beside and not state[id(box)][0] and not state[id(box)][2])
+    def weight(text: str, free: int, box: _Box, heading: bool) -> int:
+        """What a line counts: nothing in what is apart or outside a declared article, all of its text inside one, else its text outside links."""
+        apart, declared, head = state[id(box)]
+        if apart or head and not (declared and heading) or declared_text and not declared:
+            return 0
+        return len(text) if declared_text else free
 
+    sizes = [weight(*x) for x in lines]
+    # a declared article may be short: any text of it is a surge
+    kept = set(between_surge_and_dive(sizes, 1 if declared_text else None))
+    if not declared_text:
+        # short blocks and links beside kept ones, in the same container, stay
+        beside = {id(lines[j][2]) for j in kept}
+        kept = {j for j, (_, _, box, _) in enumerate(lines) if id(box) in beside and not state[id(box)][0] and not state[id(box)][2]}
+    return "\n\n".join(x[0] for j, x in enumerate(lines) if j in kept)
 
-def between_surge_and_dive(sizes: list[int]) -> list[int]:
+
+def between_surge_and_dive(sizes: list[int], level: int | None = None) -> list[int]:
     """The lines with text in each stretch that windows of nothing bound, if one of its windows reaches the surge level."""
     windows = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(sizes) + WINDOW - 1)]
-    level = max(1, min(SURGE, SHARE * max(windows, default=0)))
+    if level is None:
+        level = max(1, min(SURGE, SHARE * max(windows, default=0)))
     kept, i = [], 0
     while i < len(windows):
         if not windows[i]:
@@ -212,15 +219,6 @@ def between_surge_and_dive(sizes: list[int]) -> list[int]:
     return kept
 
 
-def in_dives(sizes: list[int]) -> list[bool]:
-    """Whether each line is in a window of nothing."""
-    out = [False] * len(sizes)
-    for i in range(len(sizes) - WINDOW + 1):
-        if not any(sizes[i : i + WINDOW]):
-            out[i : i + WINDOW] = [True] * WINDOW
-    return out
-
-
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
