@@ -413,6 +413,30 @@ def test_url_wildcards(spark):
     assert {r.template for r in rows} == {"/tag/*/x"} and {r.verdict for r in rows} == {"allow"}
 
 
+def test_url_verdicts_do_not_depend_on_repetition(spark):
+    """The same verdicts when every row stands there a hundred times; evidence of three quarters of the words blocks the others."""
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmn"]
+    rules = tuple(("w.com", f"/tag/{w}/", "block") for w in words[:24])
+    urls = [f"http://w.com/tag/{w}/x" for w in words] + [f"http://w.com/{s}/{i}" for s in "abcdefghi" for i in range(20)]
+    once = {(r.page_id, r.verdict, r.template) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    many = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").crossJoin(spark.range(100)).select("page_id", "url")
+    assert {(r.page_id, r.verdict, r.template) for r in url_filter.judge_urls(many, rules=rules).distinct().collect()} == once
+    assert {x[1:] for x in once if 24 <= x[0] < 32} == {("block", "/tag/*/x")} and {x[2] for x in once if x[0] >= 32} == {f"/{s}/{{n}}" for s in "abcdefghi"}
+
+
+def test_deep_urls_take_no_round_a_level(spark):
+    """Twelve paths of 2,000 segments that part late, and eight that are beginnings of each other; wildcards below wildcards."""
+    import time
+
+    urls = ["http://deep.com/" + "a/" * 1990 + "/".join(f"{w}{k}" for k in "pqrstuvwxy") for w in "abcdefghijkl"] + ["http://trap.com" + "/n" * k for k in range(1, 40)]
+    urls += [f"http://two.com/{a}/in/{b}/end" for a in ["x" + c for c in "abcdefghi"] for b in "abcdefghi"]
+    began = time.time()
+    got = {r.page_id: r.template for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=()).collect()}
+    assert {got[i] for i in range(12)} == {"/" + "a/" * 1990 + "/".join("*" * 10)}
+    assert [got[12 + k] for k in range(39)] == ["/n" * k for k in range(1, 40)] and {got[i] for i in range(51, len(urls))} == {"/*/in/*/end"}
+    assert time.time() - began < 120
+
+
 def test_url_trees_have_whole_paths(spark):
     pages = lambda kind, n: [f"http://a.com/shop/en/items/{kind}/{x}{y}/z" for x in "abcdefgh" for y in "klmn"][:n]
     urls = pages("spam", 32) + pages("good", 32) + ["http://a.com/shop/en/items/spam/new/z", "http://a.com/shop/en/items/good/new/z"] + ["http://b.com/" + "d/" * 40 + "e"]

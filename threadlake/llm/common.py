@@ -54,7 +54,7 @@ def release(*tables: DataFrame) -> None:
 BROADCAST_ROWS = 500_000
 
 
-def beside(docs: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
+def beside(docs: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
     """docs joined to a staged table of ids alone, which is broadcast only if counting shows that it is small.
 
     Beyond the bound both sides are shuffled on the id.
