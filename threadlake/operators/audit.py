@@ -36,6 +36,60 @@ def thread_stats(posts: DataFrame, two_step: bool = False) -> DataFrame:
     return stats.join(gaps, thread, "left").select(*thread, "floors", "comments", F.coalesce("top", F.lit(0)).alias("max_floor"), F.coalesce("gap", F.lit(0)).alias("max_gap"))
 
 
+#: What a thread's saved floors are, as far as an audit needs: sorted runs of consecutive floors, with the number of floors and of sub-posts.
+RANGES = "archive string, tid long, floors long, comments long, twice boolean, ranges array<struct<low:long,high:long>>"
+
+
+def _joined(ranges: Column) -> Column:
+    """Sorted ranges with those that touch or overlap as one."""
+    one = lambda r, high: F.struct(r["low"].alias("low"), high.alias("high"))
+    none = F.array().cast("array<struct<low:bigint,high:bigint>>")
+
+    def step(kept, r):
+        last = F.element_at(kept, -1)
+        meets = (F.size(kept) > 0) & (r["low"] <= F.try_add(last["high"], F.lit(1)))
+        before = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(meets, F.concat(before, F.array(one(last, F.greatest(last["high"], r["high"]))))).otherwise(F.concat(kept, F.array(one(r, r["high"]))))
+
+    return F.aggregate(F.array_sort(ranges), none, step)
+
+
+def floor_ranges(posts: DataFrame) -> DataFrame:
+    """RANGES of each thread of new posts; runs are found within buckets of floors, so a task holds no more than a bucket of a long thread.
+
+    A floor without a number counts as a floor, and isn't in the ranges; ``twice`` says whether a floor number stands there more than once.
+    """
+    thread = ["archive", "tid"]
+    counts = posts.groupBy(*thread).agg(F.count_if(F.col("parent_id") == 0).alias("floors"), F.count_if(F.col("parent_id") != 0).alias("comments"))
+    numbers = posts.where("parent_id = 0 and floor is not null").groupBy(*thread, "floor").agg(F.count("*").alias("n"))
+    here = W.partitionBy(*thread, "bucket").orderBy("floor")
+    # floors less their places are equal within a run
+    placed = numbers.withColumn("bucket", F.floor(F.col("floor") / BUCKET)).withColumn("run", F.col("floor") - F.row_number().over(here))
+    runs = placed.groupBy(*thread, "bucket", "run").agg(F.min("floor").alias("low"), F.max("floor").alias("high"), F.max(F.col("n") > 1).alias("twice"))
+    ranges = runs.groupBy(*thread).agg(F.max("twice").alias("twice"), F.collect_list(F.struct("low", "high")).alias("ranges"))
+    none = F.array().cast("array<struct<low:bigint,high:bigint>>")
+    return counts.join(ranges, thread, "left").select(*thread, "floors", "comments", F.coalesce("twice", F.lit(False)).alias("twice"), F.coalesce(_joined(F.col("ranges")), none).alias("ranges"))
+
+
+def merge_ranges(one: DataFrame, other: DataFrame) -> DataFrame:
+    """RANGES of the posts of both, which have no post in common; the order of merging doesn't matter."""
+    numbers = F.aggregate(F.flatten(F.collect_list("ranges")), F.lit(0).cast("long"), lambda n, r: n + r["high"] - r["low"] + 1)
+    both = one.unionByName(other).groupBy("archive", "tid").agg(F.sum("floors").alias("floors"), F.sum("comments").alias("comments"), F.max("twice").alias("twice"), _joined(F.flatten(F.collect_list("ranges"))).alias("ranges"), numbers.alias("_n"))
+    shorter = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["high"] - r["low"] + 1) < F.col("_n")
+    return both.select("archive", "tid", "floors", "comments", (F.col("twice") | shorter).alias("twice"), "ranges")
+
+
+def stats_of_ranges(ranges: DataFrame) -> DataFrame:
+    """thread_stats from RANGES: gaps lie between them."""
+    n = F.size("ranges")
+    gaps = F.transform(F.sequence(F.lit(2), n), lambda i: F.element_at("ranges", i)["low"] - F.element_at("ranges", i - 1)["high"] - 1)
+    one = F.element_at("ranges", 1)
+    # between neighbours is a gap of 0, between equal floors one of -1
+    within = F.when(one["low"] < one["high"], 0).when(F.col("twice"), -1).otherwise(0)
+    gap = F.when(n > 1, F.array_max(gaps)).when(n == 1, within).otherwise(0)
+    return ranges.select("archive", "tid", "floors", "comments", F.when(n > 0, F.element_at("ranges", -1)["high"]).otherwise(0).alias("max_floor"), gap.cast("long").alias("max_gap"))
+
+
 def audit(threads: DataFrame, posts: DataFrame, gap: int = SHORT, skip_deleted: bool = False, lost_tids: DataFrame | None = None) -> DataFrame:
     """Suspect threads with a reason, most missing first.
 
@@ -43,7 +97,12 @@ def audit(threads: DataFrame, posts: DataFrame, gap: int = SHORT, skip_deleted:
     missing; log-confirmed instead of the two where ``lost_tids`` (archive, tid) has
     evidence; verify-del and retry-failed: status 1 and 2.
     """
-    joined = threads.join(thread_stats(posts, two_step=True), ["archive", "tid"], "left").na.fill(0, ["floors", "comments", "max_floor", "max_gap"])
+    return audit_stats(threads, thread_stats(posts, two_step=True), gap, skip_deleted, lost_tids)
+
+
+def audit_stats(threads: DataFrame, stats: DataFrame, gap: int = SHORT, skip_deleted: bool = False, lost_tids: DataFrame | None = None) -> DataFrame:
+    """As audit, from the threads' statistics (see thread_stats and stats_of_ranges)."""
+    joined = threads.join(stats, ["archive", "tid"], "left").na.fill(0, ["floors", "comments", "max_floor", "max_gap"])
     if lost_tids is not None:
         joined = joined.join(lost_tids.select("archive", "tid", F.lit(True).alias("lost")).distinct(), ["archive", "tid"], "left")
     else:

@@ -98,6 +98,10 @@ def _write(store: Store, tables: dict[str, DataFrame], touched: list[int], forum
         run.write("merge_progress", fresh if old is None else M.merge_ignore(old, fresh, KEYS["merge_progress"]), touched)
     if post is not None and "post" in now:
         run.write("search_index", X.build_search_index(post), touched)
+        known, old = store.read("floor_ranges", touched, run.base), store.read("post", touched, run.base)
+        fresh = post if old is None else post.join(old.select(*KEYS["post"]), KEYS["post"], "left_anti")  # merging only adds posts
+        ranges = A.floor_ranges(fresh)
+        run.write("floor_ranges", ranges if known is None else A.merge_ranges(known, ranges), touched)
     if thread is not None and post is not None and user is not None:
         # a row for each archive and bucket; totals are sums
         cut = lambda df: df.withColumn("archive", F.struct("archive", store.bucket(df, run.base).alias("bucket")))
@@ -113,7 +117,7 @@ def consolidate_run(spark: SparkSession, source_dir: str, store: Store, forum_na
 
     Only buckets of threads that the source has are read and written.  With ``resume`` threads whose merge is marked as done are left
     alone, unless the store has a media table that lacks their files (see pending_threads); without it all of the source is merged again, which
-    adds what is new.  The store has the tables of the source, merge_progress, search_index, and summary (see archive_totals).  Several sources may be
+    adds what is new.  The store has the tables of the source, merge_progress, search_index, floor_ranges (see audit_store), and summary (see archive_totals).  Several sources may be
     consolidated one after the other, in any number of runs; a run that is killed changes nothing.
     """
     source, m = _source(spark, source_dir), store.manifest()
@@ -153,6 +157,12 @@ def heal_run(store: Store, recrawl_posts: DataFrame, gap: int = A.SHORT) -> Data
     return report
 
 
+def audit_store(store: Store, gap: int = A.SHORT, skip_deleted: bool = False, lost_tids: DataFrame | None = None) -> DataFrame:
+    """audit of a store's threads from the ranges of floors that its runs keep; no post is read."""
+    m = store.manifest()
+    return A.audit_stats(store.read("thread", manifest=m), A.stats_of_ranges(store.read("floor_ranges", manifest=m)), gap, skip_deleted, lost_tids)
+
+
 def archive_totals(store: Store) -> DataFrame:
     """The summary of each archive, from the counts that each run keeps for its buckets."""
     sums = ("threads", "complete", "deleted", "failed", "posts", "users")

@@ -403,6 +403,14 @@ def _(get):
     return _audit(get)
 
 
+@query("a1_stats_of_ranges", _STATS + " SELECT * FROM st", "post")
+def _(get):
+    """Ranges of three parts of the posts, merged one after the other."""
+    posts = get("post")
+    parts = [A.floor_ranges(posts.where(f"(user_id + floor) % 3 = {i}")) for i in range(3)]
+    return A.stats_of_ranges(A.merge_ranges(parts[2], A.merge_ranges(parts[0], parts[1])))
+
+
 @query("a3_audit_summary", _AUDIT.format(lost="false") + " SELECT archive, regexp_replace(reason, '\\(.*', '') AS reason, count(*) AS threads FROM su WHERE reason IS NOT NULL GROUP BY ALL", "thread", "post")
 def _(get):
     return A.audit_summary(_audit(get))
