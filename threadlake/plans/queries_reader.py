@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from threadlake.operators import reader as R
 from threadlake.operators import search as X
+from threadlake.operators import substrings as G
 from threadlake.plans.bindings import view, with_views
 from threadlake.sources.places import scratch
 
 QUERIES: dict = {}
 SQL: dict = {}
+#: Indexes that are built, for a session and its tables.
+_INDEXES: dict = {}
 
 
 def query(name: str, sql: str | None = None, *views: str):
@@ -90,6 +93,23 @@ def _(get):
     return R.suggest(get("thread"), "HIGH")
 
 
+@query("r7_suggest_indexed", "SELECT archive, forum_name, tid, title FROM (SELECT *, row_number() OVER (PARTITION BY forum_name ORDER BY archive, tid) AS n FROM thread WHERE contains(lower(title), 'high')) WHERE n <= 5 ORDER BY forum_name, archive, tid LIMIT 10", "thread")
+def _(get):
+    return G.suggest_indexed(_grams(get("thread"), "title"), get("thread"), "HIGH")
+
+
+@query("r7_substring", "SELECT archive, tid FROM corpus WHERE contains(lower(contents), 'hin')", "corpus")
+def _(get):
+    return G.find_substring(_grams(get("corpus"), "contents"), "hIN")
+
+
+def _grams(rows, text):
+    key = (rows.sparkSession.sparkContext.applicationId, tuple(rows.inputFiles()), text)
+    if key not in _INDEXES:
+        _INDEXES[key] = G.store_grams(rows, ["archive", "tid"], text, scratch(rows.sparkSession))
+    return _INDEXES[key]
+
+
 @query(
     "r10_forum_directory",
     """SELECT f.*, coalesce(threads, 0) AS threads, coalesce(media, 0) AS media FROM (SELECT archive, forum_name, member_num, post_num FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY forum_name) AS n FROM forum) WHERE n = 1) f
@@ -184,9 +204,6 @@ for _name, _text, _counts, _where in (
     query(f"r8_search_{_name}", _search_sql(_counts, _where, "corpus", "corpus_thread"), "corpus", "corpus_thread")(lambda get, q=_text: X.search(_stored(get("corpus")), get("corpus_thread"), q, page_size=50).drop("snippet"))
 
 
-_INDEXES: dict = {}
-
-
 def _stored(posts):
     """The index of the posts; it is built once for a session and its tables, as every query only asks it."""
     key = (posts.sparkSession.sparkContext.applicationId, tuple(posts.inputFiles()), tuple(posts.columns))
