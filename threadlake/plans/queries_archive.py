@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from threadlake.operators import users as U
 from threadlake.plans import jobs
 from threadlake.plans.bindings import view, with_views
 from threadlake.sources import io as IO
-from threadlake.sources.places import scratch
+from threadlake.sources.places import scratch, stored
 from threadlake.sources.runs import Store
 from threadlake.streaming import streams
 
@@ -634,6 +636,64 @@ def _(get):
     return D.media_counts(get("media"))
 
 
+# --- files of threads ------------------------------------------------------------------
+
+
+def _place(df) -> str:
+    """A new folder below the shared one, as a path that SQLite and tarfile open."""
+    path = scratch(df.sparkSession).removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+@query("io2_content_dbs", "SELECT archive, tid, id, floor, contents, is_thread_author, CAST(0 AS BIGINT) AS scrape_batch_id FROM text_post", "text_post")
+def _(get):
+    """A file for each thread, written where tasks run, then read as the posts of an archive."""
+    posts = get("text_post").select("archive", "tid", "id", "floor", "contents", "is_thread_author")
+    place = _place(posts)
+
+    def write(rows):
+        import sqlite3
+
+        path = f"{place}/{rows.tid[0]}.db"
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(path)  # of a task that was lost
+        with sqlite3.connect(path) as db:
+            db.execute("create table post (id integer, floor integer, contents text, is_thread_author integer)")
+            db.executemany("insert into post values (?, ?, ?, ?)", [(int(r.id), int(r.floor), r.contents, int(r.is_thread_author)) for r in rows.itertuples()])
+        return rows[["archive", "tid"]].head(1).assign(path=path)
+
+    paths = stored(posts.groupBy("archive", "tid").applyInPandas(write, "archive string, tid long, path string"), "paths")
+    return IO.read_content_dbs(posts.sparkSession, paths, "post").select("archive", "tid", "id", "floor", "contents", "is_thread_author", "scrape_batch_id")
+
+
+@query(
+    "io8_tar_members",
+    """m AS (SELECT archive, concat('part', CAST(tid % 4 AS VARCHAR(9)), '.tar') AS tar, concat(CAST(tid AS VARCHAR(19)), '/', CAST(id AS VARCHAR(19)), '.txt') AS name, tid, id, strlen(contents) AS size FROM text_post)
+SELECT archive, tar, name, CAST(512 + coalesce(sum(512 + (size + 511) // 512 * 512) OVER (PARTITION BY tar ORDER BY tid, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", size FROM m""",
+    "text_post",
+)
+def _(get):
+    """Four archives of the threads' texts, written where tasks run, then listed by their headers."""
+    posts = get("text_post").select("archive", (F.col("tid") % 4).alias("part"), "tid", "id", "contents")
+    place = _place(posts)
+
+    def write(rows):
+        import io
+        import tarfile
+
+        path = f"{place}/part{rows.part[0]}.tar"
+        with tarfile.open(path, "w") as tar:
+            for r in rows.sort_values(["tid", "id"]).itertuples():
+                data, member = r.contents.encode(), tarfile.TarInfo(f"{r.tid}/{r.id}.txt")
+                member.size = len(data)
+                tar.addfile(member, io.BytesIO(data))
+        return rows[["archive"]].head(1).assign(path=path)
+
+    paths = stored(posts.groupBy("archive", "part").applyInPandas(write, "archive string, path string"), "tars")
+    return IO.read_tar_members(posts.sparkSession, paths)
+
+
 # --- streams in their batch form ------------------------------------------------------
 
 _BUCKET = "g AS (SELECT time_bucket(INTERVAL 90 SECOND, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS finished FROM activity GROUP BY 1)"
