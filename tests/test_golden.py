@@ -16,6 +16,7 @@ from threadlake.operators import select as S
 from threadlake.operators import users as U
 from threadlake.plans import jobs
 from threadlake.sources import io as IO
+from threadlake.sources.tars import read_tar_members
 from threadlake.streaming import streams
 
 POST = "archive string, tid long, id long, floor long, parent_id long, user_id long, contents string, create_time long, is_thread_author boolean, scrape_batch_id long"
@@ -199,7 +200,7 @@ def test_content_dbs_and_tars(spark, tmp_path):
     (tmp_path / "f.txt").write_text("hello")
     with tarfile.open(tmp_path / "m.tar", "w") as tar:
         tar.add(tmp_path / "f.txt", "1/f.txt")
-    members = IO.read_tar_members(spark, spark.createDataFrame([("a", str(tmp_path / "m.tar"))], "archive string, path string"))
+    members = read_tar_members(spark, spark.createDataFrame([("a", str(tmp_path / "m.tar"))], "archive string, path string"))
     (name, offset, size), = got(members, "name", "offset", "size")
     assert (name, (tmp_path / "m.tar").read_bytes()[offset : offset + size]) == ("1/f.txt", b"hello")
 

@@ -19,6 +19,7 @@ from threadlake.plans.bindings import view, with_views
 from threadlake.sources import io as IO
 from threadlake.sources.places import scratch, stored
 from threadlake.sources.runs import Store
+from threadlake.sources.tars import read_tar_members
 from threadlake.streaming import streams
 
 QUERIES: dict = {}
@@ -691,7 +692,7 @@ def _(get):
         return rows[["archive"]].head(1).assign(path=path)
 
     paths = stored(posts.groupBy("archive", "part").applyInPandas(write, "archive string, path string"), "tars")
-    return IO.read_tar_members(posts.sparkSession, paths)
+    return read_tar_members(posts.sparkSession, paths, range_bytes=1 << 16)
 
 
 # --- streams in their batch form ------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Reading and writing archive tables, JSON documents, per-thread SQLite files and tar listings."""
+"""Reading and writing archive tables, JSON documents and per-thread SQLite files."""
 
 from __future__ import annotations
 
@@ -72,28 +72,6 @@ def read_content_dbs(spark: SparkSession, paths: DataFrame, name: str, per_task:
     return conform(paths.select("archive", "tid", "path").repartition(n, "path").mapInArrow(run, fields), name)
 
 
-def read_tar_members(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """archive, tar, name, offset, size of the regular members; paths has archive and path; one tar is one task's work.
-
-    Only headers are read.  offset is where a member's bytes begin.
-    """
-
-    def run(batches):
-        import os
-        import tarfile
-
-        import pyarrow as pa
-
-        for batch in batches:
-            for archive, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with tarfile.open(path) as tar:
-                    found = [{"archive": archive, "tar": os.path.basename(path), "name": m.name, "offset": m.offset_data, "size": m.size} for m in tar if m.isreg()]
-                if found:
-                    yield pa.RecordBatch.from_pylist(found)
-
-    return paths.select("archive", "path").repartition(max(1, paths.count()), "path").mapInArrow(run, "archive string, tar string, name string, offset bigint, size bigint")
-
-
 def parse_thread_json(df: DataFrame, col: str = "json") -> DataFrame:
     """df with the thread table's columns from a document, bare or under "thread"; each field has its default."""
     bare, wrapped = F.from_json(col, THREAD_JSON), F.from_json(col, f"thread STRUCT<{THREAD_JSON}>")["thread"]
