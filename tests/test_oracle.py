@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 #: One or two of each family; TEST_ALL=1 runs all.
-SOME = ["m2_merge_posts", "m7_merge_forums", "m8_stub_threads", "m9_refresh_posts", "m9_refresh_posts_newest", "a7_healed_posts", "m11_run_threads", "r9_index_currency", "r7_suggest_indexed", "u3_complete_users", "pf4_filter_posts_replied_only", "a1_thread_stats_two_step", "a2_audit", "a7_heal_report", "c1_coverage", "w1_plan_crawl", "d3_diff_index", "d5_dedupe_assets", "r2_thread_view", "r8_search_or_not", "r8_search_phrase", "r12_global_stats", "s3_explode_frags", "s15_parse_log", "io4_tid_list", "io9_write_archive", "st3_smoothed_goodput", "st4_activity_sessions", "m11_consolidated_posts", "m11_consolidated_threads", "st1_stream_merge", "st2_stream_dedupe", "r8_search_snippet", "w3_build_listing", "io7_media_index"]
+SOME = ["m2_merge_posts", "m7_merge_forums", "m8_stub_threads", "m9_refresh_posts", "m9_refresh_posts_newest", "a7_healed_posts", "m11_run_threads", "r9_index_currency", "r7_suggest_indexed", "u3_complete_users", "pf4_filter_posts_replied_only", "a1_thread_stats_two_step", "a2_audit", "a7_heal_report", "c1_coverage", "w1_plan_crawl", "d3_diff_index", "d3_diff_by_digest", "io8_tar_members", "r1_deep_page", "r3_stored_places", "r5_timeline", "r12_distinct_users", "st4_activity_sessions_batch", "d5_dedupe_assets", "r2_thread_view", "r8_search_or_not", "r8_search_phrase", "r12_global_stats", "s3_explode_frags", "s15_parse_log", "io4_tid_list", "io9_write_archive", "st3_smoothed_goodput", "st4_activity_sessions", "m11_consolidated_posts", "m11_consolidated_threads", "st1_stream_merge", "st2_stream_dedupe", "r8_search_snippet", "w3_build_listing", "io7_media_index"]
 
 
 @pytest.fixture(scope="module")

@@ -35,18 +35,19 @@ def build_listing(pages: DataFrame) -> DataFrame:
     return numbered(first.withColumnRenamed("pos", "_pos"), "archive", ["create_time", "_visit", "_pos", "tid"], "pos").drop("_visit", "_pos", "page").select(*(c for c in pages.columns if c != "page"))
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, group: str | list[str], order: list[str], name: str) -> DataFrame:
     """df with the place of each row, from 0, in its group; ``order`` must be total.
 
     Rows are cut into ranges by group and order; places come from those within a range and the sizes of the ranges before it, so
     a group of any size is spread over tasks.
     """
-    ranges = stored(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = ranges.groupBy(group, "_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select(group, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(W.partitionBy(group, "_range").orderBy(*order)) - 1
-    return ranges.withColumn("_within", within).join(sizes, [group, "_range"]).withColumn(name, (F.col("_before") + F.col("_within")).cast("bigint")).drop("_range", "_within", "_before")
+    group = [group] if isinstance(group, str) else group
+    ranges = stored(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(*group, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy(*group, "_range").orderBy(*order)) - 1
+    return ranges.withColumn("_within", within).join(sizes, [*group, "_range"]).withColumn(name, (F.col("_before") + F.col("_within")).cast("bigint")).drop("_range", "_within", "_before")
 
 
 def user_tids(replies: DataFrame, threads: DataFrame) -> DataFrame:

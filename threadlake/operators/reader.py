@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadlake.operators.planning import numbered
 from threadlake.operators.users import attach_users
 
 SORTS = ("create_time", "reply_num", "view_num", "agree")
@@ -40,13 +41,17 @@ def thread_media(media: DataFrame, tids: DataFrame) -> DataFrame:
 
 
 def thread_page(posts: DataFrame, sort: str = "floor", page: int = 1, author_only: bool = False, page_size: int = PAGE) -> DataFrame:
-    """One page of each thread's floors: by floor, floor-desc, agree or replies (most first); ties keep floor order."""
+    """One page of each thread's floors: by floor, floor-desc, agree or replies (most first); ties keep floor order.
+
+    For deep pages of large threads, see StoredOrder.
+    """
     first = {"floor": F.asc("floor"), "floor-desc": F.desc("floor"), "agree": F.desc("agree"), "replies": F.desc("reply_num")}[sort]
     floors = posts.where("parent_id = 0")
     if author_only:
         floors = floors.where("is_thread_author")
     place = F.row_number().over(W.partitionBy("archive", "tid").orderBy(first, "floor", "id"))
-    return floors.withColumn("place", place).where(F.ceil(F.col("place") / page_size) == page)
+    # the upper bound lets a window drop what is beyond it before the shuffle
+    return floors.withColumn("place", place).where((F.col("place") <= page * page_size) & (F.col("place") > (page - 1) * page_size))
 
 
 def comment_preview(posts: DataFrame, few: int = 5, shown: int = 3) -> DataFrame:
@@ -57,8 +62,8 @@ def comment_preview(posts: DataFrame, few: int = 5, shown: int = 3) -> DataFrame
 
 
 def timeline(posts: DataFrame) -> DataFrame:
-    """Posts with their place in the thread by time."""
-    return posts.withColumn("place", F.row_number().over(W.partitionBy("archive", "tid").orderBy("create_time", "id")))
+    """Posts (of different archive, tid and id) with their place in the thread by time; a hot thread is spread over tasks."""
+    return numbered(posts, ["archive", "tid"], ["create_time", "id"], "place").withColumn("place", F.col("place") + 1)
 
 
 def latest_posts(posts: DataFrame) -> DataFrame:

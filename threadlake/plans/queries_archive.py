@@ -14,6 +14,7 @@ from threadlake.operators import merge as M
 from threadlake.operators import planning as P
 from threadlake.operators import select as S
 from threadlake.operators import users as U
+from threadlake.operators.digests import diff_index_by_digest
 from threadlake.plans import jobs
 from threadlake.plans.bindings import view, with_views
 from threadlake.sources import io as IO
@@ -568,8 +569,16 @@ FROM o FULL JOIN n ON o.archive = n.archive AND o.path = n.path GROUP BY ALL""",
     "member_file", "media",
 )
 def _(get):
+    return D.diff_index(*_two_indexes(get), "media0.tar")
+
+
+def _two_indexes(get):
     old = get("media").where("size % 7 <> 0").select("archive", "path", F.when(F.col("size") % 3 != 0, F.col("tar")).alias("tar"), F.when(F.col("size") % 5 == 0, F.col("offset") + 1).otherwise(F.col("offset")).alias("offset"))
-    return D.diff_index(old, D.files_map(get("member_file")).where("size % 11 <> 0"), "media0.tar")
+    return old, D.files_map(get("member_file")).where("size % 11 <> 0")
+
+
+QUERIES["d3_diff_by_digest"] = lambda spark, sf_dir: diff_index_by_digest(*_two_indexes(partial(view, spark, sf_dir)), "media0.tar")
+SQL["d3_diff_by_digest"] = SQL["d3_diff_index"]
 
 
 @query(

@@ -6,9 +6,11 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from threadlake.operators import digests as DG
 from threadlake.operators import reader as R
 from threadlake.operators import search as X
 from threadlake.operators import substrings as G
+from threadlake.operators.pages import StoredOrder
 from threadlake.plans.bindings import view, with_views
 from threadlake.sources.places import scratch
 
@@ -73,6 +75,20 @@ for _sort, _by in (("floor", "floor"), ("floor-desc", "floor DESC"), ("agree", "
     )(lambda get, sort=_sort: R.thread_page(get("post"), sort, page_size=3).select("archive", "tid", "id", "place"))
 
 
+@query("r1_deep_page", "SELECT archive, tid, title, create_time, row_number() OVER (ORDER BY create_time DESC NULLS LAST, archive, tid) AS place, count(*) OVER () AS total FROM thread ORDER BY place LIMIT 50 OFFSET 1000", "thread")
+def _(get):
+    threads = get("thread").select("archive", "tid", "title", "create_time")
+    spark = threads.sparkSession
+    return StoredOrder(spark, f"{scratch(spark)}/order", ["-create_time", "archive", "tid"]).write(threads, 500).page(21, 50)
+
+
+@query("r3_stored_places", "SELECT archive, tid, id, row_number() OVER (PARTITION BY archive, tid ORDER BY agree DESC, floor, id) AS place, count(*) OVER (PARTITION BY archive, tid) AS total FROM post WHERE parent_id = 0", "post")
+def _(get):
+    floors = get("post").where("parent_id = 0").select("archive", "tid", "id", "floor", "agree")
+    spark = floors.sparkSession
+    return StoredOrder(spark, f"{scratch(spark)}/order", ["-agree", "floor", "id"], ["archive", "tid"]).write(floors, 10_000).places().drop("floor", "agree")
+
+
 @query("r4_comment_preview", "SELECT archive, tid, parent_id, id, place, total FROM (SELECT *, row_number() OVER (PARTITION BY archive, tid, parent_id ORDER BY id) AS place, count(*) OVER (PARTITION BY archive, tid, parent_id) AS total FROM post WHERE parent_id <> 0) WHERE total <= 2 OR place <= 1", "post")
 def _(get):
     return R.comment_preview(get("post"), few=2, shown=1).select("archive", "tid", "parent_id", "id", "place", "total")
@@ -140,6 +156,16 @@ def _(get):
     return R.global_stats(get("forum"), get("thread"), get("post"), get("member"), get("media"))
 
 
+@query("r12_distinct_users", "SELECT archive, count(DISTINCT portrait) AS users, true AS is_close FROM member GROUP BY archive", "member")
+def _(get):
+    """Sketches of two halves that share users, united, against exact counts: within 3 %."""
+    users = get("member").select("archive", "tid", "portrait", "scrape_time")
+    both = DG.unite_sketches(DG.user_sketches(users.where("tid % 3 <> 0")), DG.user_sketches(users.where("tid % 3 <> 1")))
+    exact = users.groupBy("archive").agg(F.count_distinct("portrait").alias("exact"))
+    joined = DG.distinct_users(both).join(exact, "archive")
+    return joined.select("archive", F.col("exact").alias("users"), (F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))).alias("is_close"))
+
+
 @query("r13_locate_threads", "SELECT tid, archive, title FROM thread WHERE tid IN (SELECT tid FROM post WHERE user_id = 3)", "thread", "post")
 def _(get):
     return R.locate_threads(get("thread"), get("post").where("user_id = 3"))

@@ -167,8 +167,15 @@ def activity_sessions(events: DataFrame, gap: str = "360 seconds", key: str = "t
 
 
 def activity_sessions_batch(events: DataFrame, seconds: int = 360, key: str = "tid", ts: str = "ts") -> DataFrame:
-    """As activity_sessions, for tables, with the last event's time as end."""
-    order = W.partitionBy(key).orderBy(ts)
-    began = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp")) > seconds * 1_000_000, F.lit(True))
-    numbered = events.withColumn("_s", F.sum(began.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return numbered.groupBy(key, "_s").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("events")).drop("_s")
+    """As activity_sessions, for tables, with the last event's time as end; events without a time are left out.
+
+    Events within one span of the gap's length belong together, so they are counted before the shuffle; a window then joins
+    spans, of which a key has no more than its time has, however many events it has.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    spans = events.where(F.col(ts).isNotNull()).groupBy(key, (micros(ts) - F.pmod(micros(ts), F.lit(seconds * 1_000_000))).alias("_span")).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("events"))
+    order = W.partitionBy(key).orderBy("_span")
+    silence = micros("start") - F.unix_micros(F.lag("end").over(order).cast("timestamp"))
+    began = F.coalesce(silence > seconds * 1_000_000, F.lit(True))
+    marked = spans.withColumn("_s", F.sum(began.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return marked.groupBy(key, "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("events").alias("events")).drop("_s")
