@@ -8,7 +8,7 @@ before any intersection.  Before bigrams are built, two bounds that follow from
 units by their words: d distinct words have d - 1 distinct bigrams at least, and, as at least
 t / (2 - t) of a matching unit's bigrams are the template's and each other bigram holds
 two words, only so many distinct words can be foreign to all templates.  Runs begin and
-end at lines of whose bigrams (those over its ends included) at least t / 2 are some template's: a run at
+end at lines of whose bigrams (with those over the side that lies within the run) at least t / 2 are some template's: a run at
 the threshold only comes closer without other lines at its ends.  They have no more words than the largest template allows.
 Templates are constants of the plan, so nothing is shuffled.
 """
@@ -111,19 +111,24 @@ def _likely(words: Column, known: list[str], share: float) -> Column:
 
 
 def _marks(lines: Column, known: list[str], grams: list[str], share: float) -> Column:
-    """Places of the lines of whose bigrams, those over its ends included, at least ``share`` are some template's."""
+    """Places of the lines that a run can begin or end with: at least ``share`` of their bigrams, with those over the side that lies within the run, are some template's."""
     edge = lambda x, i: F.coalesce(F.slice(x, i, 1), F.array().cast("array<string>"))
+    enough = lambda pairs: (F.size(pairs) > 0) & (F.size(F.filter(pairs, lambda g: g.isin(grams))) >= share * F.size(pairs) - 1e-9)
 
     def marked(i):
         words = F.concat(edge(F.get(lines, i - 1)["words"], -1), F.get(lines, i)["words"], edge(F.get(lines, i + 1)["words"], 1))
-        pairs = F.transform(F.array(words), _all_pairs)[0]
-        return _likely(F.get(lines, i)["words"], known, share) & (F.size(words) > 1) & (F.size(F.filter(pairs, lambda g: g.isin(grams))) >= share * (F.size(words) - 1) - 1e-9)
+        begins = lambda pairs: F.slice(pairs, 1 + (i > 0).cast("int"), F.size(pairs))
+        ends = lambda pairs: F.slice(pairs, 1, F.size(pairs) - (i < F.size(lines) - 1).cast("int"))
+        return _likely(F.get(lines, i)["words"], known, share) & F.exists(F.transform(F.array(words), _all_pairs), lambda pairs: enough(begins(pairs)) | enough(ends(pairs)))
 
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), marked)
 
 
 def _found_runs(lines: Column, marks: Column, most: int, match) -> Column:
-    """What match finds for each run of lines between two marks, or of one, with at most so many words; no two runs are held at once."""
+    """For each mark, what match finds in the runs of lines from it to a mark, itself included, with at most so many words; no two runs are held at once.
+
+    Each line has a word, so a run has at most ``most`` lines, and work grows with the marks, not with their square.
+    """
 
     def ends(p):
         sizes = F.transform(F.slice(lines, p + 1, most), lambda x: F.size(x["words"]))
@@ -133,15 +138,19 @@ def _found_runs(lines: Column, marks: Column, most: int, match) -> Column:
         grams = _pairs(F.flatten(F.transform(F.slice(lines, p + 1, q - p + 1), lambda x: x["words"])))
         return F.flatten(F.transform(F.array(F.struct(p.alias("first"), q.alias("last"), grams.alias("grams"))), match))
 
-    def runs(p):
-        last = F.flatten(F.transform(F.array(p + ends(p) - 1), lambda z: F.filter(marks, lambda q: (q >= p) & (q <= z))))
+    def runs(p, i):
+        last = F.flatten(F.transform(F.array(p + ends(p) - 1), lambda z: F.filter(F.slice(marks, i + 1, most), lambda q: q <= z)))
         return F.flatten(F.transform(last, lambda q: run(p, q)))
 
-    return F.flatten(F.transform(marks, runs))
+    return F.transform(marks, runs)
 
 
 def _best(lines: Column, found: Column) -> Column:
-    """The found runs of several lines that are not the whole text, hold no found line, and overlap no better run of the same template."""
+    """The found runs of several lines that are not the whole text, hold no found line, and overlap no better run of the same template.
+
+    ``found`` has the runs of each mark, in order.  As no run has more lines than the longest one found, those that overlap one
+    begin at most so many marks before or after its own.
+    """
 
     def better(o, m):
         dice = lambda x: 2 * x["shared"] / (x["unit_bigrams"] + x["size"])
@@ -150,7 +159,15 @@ def _best(lines: Column, found: Column) -> Column:
         return same & ((o["first"] == o["last"]) | (rank(o) < rank(m)))
 
     several = lambda m: (m["first"] < m["last"]) & ((m["first"] > 0) | (m["last"] < F.size(lines) - 1))
-    return F.filter(found, lambda m: several(m) & ~F.exists(found, lambda o: better(o, m)))
+    longest = F.aggregate(found, F.lit(1), lambda a, of_mark: F.greatest(a, F.coalesce(F.array_max(F.transform(of_mark, lambda m: m["last"] - m["first"] + 1)), F.lit(1))))
+
+    def unbeaten(of_mark, i, reach):
+        near = F.flatten(F.slice(found, F.greatest(i - reach + 1, F.lit(0)) + 1, 2 * reach))
+        kept = lambda n: F.filter(of_mark, lambda m: several(m) & ~F.exists(n, lambda o: better(o, m)))
+        # the neighbours are put together once for a mark
+        return F.when(F.exists(of_mark, several), F.flatten(F.transform(F.array(near), kept))).otherwise(F.slice(of_mark, 1, 0))
+
+    return F.flatten(F.flatten(F.transform(F.array(longest), lambda reach: F.transform(found, lambda of_mark, i: unbeaten(of_mark, i, reach)))))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,9 +217,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
         return F.filter(F.array(*fits), lambda m: m.isNotNull() & (m["shared"] > 0) & (2 * m["shared"] / (m["unit_bigrams"] + m["size"]) >= threshold))
 
     one = F.transform(F.array(F.struct(F.col("line_no").alias("first"), F.col("line_no").alias("last"), F.col("grams").alias("grams"))), match)
-    runs = F.when(F.col("line_no") == -2, _found_runs(F.col("lines"), F.col("marks"), int(highest) + 2, match)).otherwise(F.flatten(one))
+    runs = F.when(F.col("line_no") == -2, _found_runs(F.col("lines"), F.col("marks"), int(highest) + 2, match)).otherwise(one)
     sized = sized.select("doc_id", "line_no", "lines", F.explode(F.array(runs)).alias("found"))
-    best = F.when(F.col("line_no") == -2, _best(F.col("lines"), F.col("found"))).otherwise(F.col("found"))
+    best = F.when(F.col("line_no") == -2, _best(F.col("lines"), F.col("found"))).otherwise(F.flatten("found"))
     found = sized.select("doc_id", "line_no", "lines", F.explode(best).alias("m"))
     found = found.select("doc_id", F.when(F.col("line_no") == -2, F.get("lines", F.col("m.first"))["line_no"]).otherwise(F.col("line_no")).alias("line_no"), "m", F.col("m.unit_bigrams").alias("unit_bigrams"))
     dice = 2 * F.col("m.shared") / (F.col("unit_bigrams") + F.col("m.size"))
@@ -232,11 +249,13 @@ g AS (SELECT doc_id, line_no, {grams} AS grams FROM w WHERE len(words) > 1),
 m AS (SELECT doc_id, line_no, {found} FROM g, t WHERE {match}),
 -- runs of lines with words, of one or more; i counts them
 f AS (
-  SELECT r, doc_id, line_no, words, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY r) AS n, sum(len(words)) OVER o AS upto,
-    list_filter(list_concat([lag(words[-1]) OVER o], words, [lead(words[1]) OVER o]), lambda x: x IS NOT NULL) AS around
+  SELECT r, doc_id, line_no, words, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY r) AS n, sum(len(words)) OVER o AS upto, lag(words[-1]) OVER o AS before, lead(words[1]) OVER o AS after
   FROM w WHERE line_no >= 0 AND len(words) > 0 WINDOW o AS (PARTITION BY r ORDER BY line_no)),
-b AS (SELECT r, i, unnest(list_transform(range(1, len(around)), lambda j: around[j] || ' ' || around[j + 1])) AS gram FROM f),
-k2 AS (SELECT r, i FROM b LEFT JOIN k ON b.gram = k.gram GROUP BY r, i HAVING count(k.gram) >= {THRESHOLD / 2} * count(*)),
+v AS (
+  SELECT r, i, 'ends' AS side, list_filter(list_concat([before], words), lambda x: x IS NOT NULL) AS around FROM f
+  UNION ALL SELECT r, i, 'begins', list_filter(list_concat(words, [after]), lambda x: x IS NOT NULL) FROM f),
+b AS (SELECT r, i, side, unnest(list_transform(range(1, len(around)), lambda j: around[j] || ' ' || around[j + 1])) AS gram FROM v),
+k2 AS (SELECT DISTINCT r, i FROM (SELECT r, i FROM b LEFT JOIN k ON b.gram = k.gram GROUP BY r, i, side HAVING count(k.gram) >= {THRESHOLD / 2} * count(*))),
 e AS (SELECT f.* FROM f JOIN k2 USING (r, i)),
 p AS (SELECT x.r, x.doc_id, x.line_no, x.n, x.i AS low, y.i AS high FROM e x JOIN e y ON x.r = y.r AND x.i <= y.i AND y.upto - x.upto + len(x.words) <= {most}),
 q AS (SELECT p.r, p.doc_id, p.line_no, p.n, low, high, flatten(list(words ORDER BY i)) AS words FROM p JOIN f ON f.r = p.r AND f.i BETWEEN low AND high GROUP BY ALL),
