@@ -50,3 +50,19 @@ def test_texts_without_marks_take_the_same_tokens(spark):
     texts = ["Plain ASCII, 2x", "É à İstanbul ﬁ ẞ", "İ", "", "ÀB c"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(X.tokens(df.t)).collect()] == [X._query_tokens(t) for t in texts]
+
+
+def test_deleted_posts_move_no_tokens(spark, tmp_path, monkeypatch):
+    """More deleted posts than may be broadcast one by one: their marks are, and neither tokens nor matches are shuffled for them."""
+    rows = rows_of(random.Random(13), 600)
+    index = X.store_index(spark.createDataFrame(rows, SHAPE), str(tmp_path / "i"))
+    now = spark.createDataFrame([r for r in rows if r[2] % 4], SHAPE)
+    monkeypatch.setattr(X, "BROADCAST_ROWS", 30)
+    less = X.extend_index(index, now)
+    assert less.manifest["gone"] == 150
+    plan = less.live(less.posts.select("segment", "doc", "tokens"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert sorted(r.post_id for r in less.live(less.posts).collect()) == [r[2] for r in rows if r[2] % 4]
+    assert less.statistics == X.store_index(now, str(tmp_path / "j")).statistics
+    monkeypatch.setattr(X, "BROADCAST_ROWS", 1)
+    assert less.live(less.posts).count() == 450
