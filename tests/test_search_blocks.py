@@ -66,3 +66,19 @@ def test_deleted_posts_move_no_tokens(spark, tmp_path, monkeypatch):
     assert less.statistics == X.store_index(now, str(tmp_path / "j")).statistics
     monkeypatch.setattr(X, "BROADCAST_ROWS", 1)
     assert less.live(less.posts).count() == 450
+
+
+def test_phrases_and_prefixes_are_counted_once(spark, tmp_path, monkeypatch):
+    """A query of phrases and prefixes alone meets its posts when it counts them; they were met a second time for their ranks."""
+    rows = rows_of(random.Random(14), 300)
+    index = X.store_index(spark.createDataFrame(rows, SHAPE), str(tmp_path))
+    threads = spark.createDataFrame(sorted({(r[0], r[1], "t") for r in rows}), "archive string, tid long, title string")
+    times, counts = [], X._Asked.counts
+    monkeypatch.setattr(X._Asked, "counts", lambda self, *a: times.append(a) or counts(self, *a))
+    for query, fits in (('"w1 w2"', lambda t: "w1 w2 " in f"{t} "), ("w1*", lambda t: "w1" in t), ('"w3 w1" OR w2*', lambda t: "w3 w1 " in f"{t} " or "w2" in t)):
+        want = sorted(r[2] for r in rows if fits(r[4]))
+        for total in (True, False):
+            times.clear()
+            got = X.search(index, threads, query, page_size=200, total=total).collect()
+            assert len(want) < 200 and len(times) == 1
+            assert sorted(r.post_id for r in got) == want and {r.total for r in got} == {len(want) if total else None}
