@@ -82,3 +82,11 @@ def test_phrases_and_prefixes_are_counted_once(spark, tmp_path, monkeypatch):
             got = X.search(index, threads, query, page_size=200, total=total).collect()
             assert len(want) < 200 and len(times) == 1
             assert sorted(r.post_id for r in got) == want and {r.total for r in got} == {len(want) if total else None}
+
+
+def test_blocks_store_bounds_once(spark, tmp_path):
+    """The largest count and the smallest length are the ends of the front; stored beside it they made rows that spilled when they were sorted."""
+    index = X.store_index(spark.createDataFrame(rows_of(random.Random(15), 60), SHAPE), str(tmp_path))
+    folder = index.manifest["segments"][0]["folder"]
+    assert set(spark.read.parquet(f"{tmp_path}/segments/{folder}/postings").columns) == {"token", "segment", "span", "n", "front", "entries"}
+    assert all((b.most, b.least) == (max(len(e.positions) for e in b.entries), min(e.n_tokens for e in b.entries)) for b in index.postings.collect())
